@@ -150,22 +150,31 @@ def select_binary(df: DataFrame, p: str = "p", y: str = "y", methods: Sequence[s
     return best, fits[best], scores
 
 
+def _multinomial(df: DataFrame, ps: Sequence[str], y: str):
+    m = _logistic(df, [F.log(P.clip(F.col(c), EPS, 1.0)) for c in ps], y, 1e6, "multinomial")
+    return m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+
+
+def _as_map(method: str, w: np.ndarray, b: np.ndarray) -> dict:
+    return {"w": np.diag(w).tolist() if method == "vector" else w.T.tolist(), "b": b.tolist()}
+
+
 def fit_multiclass(df: DataFrame, method: str, ps: Sequence[str], y: str = "y_true") -> dict:
-    lp = [F.log(P.clip(F.col(c), EPS, 1.0)) for c in ps]
     if method == "temperature":
         own = lambda t: F.coalesce(*[F.when(F.col(y) == i, q) for i, q in enumerate(P.multiclass([F.col(c) for c in ps], "temperature", t=t))])
         return {"t": _search(df, lambda t: -F.avg(F.log(P.clip(own(t), EPS, 1.0))), 1e-3, 100.0)}
     if method in ("vector", "dirichlet"):
-        m = _logistic(df, lp, y, 1e6, "multinomial")
-        w, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
-        return {"w": np.diag(w).tolist() if method == "vector" else w.T.tolist(), "b": b.tolist()}
+        return _as_map(method, *_multinomial(df, ps, y))
     return {}
 
 
 def select_multiclass(df: DataFrame, ps: Sequence[str], y: str = "y_true", methods: Sequence[str] = MULTICLASS_METHODS):
     """The multi-class calibrator of lowest NLL."""
     df = pinned(df.select(*ps, y))  # read many times by the fits
-    fits = {m: fit_multiclass(df, m, ps, y) for m in methods}
+    fits = {m: fit_multiclass(df, m, ps, y) for m in methods if m not in ("vector", "dirichlet")}
+    if {"vector", "dirichlet"} & set(methods):
+        w, b = _multinomial(df, ps, y)  # one fit serves both maps
+        fits.update({m: _as_map(m, w, b) for m in ("vector", "dirichlet") if m in methods})
     cols = [F.col(c) for c in ps]
 
     def loss(m: str) -> Column:

@@ -179,3 +179,12 @@ def quantile_grid(df: DataFrame, keys: Sequence[str], value: str, parts: int) ->
     frac = F.max(pos - F.floor(pos))
     y = x.groupBy(*keys, "_j").agg((hit[0] + (hit[1] - hit[0]) * frac).alias("quantile"))
     return y.withColumnRenamed("_j", "step")
+
+
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, salt: str | Column, name: str = "rank", salts: int = 64) -> DataFrame:
+    """First k rows per key with their rank; a large key is first cut down in `salts` parts."""
+    c = F.col(salt) if isinstance(salt, str) else salt
+    x = df.withColumn("_s", F.pmod(F.xxhash64(c), F.lit(salts)))
+    x = x.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy(*order))).filter(F.col("_r") <= k)
+    x = x.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
+    return x.drop("_s", "_r")
