@@ -11,6 +11,15 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate `value` once and pass it to fn.
+
+    A column used inside a lambda may be inlined by the optimizer and computed again for
+    every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def total(x: str | Column) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -24,11 +33,14 @@ def mean_square(x: str | Column) -> Column:
 
 
 def power_mean(x: str | Column, centre: Column, k: int) -> Column:
-    def step(a: Column, v: Column) -> Column:
-        d = v - centre
-        return a + reduce(lambda p, _: p * d, range(k - 1), d)
+    def about(m: Column) -> Column:
+        def step(a: Column, v: Column) -> Column:
+            d = v - m
+            return a + reduce(lambda p, _: p * d, range(k - 1), d)
+
+        return F.aggregate(_c(x), F.lit(0.0), step) / F.size(_c(x))
 
-    return F.aggregate(_c(x), F.lit(0.0), step) / F.size(_c(x))
+    return let(centre, about)
 
 
 def std(x: str | Column) -> Column:
@@ -37,8 +49,8 @@ def std(x: str | Column) -> Column:
 
 
 def median(x: str | Column) -> Column:
-    s, n = F.array_sort(_c(x)), F.size(_c(x))
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0
+    n = F.size(_c(x))
+    return let(F.array_sort(_c(x)), lambda s: (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
 
 
 def diff(x: str | Column) -> Column:
@@ -64,31 +76,31 @@ def window(x: str | Column, start: Column | int, length: Column | int) -> Column
 
 def absmax_index(x: str | Column) -> Column:
     """0-based index of the first largest magnitude."""
-    m = F.transform(_c(x), lambda v: F.abs(v))
-    return (F.array_position(m, F.array_max(m)) - 1).cast("int")
+    return let(F.transform(_c(x), lambda v: F.abs(v)), lambda m: (F.array_position(m, F.array_max(m)) - 1).cast("int"))
 
 
 def clip_counted(x: str | Column, lo: Column, hi: Column) -> tuple[Column, Column]:
     """Clipped array and the number of clipped samples."""
-    c = _c(x)
-    return F.transform(c, lambda v: F.greatest(lo, F.least(hi, v))), F.size(F.filter(c, lambda v: (v < lo) | (v > hi)))
+    c, lim = _c(x), F.struct(lo.alias("lo"), hi.alias("hi"))
+    cut = let(lim, lambda k: F.transform(c, lambda v: F.greatest(k["lo"], F.least(k["hi"], v))))
+    return cut, let(lim, lambda k: F.size(F.filter(c, lambda v: (v < k["lo"]) | (v > k["hi"]))))
 
 
 def symmetric_limit(x: str | Column, share: float, cap: float) -> Column:
     """Largest magnitude of the two tail percentiles of the row's own samples, capped."""
-    s, n = F.array_sort(_c(x)), F.size(_c(x))
+    n = F.size(_c(x))
 
-    def pct(q: float) -> Column:
+    def pct(s: Column, q: float) -> Column:
         pos = F.lit(q) * (n - 1)
         lo, hi = F.get(s, F.floor(pos).cast("int")), F.get(s, F.ceil(pos).cast("int"))
         return lo + (hi - lo) * (pos - F.floor(pos))
 
-    return F.least(F.lit(cap), F.greatest(F.abs(pct(share)), F.abs(pct(1 - share))))
+    return let(F.array_sort(_c(x)), lambda s: F.least(F.lit(cap), F.greatest(F.abs(pct(s, share)), F.abs(pct(s, 1 - share)))))
 
 
 def zscore(x: str | Column, mu: Column, sd: Column, eps: float = 1e-12) -> Column:
     """P27."""
-    return F.transform(_c(x), lambda v: (v - mu) / (sd + F.lit(eps)))
+    return let(F.struct(mu.alias("m"), (sd + F.lit(eps)).alias("s")), lambda k: F.transform(_c(x), lambda v: (v - k["m"]) / k["s"]))
 
 
 def sentinel(x: str | Column, value: float) -> Column:
@@ -120,7 +132,7 @@ def derived_features(df: DataFrame) -> DataFrame:
     g, eps = F.col, 1e-9
     vals = F.filter(F.array("rr_prev", "rr_next", "rr_local_mean", "rr_local_std"), lambda v: v > 0)
     s = total(vals)
-    entropy = F.when(s > 0, -F.aggregate(vals, F.lit(0.0), lambda a, v: a + v / s * F.log(v / s))).otherwise(0.0)
+    entropy = let(s, lambda t: F.when(t > 0, -F.aggregate(vals, F.lit(0.0), lambda a, v: a + v / t * F.log(v / t))).otherwise(0.0))
     return df.withColumns({
         "rr_delta": g("rr_next") - g("rr_prev"),
         "rr_delta_abs": F.abs(g("rr_next") - g("rr_prev")),

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrays import let
 from .ordering import hash_bucket, hash_int, hash_unit, numbered, stable_hash
 
 
@@ -140,12 +141,12 @@ def bootstrap_noise(df: DataFrame, group: str, ident: Sequence[str], samples: st
 
 def gaussian(x: Column, h: Column, sigma: float) -> Column:
     """Array plus noise that depends only on the hash (Box-Muller on hashed uniforms)."""
-    def noisy(v: Column, i: Column) -> Column:
+    def noisy(v: Column, i: Column, h: Column) -> Column:
         u1 = F.greatest(F.lit(1e-12), (F.pmod(F.xxhash64(h, i), F.lit(1 << 30)) + 0.5) / float(1 << 30))
         u2 = F.pmod(F.xxhash64(i, h, F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
         return v + F.lit(sigma) * F.sqrt(F.log(u1) * -2.0) * F.cos(u2 * (2 * np.pi))
 
-    return F.transform(x, noisy)
+    return let(h, lambda k: F.transform(x, lambda v, i: noisy(v, i, k)))
 
 
 def neighbour_pairs(df: DataFrame, ident: str, vec: str, k: int, where: Column | None = None) -> DataFrame:
@@ -198,7 +199,7 @@ def smote(df: DataFrame, cls: str, ident: str, vec: str, value, n_new: int, k: i
     nn = neighbour_pairs(df, ident, vec, k, F.col(cls) == F.lit(value)).select(F.col("qid").alias(ident), "rank", F.col("id").alias("_nid"))
     x = b.join(nn, [ident, "rank"]).join(c.select(F.col(ident).alias("_nid"), F.col("_v").alias("_nv")), "_nid")
     u = hash_unit(F.col("_h"), 9)
-    return x.select(ident, "copy", F.lit(value).alias(cls), F.zip_with("_v", "_nv", lambda a, q: a.cast("double") + (q.cast("double") - a.cast("double")) * u).alias(vec))
+    return x.select(ident, "copy", F.lit(value).alias(cls), let(u, lambda t: F.zip_with("_v", "_nv", lambda a, q: a.cast("double") + (q.cast("double") - a.cast("double")) * t)).alias(vec))
 
 
 def adasyn_quota(df: DataFrame, cls: str, ident: str, vec: str, value, n_new: int, k: int = 5) -> DataFrame:

@@ -19,10 +19,9 @@ def unit_window(df: DataFrame, samples: str, pre: int, post: int, base: int = 20
     """Window around the centre, median of its first samples removed, unit length (zeros if flat)."""
     c = F.floor(F.size(samples) / 2)
     w = A.doubles(A.window(samples, c - pre, pre + post))
-    x = df.withColumn("_w", F.transform(w, lambda v: v - A.median(A.window(w, 0, base))))
+    x = df.withColumn("_w", A.let(A.median(A.window(w, 0, base)), lambda b: F.transform(w, lambda v: v - b)))
     norm = F.sqrt(A.dot("_w", "_w"))
-    x = x.withColumn("_n", norm)
-    return x.withColumn(name, F.transform("_w", lambda v: F.when(F.col("_n") > eps, v / F.col("_n")).otherwise(0.0))).drop("_w", "_n")
+    return x.withColumn(name, A.let(norm, lambda n: F.transform("_w", lambda v: F.when(n > eps, v / n).otherwise(0.0)))).drop("_w")
 
 
 def group_prototypes(df: DataFrame, group: str, label: str, vec: str, ident: Sequence[str], k: int = MAX_BEATS_PER_GROUP) -> DataFrame:
@@ -39,8 +38,8 @@ def group_prototypes(df: DataFrame, group: str, label: str, vec: str, ident: Seq
     x = x.join(n, [label, group]).filter(is_even_position(F.col("_rn") - 1, F.col("_c"), k, rounded=True))
     m = x.groupBy(label, group).agg(Summarizer.mean(array_to_vector(F.col(vec))).alias("_m"), F.count("*").alias("n_beats"))
     m = m.withColumn("_p", vector_to_array("_m"))
-    m = m.withColumn("_len", F.greatest(F.lit(1e-8), F.sqrt(A.dot("_p", "_p"))))
-    return m.select(label, group, "n_beats", F.transform("_p", lambda v: v / F.col("_len")).alias("prototype"))
+    size = F.greatest(F.lit(1e-8), F.sqrt(A.dot("_p", "_p")))
+    return m.select(label, group, "n_beats", A.let(size, lambda n: F.transform("_p", lambda v: v / n)).alias("prototype"))
 
 
 def fit_bank(prototypes: DataFrame, label: str, counts: dict[str, int], seed: int = 42) -> dict[str, np.ndarray]:

@@ -167,7 +167,7 @@ def qrs_window(samples: str, fs: float, centre: Column | int | None = None, pre_
     c = F.floor(F.size(samples) / 2) if centre is None else (F.lit(centre) if isinstance(centre, int) else centre)
     w = A.doubles(A.window(samples, c - pre, pre + post))
     base = A.median(A.window(w, 0, min(max(5, _ms(base_ms, fs)), pre + post)))
-    return F.transform(w, lambda v: v - base)
+    return A.let(base, lambda b: F.transform(w, lambda v: v - b))
 
 
 def direct_morphology(df: DataFrame, samples: str, fs: float = TARGET_FS, centre: Column | int | None = None, eps: float = 1e-8) -> DataFrame:
@@ -238,7 +238,7 @@ def sampled_qrs(df: DataFrame, samples: str, fs: float = TARGET_FS, step_ms: flo
     pre, post, step = _ms(120.0, fs), _ms(180.0, fs), _ms(step_ms, fs)
     x = df.withColumn("_q", qrs_window(samples, fs))
     top = F.array_max(F.transform("_q", lambda v: F.abs(v)))
-    x = x.withColumn("_n", F.transform("_q", lambda v: v / F.greatest(top, F.lit(eps))))
+    x = x.withColumn("_n", A.let(F.greatest(top, F.lit(eps)), lambda t: F.transform("_q", lambda v: v / t)))
     n = pre + post
     idx = lambda i: F.get("_n", i)
     # central differences, one-sided at the ends
@@ -249,22 +249,22 @@ def sampled_qrs(df: DataFrame, samples: str, fs: float = TARGET_FS, step_ms: flo
     pick = lambda c: F.transform(at, lambda i: F.get(c, i))
     return x.select(
         *df.columns, pick(F.col("_q")).alias("qrs_raw"), pick(F.col("_n")).alias("qrs_norm"),
-        F.transform(pick(F.col("_g")), lambda v: v / F.greatest(gtop, F.lit(eps))).alias("qrs_diff_norm"))
+        A.let(F.greatest(gtop, F.lit(eps)), lambda t: F.transform(pick(F.col("_g")), lambda v: v / t)).alias("qrs_diff_norm"))
 
 
-def waveform_hash(samples: Column, domain: str = "waveform/v1") -> Column:
-    """Digest of a domain prefix, the shape and the float32 bytes."""
+def add_waveform_hash(df: DataFrame, samples: str, name: str = "waveform_sha256", domain: str = "waveform/v1") -> DataFrame:
+    """Digest of a domain prefix, the shape and the float32 bytes of each row."""
     prefix = domain.encode() + b"\x00"
 
-    @F.pandas_udf(T.StringType())
-    def digest(v: pd.Series) -> pd.Series:
-        def one(x) -> str:
-            row = np.ascontiguousarray(x, dtype="<f4")
-            return hashlib.sha256(prefix + struct.pack("<q", len(row)) + row.tobytes()).hexdigest()
+    def one(x) -> str:
+        row = np.ascontiguousarray(x, dtype="<f4")
+        return hashlib.sha256(prefix + struct.pack("<q", len(row)) + row.tobytes()).hexdigest()
 
-        return v.map(one)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{name: pdf[samples].map(one)})
 
-    return digest(samples)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
 def json_hash(cols: dict[str, Column], domain: str) -> Column:

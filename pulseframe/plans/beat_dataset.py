@@ -30,12 +30,12 @@ def build_beats(annotations: DataFrame, signals: DataFrame, bucket_width: float
     keys = [*KEYS, "ann_idx"]
     m = Wv.with_sentinels(Wv.morphology(w, keys, "waveform"))
     x = w.join(m, keys)
-    return x.select(
+    x = x.select(
         "*",
         F.concat_ws(":", F.col("dataset").cast("string"), F.col("record_id").cast("string"), F.lit("beat"), F.col("ann_idx").cast("string"), F.lit("target"), F.col("peak").cast("string")).alias("sample_id"),
         O.lookup(O.CLASS_CODE, "label").alias("y"),
-        Wv.waveform_hash(F.col("waveform")).alias("waveform_sha256"),
-    ).drop("sig_len", "idx", "rr_for_window"), bad
+    ).drop("sig_len", "idx", "rr_for_window")
+    return Wv.add_waveform_hash(x, "waveform"), bad
 
 
 FEATURES = [

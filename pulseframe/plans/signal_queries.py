@@ -59,7 +59,7 @@ def w11(spark, sf):
 
 
 GOOD_SQL = f"""{SIGNAL_SQL}, {ANN_SQL}, gd AS (SELECT a.*, CAST(round_even(native_sample::DOUBLE * (500.0::DOUBLE / fs_native), 0) AS BIGINT) AS peak, len(samples) AS n, samples FROM ann a JOIN signal s ON s.record_id = a.record_id WHERE symbol <> '~'),
- ok AS (SELECT * FROM gd WHERE peak >= 0 AND peak < n),
+ ok AS (SELECT * FROM gd WHERE peak >= 0 AND peak < n AND record_id NOT IN (SELECT record_id FROM gd GROUP BY 1 HAVING avg((peak < 0 OR peak >= n)::INT) > 0.01)),
  sq AS (SELECT *, row_number() OVER w AS idx, lag(peak) OVER w AS pp, lead(peak) OVER w AS np FROM ok WINDOW w AS (PARTITION BY record_id ORDER BY peak, ann_idx)),
  rr AS (SELECT *, CASE WHEN idx = 1 THEN CASE WHEN np - peak > 0 THEN (np - peak) * 2.0 ELSE 1000.0 END ELSE (peak - pp) * 2.0 END AS rw FROM sq),
  sg AS (SELECT *, CASE WHEN rw < 600 THEN 150 ELSE 250 END AS half FROM rr),
@@ -226,7 +226,7 @@ def a39(spark, sf):
 
 @R.add("p7_waveform_hash", f"WITH {WIN_SQL} SELECT count(DISTINCT w::FLOAT[]) AS n_distinct, count(*) AS n FROM win")
 def p7(spark, sf):
-    h = windows(spark, sf).select(Wv.waveform_hash(F.col("w")).alias("h"))
+    h = Wv.add_waveform_hash(windows(spark, sf), "w", "h")
     return h.groupBy("h").agg(F.count("*").alias("c")).agg(F.count("*").alias("n_distinct"), F.sum("c").alias("n"))
 
 
@@ -248,8 +248,8 @@ def p8(spark, sf):
 
 
 @R.add("p21_quality_flags", f"""WITH {WIN_SQL}, a AS (SELECT record_id, list_transform(w, lambda v: v * 8) AS w FROM win), f AS (SELECT record_id, list_stddev_pop(w) < 0.9 AS flat, list_max(list_transform(w, lambda v: abs(v))) >= 9.99 AS sat,
-  list_position(list_transform(w, lambda v: abs(v)), list_max(list_transform(w, lambda v: abs(v)))) - 1 AS at FROM a)
-SELECT record_id, flat AS flatline, sat AS saturated, (at < 225 OR at > 275) AS misaligned, CASE WHEN flat::INT + sat::INT + (at < 225 OR at > 275)::INT > 1 THEN 'MULTIPLE_FLAGS' WHEN flat THEN 'FLATLINE' WHEN sat THEN 'SATURATED' WHEN at < 225 OR at > 275 THEN 'MISALIGNED' ELSE 'OK' END AS quality FROM f""")
+  list_position(list_transform(w, lambda v: abs(v)), list_max(list_transform(w, lambda v: abs(v)))) - 1 AS mx FROM a)
+SELECT record_id, flat AS flatline, sat AS saturated, (mx < 225 OR mx > 275) AS misaligned, CASE WHEN flat::INT + sat::INT + (mx < 225 OR mx > 275)::INT > 1 THEN 'MULTIPLE_FLAGS' WHEN flat THEN 'FLATLINE' WHEN sat THEN 'SATURATED' WHEN mx < 225 OR mx > 275 THEN 'MISALIGNED' ELSE 'OK' END AS quality FROM f""")
 def p21(spark, sf):
     x = windows(spark, sf).withColumn("w", F.transform("w", lambda v: v * 8))
     return x.select("record_id", *[c.alias(n) for n, c in A.quality_flags("w", flat=0.9).items()])
