@@ -121,9 +121,10 @@ def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def directory_checksum(files: DataFrame) -> DataFrame:
-    """Q10: digest of the (path, hash) list in path order; one short line per file."""
+    """Q10: digest of all (path, hash) lines; lines are digested per path-hash bucket, then the buckets."""
     line = F.concat_ws(" ", "path", "sha256")
-    return files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("checksum"), F.count("*").alias("n_files"))
+    b = files.groupBy(F.substring(F.sha2("path", 256), 1, 3).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"), F.count("*").alias("n"))
+    return b.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "b", "h"))), "\n"), 256).alias("checksum"), F.sum("n").alias("n_files"))
 
 
 def schema_hash(names: Sequence[str]) -> Column:
