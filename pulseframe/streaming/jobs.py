@@ -46,8 +46,12 @@ def live_progress(stream: DataFrame, state: str = "state") -> DataFrame:
 _RING_STATE = "peaks array<long>"
 
 
-def _stateful(fn: Callable, schema: str, key: str, df: DataFrame, ttl_ms: int) -> DataFrame:
-    """Keyed state of the latest peaks; a silent record is forgotten after the time-out."""
+def _stateful(fn: Callable, schema: str, key: str, df: DataFrame, event_time: str | None, ttl_ms: int) -> DataFrame:
+    """Keyed state of the latest peaks.
+
+    With an event time, a record is forgotten once the watermark is `ttl_ms` past its last
+    beat; without one its (few numbers of) state is kept.
+    """
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -56,10 +60,17 @@ def _stateful(fn: Callable, schema: str, key: str, df: DataFrame, ttl_ms: int) -
         old = list(state.get[0]) if state.exists else []
         out, ring = fn(k[0], pdf, old)
         state.update((ring,))
-        state.setTimeoutDuration(ttl_ms)
+        if event_time is not None:
+            last = int(pdf[event_time].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
         yield out
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, _RING_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout
+    return df.groupBy(key).applyInPandasWithState(run, schema, _RING_STATE, "append", timeout)
+
+
+def _inputs(record: str, ident: str, peak: str, event_time: str | None) -> list:
+    return [record, ident, F.col(peak).cast("long").alias(peak), *([event_time] if event_time else [])]
 
 
 def causal_stream(stream: DataFrame, record: str, ident: str, peak: str, fs: float, event_time: str | None = None, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
@@ -86,13 +97,15 @@ def causal_stream(stream: DataFrame, record: str, ident: str, peak: str, fs: flo
         return out, [int(v) for v in seq[-4:]]
 
     schema = f"{record} {types[record]}, {ident} {types[ident]}, " + ", ".join(f"{c} long" for c in lags)
-    x = _stateful(step, schema, record, stream.select(record, ident, F.col(peak).cast("long").alias(peak)), ttl_ms)
+    x = _stateful(step, schema, record, stream.select(*_inputs(record, ident, peak, event_time)), event_time, ttl_ms)
     rr = [(F.col(lags[i]) - F.col(lags[i + 1])) * F.lit(1000.0 / fs) for i in range(4)]
     return x.select(record, ident, F.col("_l0").alias(peak), *[causal_expressions(rr)[n].alias(n) for n in CAUSAL_FEATURES])
 
 
-def stability_stream(stream: DataFrame, record: str, ident: str, peak: str, threshold_ms: float, threshold_ratio: float, window: int = 5, minimum: int = 3, fs: float = 1000.0, ttl_ms: int = 3_600_000) -> DataFrame:
+def stability_stream(stream: DataFrame, record: str, ident: str, peak: str, threshold_ms: float, threshold_ratio: float, window: int = 5, minimum: int = 3, fs: float = 1000.0, event_time: str | None = None, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
     """ST2: skip flag from the last five intervals of each record."""
+    if event_time is not None:
+        stream = stream.withWatermark(event_time, delay)
     types = dict(stream.dtypes)
 
     def step(key, pdf: pd.DataFrame, old: list[int]):
@@ -111,7 +124,7 @@ def stability_stream(stream: DataFrame, record: str, ident: str, peak: str, thre
         return out, [int(v) for v in seq[-(window + 1):]]
 
     schema = f"{record} {types[record]}, {ident} {types[ident]}, skip boolean"
-    return _stateful(step, schema, record, stream.select(record, ident, F.col(peak).cast("long").alias(peak)), ttl_ms)
+    return _stateful(step, schema, record, stream.select(*_inputs(record, ident, peak, event_time)), event_time, ttl_ms)
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
