@@ -7,6 +7,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .arrays import let
+
 # Chunk length, overlap and the length up to which a text is kept whole.
 CHUNK_SIZE, CHUNK_OVERLAP, MAX_CHUNK_CHARS = 512, 64, 1024
 
@@ -59,20 +61,27 @@ def version(name: Column) -> Column:
 
 
 def tags(text: Column) -> Column:
-    """Sorted tags whose keywords occur, case ignored."""
-    low = F.lower(text)
-    out = []
-    for tag in sorted(TAG_KEYWORDS):
-        hit = F.lit(False)
-        for k in TAG_KEYWORDS[tag]:
-            hit = hit | low.contains(k.lower())
-        out.append(F.when(hit, tag))
-    return F.array_compact(F.array(*out))
+    """Sorted tags whose keywords occur, case ignored; the text is lowered once."""
+    def found(low: Column) -> Column:
+        out = []
+        for tag in sorted(TAG_KEYWORDS):
+            hit = F.lit(False)
+            for k in TAG_KEYWORDS[tag]:
+                hit = hit | low.contains(k.lower())
+            out.append(F.when(hit, tag))
+        return F.array_compact(F.array(*out))
+
+    return let(F.lower(text), found)
+
+
+# A text without this character cannot match the pattern at the same place above.
+_PII_NEEDS = ["-", "/", "@", ":"]
 
 
 def pii(text: Column) -> Column:
-    """All matches of personal data."""
-    return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in PII_PATTERNS])
+    """All matches of personal data; patterns run only where their fixed character occurs."""
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(text.contains(c), F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for p, c in zip(PII_PATTERNS, _PII_NEEDS)])
 
 
 def front_matter(text: Column) -> Column:

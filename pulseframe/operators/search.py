@@ -35,7 +35,12 @@ def build_index(
     clean = x.filter(F.size("matches") == 0).select(
         TX.chunk_id(F.col(source), F.col("content")).alias("chunk_id"), F.col(source).alias("source"), TX.layer(name).alias("layer"),
         TX.version(name).alias("version"), TX.tags(F.col("content")).alias("tags"), *[c for c in order if c != source], "part", "content")
-    kept, copies = keep_first(clean, "chunk_id", [*order, "part"])
+    # equal ids mean equal source and content, so one aggregate gives the first row and the
+    # number of copies; copies are combined on the map side and never meet in one list
+    cols = [*[c for c in order if c in clean.columns], "part", *[c for c in clean.columns if c not in (*order, "part", "chunk_id")]]
+    g = clean.groupBy("chunk_id").agg(F.min(F.struct(*cols)).alias("_f"), F.count("*").alias("_n"))
+    kept = g.select("chunk_id", "_f.*").select(*clean.columns)
+    copies = g.filter("_n > 1").select("chunk_id", F.col("_f.source").alias("source"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"))).alias("_c"))
     if embed is not None:
         kept = kept.withColumn("embedding", embed(F.col("content")))
     rejects = x.filter(F.size("matches") > 0).select(

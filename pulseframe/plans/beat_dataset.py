@@ -27,9 +27,8 @@ def build_beats(annotations: DataFrame, signals: DataFrame, bucket_width: float
     first = F.when(F.col("rr_next") > 0, F.col("rr_next")).otherwise(1000.0)
     t = t.withColumn("rr_for_window", F.when(F.col("idx") == 1, first).otherwise(F.col("rr_prev")))
     w = Wv.segment_beats(t, signals, KEYS, "samples")
-    keys = [*KEYS, "ann_idx"]
-    m = Wv.with_sentinels(Wv.morphology(w, keys, "waveform"))
-    x = w.join(m, keys)
+    # all columns ride along, so the windows are built once and not joined back
+    x = Wv.with_sentinels(Wv.morphology(w, w.columns, "waveform"))
     x = x.select(
         "*",
         F.concat_ws(":", F.col("dataset").cast("string"), F.col("record_id").cast("string"), F.lit("beat"), F.col("ann_idx").cast("string"), F.lit("target"), F.col("peak").cast("string")).alias("sample_id"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import search as S
+from ..session import pinned, spread
 from . import bindings as B
 from .registry import Registry
 
@@ -18,7 +19,7 @@ def docs(spark, sf):
     i = F.col("doc_id")
     path = F.concat(F.lit("docs/"), "source", F.lit("/Camada-0"), (i % 9).cast("string"), F.lit("_v"), (i % 3).cast("string"), F.lit("."), (i % 10).cast("string"),
                     F.when(i % 11 == 0, ".dat").otherwise(".md"))
-    return B.table(spark, sf, "documents").select("doc_id", path.alias("path"), "text", "source")
+    return spread(B.table(spark, sf, "documents").select("doc_id", path.alias("path"), "text", "source"))
 
 
 def _like_any(keys) -> str:
@@ -146,7 +147,7 @@ BM_SQL = r"""WITH tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_t
 
 
 def _bm(spark, sf, stemmed=False):
-    ix = S.postings(B.table(spark, sf, "documents"), "doc_id", "text", stemmed)
+    ix = pinned(S.postings(spread(B.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", stemmed))  # the index is a stored table
     return S.bm25(ix, B.table(spark, sf, "benchmark"), "item_id", "text", 10, stemmed)
 
 

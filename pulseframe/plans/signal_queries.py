@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import segments as Sg, templates as Tp, waveforms as Wv
+from ..session import spread
 from . import beat_dataset as BD, bindings as B
 from .registry import Registry
 
@@ -25,7 +26,7 @@ def _fs():
 
 
 def signals(spark, sf):
-    e = B.table(spark, sf, "embeddings")
+    e = spread(B.table(spark, sf, "embeddings"))
     tile = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(REPEAT - 1)), lambda i: F.transform("embedding", lambda v: v.cast("double") * (i % 5 + 1).cast("double"))))
     return e.select((F.col("vec_id") % 3).alias("dataset"), F.col("vec_id").alias("record_id"), "label", _fs().alias("fs"), tile.alias("samples"))
 

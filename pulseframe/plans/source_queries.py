@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..sources import catalog as Cat, logs as L
 from ..streaming import jobs as J
 from . import bindings as B
@@ -75,10 +73,7 @@ def s17b(spark, sf):
 # ---- streaming --------------------------------------------------------------------------
 
 def _work(spark) -> str:
-    """A folder of its own below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark)
 
 
 def _stream(spark, sf, name):

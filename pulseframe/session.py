@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +38,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pulseframe-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path below the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{base}/pulseframe-{uuid.uuid4().hex}"
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: rows, and any partition-dependent values in them, no longer change."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Lineage ends here and lost executors cost nothing; later reads prune columns, and values
+    no longer depend on how a partition is recomputed.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 # A side is broadcast only when a count of it stays below this many rows.
@@ -50,3 +63,12 @@ BROADCAST_ROWS = 50_000
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Count at most rows + 1 rows; true when the side is small enough to broadcast."""
     return df.limit(rows + 1).count() <= rows
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan with fewer splits than cores before per-row heavy work.
+
+    Large inputs have many splits and pass through unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
