@@ -190,7 +190,7 @@ def t6(spark, sf):
     return h.withColumn("score", F.round("score", 6))
 
 
-HYB_SQL = BM_SQL + """, dv AS (SELECT vec_id % (SELECT count(*) FROM documents) AS id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), qv AS (SELECT item_id AS qid, v FROM benchmark JOIN dv ON dv.id = item_id),
+HYB_SQL = BM_SQL + """, dv AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), qv AS (SELECT item_id AS qid, v FROM benchmark JOIN dv ON dv.id = item_id),
  vs AS (SELECT qid, dv.id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv.v, dv.v), 9) DESC, dv.id) AS rank FROM qv CROSS JOIN dv QUALIFY rank <= 10),
  fu AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT qid, id, rank FROM bm UNION ALL SELECT qid, id, rank FROM vs) GROUP BY ALL),
  fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu QUALIFY rank <= 20),
