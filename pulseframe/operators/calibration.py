@@ -64,7 +64,7 @@ def _nll(z: Column, y: Column) -> Column:
     return F.avg(F.greatest(z, F.lit(0.0)) - z * y + F.log1p(F.exp(-F.abs(z))))
 
 
-def _search(df: DataFrame, loss_at, lo: float, hi: float, passes: int = 5, points: int = 24) -> float:
+def _search(df: DataFrame, loss_at, lo: float, hi: float, passes: int = 9, points: int = 8) -> float:
     """Minimum of a one-parameter loss: each pass evaluates all points in one aggregate."""
     a, b = np.log(lo), np.log(hi)
     for _ in range(passes):
