@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
+from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
 
@@ -20,3 +22,8 @@ FROM d WINDOW w AS (PARTITION BY t)
 @R.add("op6_exact_dedup", _OP6)
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@R.add("op3_byte_bpe")
+def op3_byte_bpe(spark, sf_dir):
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
