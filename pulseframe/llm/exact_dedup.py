@@ -19,8 +19,12 @@ STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every store sets 4 MB of disk aside
 }
 
+# Digests of repeated texts (32 bytes each) are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_HITS = 1_000_000
+
 
 def sha256(text: Column) -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
@@ -61,31 +65,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     be any function of the text: equal digests of different texts are told apart by the bytes.
     """
     spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), text.alias("text"))
+    key = F.unhex(digest(F.col(text_col)))
     folder = shared_folder(spark)
-    docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.input_file_name().alias("file")).write.parquet(f"{folder}/arrivals")
-    schema = spark.read.parquet(f"{folder}/arrivals").schema
-    ingest(f"{folder}/arrivals", schema, f"{folder}/state", spark, bytes_per_batch)
-    state = pinned(read_state(spark, f"{folder}/state").select("digest", "n", "keep_id"))
+    docs.select(F.col(id_col).alias("id"), key.alias("digest"), F.input_file_name().alias("file")).write.parquet(f"{folder}/arrivals")
+    arrivals = spark.read.parquet(f"{folder}/arrivals")
+    ingest(f"{folder}/arrivals", arrivals.schema, f"{folder}/state", spark, bytes_per_batch)
+    state = pinned(read_state(spark, f"{folder}/state").select(F.col("digest").alias("d"), "n", "keep_id"))
     hits = state.filter("n > 1")
-    # The row that stands for a digest, with its text; ids may repeat, so one row of each is taken.
-    reps = base.join(hits.filter("keep_id is not null").selectExpr("digest as d", "keep_id as k"), F.col("id") == F.col("k")).filter("digest = d").groupBy("d").agg(F.min("text").alias("rep_text"))
-    known = state.join(reps, state["digest"] == reps["d"], "left").select(F.col("digest").alias("d"), "n", "keep_id", "rep_text")
-    out = (
-        base.join(known, F.col("digest") == F.col("d"))
-        .select("id", "digest", "n", "keep_id", sha256(F.col("text")).alias("text_sha256"), F.when((F.col("n") > 1) & ~F.col("text").eqNullSafe(F.col("rep_text")), F.col("text")).alias("odd"))
-    )
-    out = pinned(out)
-    odd = out.filter("odd is not null")
-    if odd.isEmpty():
-        final = out.select("id", "keep_id", "n", "text_sha256")
-    else:
-        groups = odd.groupBy("digest", "odd").agg(F.max("id").alias("k2"), F.count("*").alias("n2"))
+    # Only rows that hit need their bytes; the digests to look for are broadcast while they are few.
+    wanted = F.broadcast(hits) if hits.count() <= BROADCAST_HITS else hits
+    base = docs.select(F.col(id_col).alias("id"), key.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    full = base.join(wanted, F.col("digest") == F.col("d"))
+    reps = full.filter("id <=> keep_id").groupBy("d").agg(F.min("text").alias("rep_text"))
+    odd = pinned(full.select("id", "digest", "text").join(reps, F.col("digest") == F.col("d")).filter("not (text <=> rep_text)").select("id", "digest", "text"))
+    out = arrivals.join(state, F.col("digest") == F.col("d")).select("id", "digest", "n", "keep_id")
+    if not odd.isEmpty():  # equal digests of different texts
+        groups = odd.groupBy("digest", "text").agg(F.max("id").alias("k2"), F.count("*").alias("n2"))
+        apart = odd.select("id", "digest").groupBy("id", "digest").agg(F.count("*").alias("times")).join(odd.select("id", "digest", "text").distinct().join(groups, ["digest", "text"]), ["id", "digest"])
         less = odd.groupBy("digest").agg(F.count("*").alias("n3"))
-        same = out.filter("odd is null").join(less, "digest", "left").select("id", "keep_id", (F.col("n") - F.coalesce("n3", F.lit(0))).alias("n"), "text_sha256")
-        final = same.unionByName(odd.select("id", "digest", "odd", "text_sha256").join(groups, ["digest", "odd"]).select("id", F.col("k2").alias("keep_id"), F.col("n2").alias("n"), "text_sha256"))
-    return final.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        marks = odd.select("id", "digest").distinct()
+        same = out.join(marks, out["id"].eqNullSafe(marks["id"]) & (out["digest"] == marks["digest"]), "left_anti").join(less, "digest", "left").select("id", "keep_id", (F.col("n") - F.coalesce("n3", F.lit(0))).alias("n"), "digest")
+        out = same.unionByName(apart.select("id", F.col("k2").alias("keep_id"), F.col("n2").alias("n"), "digest"))
+    return out.select(F.col("id").alias(id_col), "keep_id", F.col("n").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
