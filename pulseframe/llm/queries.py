@@ -9,6 +9,8 @@ from ..plans.registry import Registry
 from .byte_bpe import encode_documents
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
+from .packing import pack
 
 R = Registry()
 
@@ -27,3 +29,15 @@ def op6_exact_dedup(spark, sf_dir):
 @R.add("op3_byte_bpe")
 def op3_byte_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
+
+
+@R.add("op8_html_extract")
+def op8_html_extract(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    # The url rides along under a name of its own: one pass over the pages, no join.
+    return extract_pages(pages, carry=["url"]).select("page_id", "url", "text", "n_chars")
+
+
+@R.add("op10_harmonic_packing")
+def op10_harmonic_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
