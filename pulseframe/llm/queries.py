@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from .byte_bpe import encode_documents
+from .chat import conversation_digests
 from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
@@ -41,3 +42,27 @@ def op8_html_extract(spark, sf_dir):
 @R.add("op10_harmonic_packing")
 def op10_harmonic_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+_OP7 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(regexp_replace(text, '([\\<\[])', '\\\1', 'g')) AS e, length(regexp_replace(role, '([\\<\[])', '\\\1', 'g')) AS r FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(CASE role WHEN 'user' THEN e + 15 WHEN 'assistant' THEN e + 5 ELSE e + r + 14 END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@R.add("op7_chat_format", _OP7)
+def op7_chat_format(spark, sf_dir):
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], told.schema)
+    return conversation_digests(told.unionByName(added))
