@@ -70,3 +70,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
+
+
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
+    """About `per_class` rows of each label, chosen by a hash of `key`; all rows of a label that has fewer.
+
+    The number of rows per label is counted first, so the sample does not grow with the input.
+    """
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    few = [(r[label], r["_n"]) for r in counts.orderBy(F.desc("_n"), label).limit(1000).collect()]
+    share = None
+    for name, n in few:
+        test = F.col(label).eqNullSafe(F.lit(name)) & (hash_unit(key) < per_class / n)
+        share = test if share is None else share | test
+    return rows.filter(share if share is not None else F.lit(False))

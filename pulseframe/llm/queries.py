@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..plans.registry import Registry
 from .byte_bpe import encode_documents
 from .chat import conversation_digests
-from .common import table
+from .common import crc_mod, table
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
+from .language_id import fit as fit_languages, identify
 from .packing import pack
 
 R = Registry()
@@ -66,3 +67,11 @@ def op7_chat_format(spark, sf_dir):
     said = "</s>[INST] ok [/INST]"
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], told.schema)
     return conversation_digests(told.unionByName(added))
+
+
+@R.add("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    model = fit_languages(docs, "lang", "text", ~held & F.col("doc_id").isNotNull())
+    return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
