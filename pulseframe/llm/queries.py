@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .language_id import fit as fit_languages, identify
 from .packing import pack
+from .quality import fit as fit_quality, score as score_quality
 
 R = Registry()
 
@@ -75,3 +76,11 @@ def op2_language_id(spark, sf_dir):
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     model = fit_languages(docs, "lang", "text", ~held & F.col("doc_id").isNotNull())
     return identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@R.add("op5_quality_crf")
+def op5_quality_crf(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held & F.col("doc_id").isNotNull())
+    return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")
