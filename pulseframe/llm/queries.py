@@ -14,6 +14,7 @@ from .html_extract import extract_pages
 from .language_id import fit as fit_languages, identify
 from .packing import pack
 from .quality import fit as fit_quality, score as score_quality
+from .toxicity import fit as fit_toxicity, score as score_toxicity
 
 R = Registry()
 
@@ -84,3 +85,11 @@ def op5_quality_crf(spark, sf_dir):
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     model = fit_quality(docs, table(spark, sf_dir, "labels"), ~held & F.col("doc_id").isNotNull())
     return score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_lines", "n_bad_lines")
+
+
+@R.add("op9_toxicity_mil")
+def op9_toxicity_mil(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held & F.col("doc_id").isNotNull())
+    return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
