@@ -9,6 +9,7 @@ from ..plans.registry import Registry
 from .byte_bpe import encode_documents
 from .chat import conversation_digests
 from .common import crc_mod, table
+from .embedding_dedup import link_embeddings
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .language_id import fit as fit_languages, identify
@@ -93,3 +94,8 @@ def op9_toxicity_mil(spark, sf_dir):
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held & F.col("doc_id").isNotNull())
     return score_toxicity(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
+
+
+@R.add("op1_embedding_dedup")
+def op1_embedding_dedup(spark, sf_dir):
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
