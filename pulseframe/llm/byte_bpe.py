@@ -23,8 +23,8 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches
-from .pretokens import WHITE, PieceCache
+from .common import map_batches, slices
+from .pretokens import WHITE, TextEncoder
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,7 +33,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: re.Pattern, words: int = 500_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: re.Pattern) -> None:
         self.ranks, self.pattern = ranks, pattern
         self.bytes_of = {v: k for k, v in ranks.items()}
         self._pairs = [-1] * 65536  # rank of every two bytes
@@ -44,9 +44,7 @@ class ByteBPE:
         # The bitmap: a bit of `low` per rank, of `mid` per word of `low`, of `top` per word of `mid`.
         self._low, self._mid = [0] * (n // 64 + 1), [0] * (n // 4096 + 1)
         self._bucket: dict[int, list[int]] = {}
-        self._words: dict[str, bytes] = {}
-        self._room = words
-        self._cache = PieceCache(self._encode_text)
+        self._texts = TextEncoder(self._encode_words, self._encode_text, pattern)
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -118,26 +116,18 @@ class ByteBPE:
             i = k
         return out
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (self.merge(w.encode("utf-8", "surrogatepass")) for w in words)]
+
     def _encode_text(self, text: str) -> bytes:
-        seen, out = self._words, []
-        for word in self.pattern.findall(text):
-            packed = seen.get(word)
-            if packed is None:
-                ids = self.merge(word.encode("utf-8", "surrogatepass"))
-                packed = struct.pack(f"<{len(ids)}I", *ids)
-                if len(word) <= 64:
-                    if len(seen) >= self._room:
-                        seen.clear()
-                    seen[word] = packed
-            out.append(packed)
-        return b"".join(out)
-
-    def encode_packed(self, text: str) -> bytes:
-        """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        return self._cache.encode(text)
+        return b"".join(self._encode_words(self.pattern.findall(text)))
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        return self._texts.encode_many(texts)
 
     def encode(self, text: str) -> list[int]:
-        b = self.encode_packed(text)
+        b = self.encode_packed([text])[0]
         return list(struct.unpack(f"<{len(b) // 4}I", b))
 
     def decode(self, ids) -> bytes:
@@ -189,11 +179,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             rows: dict[str, list] = {f.name: [] for f in fields}
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                text = text.as_py() or ""
-                packed = enc.encode_packed(text)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for key, text, packed in zip(b.column(0).to_pylist(), texts, enc.encode_packed(texts)):
                 got = memoryview(packed).cast("I") if packed else ()
                 raw = enc.decode(got)
                 rows["id"].append(key)

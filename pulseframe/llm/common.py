@@ -84,3 +84,15 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> Dat
         test = F.col(label).eqNullSafe(F.lit(name)) & (hash_unit(key) < per_class / n)
         share = test if share is None else share | test
     return rows.filter(share if share is not None else F.lit(False))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows; a part is cut short when it exceeds `size` bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(rows, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > size:
+                n //= 2
+            yield b.slice(at, n)
+            at += n

@@ -10,7 +10,9 @@ task ends is laid end to end and cut into powers of two, which need no padding.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches
-from .pretokens import PieceCache
+from .byte_bpe import compile_pattern
+from .common import map_batches, slices
+from .pretokens import TextEncoder
 
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -84,20 +87,25 @@ class HarmonicPacker:
 
 
 @lru_cache(maxsize=2)
-def piece_tokenizer(path: str) -> PieceCache:
+def text_encoder(path: str, pattern: str) -> TextEncoder:
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return PieceCache(lambda s: np.asarray(t.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes(), entries=800_000)
 
+    def words(found: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(found, add_special_tokens=False)]
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, slack: int = 32, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    return TextEncoder(words, lambda s: words([s])[0], compile_pattern(pattern))
+
+
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 1, slack: int = 32, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Pack all documents: one row per piece with id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A document is its token ids and then `end_id`; a null or empty text has only that one. Rows
     with the same id, or a null id, are packed as documents of their own. Other columns are
-    ignored. An empty table gives no rows. sequence_id is the task's partition number times
+    ignored. An empty table gives no rows. `pattern` is the pre-token pattern of the
+    vocabulary, used only to look words up that were tokenized before. sequence_id is the task's partition number times
     2^33 plus a counter, so a task that runs again gives the same rows as before.
     """
     fields = [pa.field(n, pa.int64()) for n in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
@@ -106,7 +114,8 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, slac
     out_schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = piece_tokenizer(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        tok = text_encoder(path, pattern)
         packer = HarmonicPacker(capacity, slack, TaskContext.get().partitionId() << 33)
         end = int(end_id).to_bytes(4, "little")
         held: dict[int, list] = {}  # ids of documents with pieces in open bins: key -> [id, packed ids, tokens not placed]
@@ -126,10 +135,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, slac
                     del held[k]
             return pa.RecordBatch.from_pydict(rows, schema=out_schema)
 
-        for b in batches:
+        for b in slices(batches):
             placed: list[tuple] = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                packed = tok.encode(text.as_py() or "") + end
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for i, packed in zip(b.column(0).to_pylist(), tok.encode_many(texts)):
+                packed += end
                 n = len(packed) // 4
                 held[key] = [i, packed, n]
                 placed += packer.add(key, n)

@@ -1,44 +1,78 @@
-"""Whole texts to token ids by way of a cache of space-separated pieces.
+"""Whole texts to token ids by way of caches of pieces and words.
 
 The pre-tokenizer pattern of byte-level vocabularies always breaks between a non-space character
-and a following space, and the pieces between such breaks are tokenized independently. So a text
-is cut there with str.split, and only pieces not seen before reach the tokenizer.
+and a following space or line feed, and the pieces between such breaks are tokenized
+independently. So texts are cut there with str.split, pieces not seen before are cut into words
+by the pattern, and only words not seen before reach the tokenizer.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 # Characters of the Unicode property White_Space.
-WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = "\t-\r \x85\xa0  -     　"
 
 
 def regular(text: str) -> bool:
     """Whether all white space is one space or one line feed between two other characters."""
-    return text.replace("\n", " ").split(" ") == text.split()
-
-
-class PieceCache:
-    """encode(text) -> ids as little-endian uint32 bytes; `encode_piece` does the same for a short piece."""
-
-    def __init__(self, encode_piece: Callable[[str], bytes], entries: int = 300_000, longest: int = 200) -> None:
-        self._encode, self._room, self._longest = encode_piece, entries, longest
-        self._seen: dict[str, bytes] = {}
-
-    def _miss(self, piece: str) -> bytes:
-        ids = self._encode(piece)
-        if len(piece) <= self._longest:
-            if len(self._seen) >= self._room:
-                self._seen.clear()
-            self._seen[piece] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if "\0" in text or not regular(text):
-            return self._encode(text)
-        # A piece starts with its space or its line feed; the first has neither.
-        pieces = text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-        get, miss = self._seen.get, self._miss
-        return b"".join([get(p) or miss(p) for p in pieces])
+    if "\0" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"):
+        return False
+    # The only printable white space is the space.
+    return text.replace("\n", "").isprintable() or text.replace("\n", " ").split(" ") == text.split()
+
+
+class TextEncoder:
+    """encode_many(texts) -> for each text its ids as little-endian uint32 bytes.
+
+    `encode_words` does the same for a list of words, `encode_text` for one text with any white space.
+    Words are split off only where all characters are below `plain`, so that no two versions of
+    Unicode can disagree about their classes; other pieces go to `encode_text`.
+    """
+
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", pieces: int = 500_000, words: int = 1_000_000, longest: int = 100) -> None:
+        self._words_of, self._text, self._split, self._plain = encode_words, encode_text, pattern.findall, plain
+        self._most, self._longest = (pieces, words), longest
+        self._pieces: dict[str, bytes] = {}
+        self._words: dict[str, bytes] = {}
+
+    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not seen before; long ones are not kept."""
+        once: dict[str, bytes] = {}
+        cut: list[tuple[str, list[str]]] = []
+        for p in unknown:
+            if len(p) > self._longest or max(p) >= self._plain:
+                once[p] = self._text(p)
+            else:
+                cut.append((p, self._split(p)))
+        words = self._words
+        new = list(set().union(*(w for _, w in cut)).difference(words))
+        words.update(zip(new, self._words_of(new)))
+        get = words.__getitem__
+        for p, w in cut:
+            self._pieces[p] = get(w[0]) if len(w) == 1 else b"".join(map(get, w))
+        return once
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        if len(self._pieces) > self._most[0]:
+            self._pieces.clear()
+        if len(self._words) > self._most[1]:
+            self._words.clear()
+        out: list[bytes] = [b""] * len(texts)
+        cut: list[tuple[int, list[str]]] = []
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if regular(t):  # a piece starts with its space or its line feed; the first has neither
+                cut.append((i, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
+            else:
+                out[i] = self._text(t)
+        once = self._learn(set().union(*(p for _, p in cut)).difference(self._pieces))
+        known = {**self._pieces, **once} if once and len(self._pieces) < 1000 else self._pieces
+        for i, pieces in cut:
+            if once and known is self._pieces:
+                out[i] = b"".join([known[p] if p in known else once[p] for p in pieces])
+            else:
+                out[i] = b"".join(map(known.__getitem__, pieces))
+        return out

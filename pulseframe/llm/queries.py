@@ -45,7 +45,7 @@ def op8_html_extract(spark, sf_dir):
 
 @R.add("op10_harmonic_packing")
 def op10_harmonic_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
 _OP7 = r"""
