@@ -13,6 +13,7 @@ from .embedding_dedup import link_embeddings
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .language_id import fit as fit_languages, identify
+from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import fit as fit_quality, score as score_quality
 from .toxicity import fit as fit_toxicity, score as score_toxicity
@@ -99,3 +100,8 @@ def op9_toxicity_mil(spark, sf_dir):
 @R.add("op1_embedding_dedup")
 def op1_embedding_dedup(spark, sf_dir):
     return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@R.add("op4_minhash_dedup")
+def op4_minhash_dedup(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
