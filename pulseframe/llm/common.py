@@ -96,3 +96,25 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 <<
                 n //= 2
             yield b.slice(at, n)
             at += n
+
+
+def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """Rows for which the worker-side function of the column's values says true; all columns as they were, no shuffle."""
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = keep()
+        for b in slices(batches):
+            yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+# Ids to drop (a few dozen bytes each) are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_IDS = 1_000_000
+
+
+def without(df: DataFrame, gone: DataFrame, on: Column) -> DataFrame:
+    """Rows of df without a match in `gone`, which is broadcast only when a count shows that it is small."""
+    gone = pinned(gone)
+    return df.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, on, "left_anti")

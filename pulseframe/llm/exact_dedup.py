@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import shared_folder
-from .common import clean_name, pinned
+from .common import clean_name, pinned, without
 
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -93,4 +93,4 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` that exact_dedup keeps, all columns as they were."""
     gone_id, gone_sha = clean_name(docs, "_gone_id"), clean_name(docs, "_gone_sha")
     gone = exact_dedup(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone[gone_id]) & (sha256(docs[text_col]) == gone[gone_sha]), "left_anti")
+    return without(docs, gone, F.col(id_col).eqNullSafe(F.col(gone_id)) & (sha256(F.col(text_col)) == F.col(gone_sha)))

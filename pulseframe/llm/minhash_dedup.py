@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, pinned, slices
+from .common import clean_name, components, pinned, slices, without
 
 DENSE = 32  # members from which sub-regions are used as well
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -208,3 +208,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = some.select("id", "n", "k1", "k2").join(info, ["n", "k1", "k2"]).select("id", "n", "component_id")
     out = out.union(feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs with one document of each group of near-duplicates, all columns as they were.
+
+    Rows without an id stay.
+    """
+    gone = clean_name(docs, "_gone")
+    drop = near_duplicates(docs, id_col, text_col, **options).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias(gone)).distinct()
+    return without(docs, drop, F.col(id_col) == F.col(gone))

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, map_batches
+from .common import bounded_sample, filter_rows, map_batches
 
 BASE = 14  # numbers per line
 CHUNK = 1 << 19  # code points handled at once
@@ -274,3 +274,11 @@ def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", t
 
     out = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, score double, predicted int, n_lines long, n_bad_lines long")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_good(docs: DataFrame, model: QualityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score 0.5 or more, all columns as they were; all rows without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, text_col, lambda: lambda texts: [s >= 0.5 for s, _, _ in shared.value.scores([t or "" for t in texts])])

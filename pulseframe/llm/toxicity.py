@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import bounded_sample, map_batches, pinned
+from .common import bounded_sample, filter_rows, map_batches, pinned
 
 BITS = 18
 ORDERS = (4, 6)
@@ -197,3 +197,11 @@ def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id",
 
     out = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, "id long, score double, predicted int, n_sentences long, offending array<struct<start: long, end: long, p: double>>")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs that score under 0.5, all columns as they were; all rows without a model."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, text_col, lambda: lambda texts: [shared.value.score(t or "")[0] < 0.5 for t in texts])
