@@ -134,9 +134,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     # Standardized difference of document shares.
     share = (df + 0.5) / (n[:, None] + 1)
     z = (share[1] - share[0]) / np.sqrt(share[1] * (1 - share[1]) / n[1] + share[0] * (1 - share[0]) / n[0])
-    z[df[1] < 2] = 0
+    z[(df[1] < 3) | (share[1] < 4 * share[0])] = 0  # grams that are common without offence say nothing
     order = np.argsort(-z, kind="stable")[:features]
-    strong = order[z[order] > 4.5]  # out of reach of chance over all buckets
+    strong = order[z[order] > 3.5]
     picks = np.sort(strong if len(strong) >= 16 else order[:16]).astype(np.int32)
     got = rows.mapInArrow(_selected(spark.sparkContext.broadcast(picks)), "label int, sentences long, sentence array<int>, gram array<int>").toArrow()
     y = np.array(got.column("label").to_pylist(), np.float64)
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     used, sent = np.unique(sent, return_inverse=True)
     doc_of = np.searchsorted(base, used, side="right") - 1
     plain = sizes - np.bincount(doc_of, minlength=len(y))
-    cw = (0.5 / np.maximum(np.array([(y == 0).sum(), (y == 1).sum()]), 1))[y.astype(int)]
+    cw = (np.array([0.8, 0.2]) / np.maximum(np.array([(y == 0).sum(), (y == 1).sum()]), 1))[y.astype(int)]  # a false alarm weighs more
     w, bias = np.zeros(len(picks)), -5.0
     w += 0.05
     m, v = np.zeros(len(picks) + 1), np.zeros(len(picks) + 1)
