@@ -80,21 +80,29 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(B.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+# Files hold beats of all times, so beats wait this long for earlier ones; the heartbeat moves the watermark past all of them.
+DISORDER, HEARTBEAT = "3650 days", "2200-01-01 00:00:00"
+
+
 def _beat_stream(spark, sf):
-    e = _stream(spark, sf, "events")
-    return e.select(F.col("user_id").alias("record_id"), "event_id", B.millis("ts").alias("peak"))
+    """All events dealt over files in no order of time, read one file per batch, and then a heartbeat."""
+    path = f"{_work(spark)}/beats"
+    e = B.table(spark, sf, "events").select(F.col("user_id").alias("record_id"), "event_id", B.millis("ts").alias("peak"), F.col("ts").cast("timestamp").alias("at"))
+    e.repartition(4, F.xxhash64("event_id")).write.parquet(path)
+    e.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in e.dtypes[:3]], F.lit(HEARTBEAT).cast("timestamp").alias("at")).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", "1").parquet(path)
 
 
-@R.add("st5_causal_stream", "SELECT record_id, event_id, rr_prev_1, rr_prev_4, rr_prev_median_4, rr_pnn50_4, tachycardia_flag FROM (" + SEQ.sql["w2_causal_rr"] + ")")
+@R.add("st5_causal_stream", "SELECT record_id, event_id, rr_prev_1, rr_prev_4, rr_prev_median_4, rr_pnn50_4, tachycardia_flag, false AS late FROM (" + SEQ.sql["w2_causal_rr"] + ")")
 def st5(spark, sf):
-    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0)
+    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0, "at", DISORDER)
     y = J.run_to_table(x, _work(spark))
-    return y.select("record_id", "event_id", "rr_prev_1", "rr_prev_4", "rr_prev_median_4", F.round("rr_pnn50_4", 6).alias("rr_pnn50_4"), "tachycardia_flag")
+    return y.select("record_id", "event_id", "rr_prev_1", "rr_prev_4", "rr_prev_median_4", F.round("rr_pnn50_4", 6).alias("rr_pnn50_4"), "tachycardia_flag", "late")
 
 
-@R.add("st2_stability_stream", "SELECT record_id, event_id, skip FROM (" + SEQ.sql["st2_stability_batch"] + ")")
+@R.add("st2_stability_stream", "SELECT record_id, event_id, skip, false AS late FROM (" + SEQ.sql["st2_stability_batch"] + ")")
 def st2(spark, sf):
-    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9)
+    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9, event_time="at", delay=DISORDER)
     first = _beat_stream_first(spark, sf)
     return J.run_to_table(x, _work(spark)).join(first, "event_id", "left_anti")
 

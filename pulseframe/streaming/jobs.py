@@ -43,88 +43,96 @@ def live_progress(stream: DataFrame, state: str = "state") -> DataFrame:
     return stream.groupBy(state).agg(F.count("*").alias("n"))
 
 
-_RING_STATE = "peaks array<long>"
-
-
-def _stateful(fn: Callable, schema: str, key: str, df: DataFrame, event_time: str | None, ttl_ms: int) -> DataFrame:
-    """Keyed state of the latest peaks.
-
-    With an event time, a record is forgotten once the watermark is `ttl_ms` past its last
-    beat; without one its (few numbers of) state is kept.
+def _stateful(fn: Callable, extra: str, record: str, ident: str, peak: str, df: DataFrame, event_time: str | None, delay: str, ttl_ms: int) -> DataFrame:
+    """Keyed state: the latest peaks of a record and, with an event time, the beats still waiting.
+
+    With an event time a beat waits until the watermark has passed it and is then placed in event
+    order, whatever the order of arrival; a record is forgotten `ttl_ms` after its last beat. A
+    row without a record id only moves the watermark (a heartbeat). Without an event time, beats
+    are placed as they come. A beat that comes out before one already placed is returned with
+    late = true and nothing else; rows behind the watermark on arrival are counted by the engine,
+    see `late_rows`.
     """
+    types = dict(df.dtypes)
+    if event_time is not None:
+        df = df.withWatermark(event_time, delay)
+    cols = [record, ident, F.col(peak).cast("long").alias(peak), *([event_time] if event_time else [])]
+    state_schema = f"peaks array<long>, wait_peak array<long>, wait_id array<{types[ident]}>, wait_ms array<long>"
+
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+        if k[0] is None or k[0] != k[0]:  # heartbeats; a filter would be pushed below the watermark
             return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        old = list(state.get[0]) if state.exists else []
-        out, ring = fn(k[0], pdf, old)
-        state.update((ring,))
-        if event_time is not None:
-            last = int(pdf[event_time].max().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl_ms)
-        yield out
+        ring, wp, wi, wt = map(list, state.get) if state.exists else ([], [], [], [])
+        for b in batches if not state.hasTimedOut else ():
+            wp += [int(v) for v in b[peak]]
+            wi += b[ident].tolist()
+            wt += [0] * len(b) if event_time is None else [int(t.timestamp() * 1000) for t in b[event_time]]
+        now = None if event_time is None else state.getCurrentWatermarkMs()
+        order = sorted(range(len(wp)), key=lambda i: (wp[i], wi[i]))
+        ready = [i for i in order if now is None or wt[i] <= now]
+        placed = [i for i in ready if not ring or wp[i] >= ring[-1]]
+        out, ring = fn([wp[i] for i in placed], ring)
+        out.insert(0, ident, [wi[i] for i in placed])
+        out["late"] = False
+        behind = [i for i in ready if ring and i not in set(placed)]
+        if behind:
+            lost = pd.DataFrame({ident: [wi[i] for i in behind], "late": True}).reindex(columns=out.columns)
+            out = pd.concat([out.astype(object), lost.astype(object)], ignore_index=True)
+        out.insert(0, record, k[0])
+        left = sorted(set(order) - set(ready))
+        if event_time is not None and state.hasTimedOut and not left:
+            state.remove()
+        else:
+            state.update((ring, [wp[i] for i in left], [wi[i] for i in left], [wt[i] for i in left]))
+            if event_time is not None:
+                state.setTimeoutTimestamp(max(min(wt[i] for i in left), now + 1) if left else now + ttl_ms)
+        if len(out):
+            yield out
 
     timeout = GroupStateTimeout.NoTimeout if event_time is None else GroupStateTimeout.EventTimeTimeout
-    return df.groupBy(key).applyInPandasWithState(run, schema, _RING_STATE, "append", timeout)
+    schema = f"{record} {types[record]}, {ident} {types[ident]}, {extra}, late boolean"
+    return df.select(*cols).groupBy(record).applyInPandasWithState(run, schema, state_schema, "append", timeout)
 
 
-def _inputs(record: str, ident: str, peak: str, event_time: str | None) -> list:
-    return [record, ident, F.col(peak).cast("long").alias(peak), *([event_time] if event_time else [])]
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that arrived behind the watermark so far; the engine leaves them out."""
+    return sum(int(o.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for o in p["stateOperators"])
 
 
 def causal_stream(stream: DataFrame, record: str, ident: str, peak: str, fs: float, event_time: str | None = None, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
-    """ST5: the causal RR features on an unbounded beat stream.
+    """ST5: the causal RR features on an unbounded beat stream, with a flag `late`; see _stateful.
 
-    State per record is its last four peaks. Beats older than the newest seen peak of their
-    record arrive too late to be placed and are dropped.
+    State per record is its last four peaks and the beats that wait for the watermark.
     """
-    if event_time is not None:
-        stream = stream.withWatermark(event_time, delay)
-    types = dict(stream.dtypes)
     lags = [f"_l{i}" for i in range(5)]
 
-    def step(key, pdf: pd.DataFrame, old: list[int]):
-        p = pdf[[ident, peak]].sort_values([peak, ident], kind="stable")
-        if old:
-            p = p[p[peak] >= old[-1]]
-        seq = np.concatenate([np.array(old, dtype="int64"), p[peak].to_numpy(dtype="int64")])
-        n, h = len(p), len(old)
-        out = pd.DataFrame({record: [key] * n, ident: p[ident].to_numpy()})
-        for i, c in enumerate(lags):
-            at = np.arange(h, h + n) - i
-            out[c] = pd.array([int(seq[j]) if j >= 0 else None for j in at], dtype="Int64")
-        return out, [int(v) for v in seq[-4:]]
-
-    schema = f"{record} {types[record]}, {ident} {types[ident]}, " + ", ".join(f"{c} long" for c in lags)
-    x = _stateful(step, schema, record, stream.select(*_inputs(record, ident, peak, event_time)), event_time, ttl_ms)
+    def step(peaks: list[int], old: list[int]):
+        seq, h, n = [*old, *peaks], len(old), len(peaks)
+        out = pd.DataFrame({c: pd.array([seq[j - i] if j >= i else None for j in range(h, h + n)], dtype="Int64") for i, c in enumerate(lags)})
+        return out, seq[-4:]
+
+    x = _stateful(step, ", ".join(f"{c} long" for c in lags), record, ident, peak, stream, event_time, delay, ttl_ms)
     rr = [(F.col(lags[i]) - F.col(lags[i + 1])) * F.lit(1000.0 / fs) for i in range(4)]
-    return x.select(record, ident, F.col("_l0").alias(peak), *[causal_expressions(rr)[n].alias(n) for n in CAUSAL_FEATURES])
+    return x.select(record, ident, F.col("_l0").alias(peak), *[causal_expressions(rr)[n].alias(n) for n in CAUSAL_FEATURES], "late")
 
 
 def stability_stream(stream: DataFrame, record: str, ident: str, peak: str, threshold_ms: float, threshold_ratio: float, window: int = 5, minimum: int = 3, fs: float = 1000.0, event_time: str | None = None, delay: str = "10 minutes", ttl_ms: int = 3_600_000) -> DataFrame:
-    """ST2: skip flag from the last five intervals of each record."""
-    if event_time is not None:
-        stream = stream.withWatermark(event_time, delay)
-    types = dict(stream.dtypes)
-
-    def step(key, pdf: pd.DataFrame, old: list[int]):
-        p = pdf[[ident, peak]].sort_values([peak, ident], kind="stable")
-        if old:
-            p = p[p[peak] >= old[-1]]
-        seq = np.concatenate([np.array(old, dtype="int64"), p[peak].to_numpy(dtype="int64")])
-        rr = np.diff(seq) * 1000.0 / fs
-        flags = []
-        for j in range(len(old), len(seq)):
-            ring = rr[max(0, j - window) : j]
-            m = ring.mean() if len(ring) else 0.0
-            dev = np.abs(ring - m).max() if len(ring) else 0.0
-            flags.append(bool(len(ring) >= minimum and m > 0 and dev <= threshold_ms and dev / m <= threshold_ratio))
-        out = pd.DataFrame({record: [key] * len(p), ident: p[ident].to_numpy(), "skip": flags})
-        return out, [int(v) for v in seq[-(window + 1):]]
-
-    schema = f"{record} {types[record]}, {ident} {types[ident]}, skip boolean"
-    return _stateful(step, schema, record, stream.select(*_inputs(record, ident, peak, event_time)), event_time, ttl_ms)
+    """ST2: skip flag from the last five intervals of each record, with a flag `late`; see _stateful."""
+    def step(peaks: list[int], old: list[int]):
+        seq = [*old, *peaks]
+        rr = np.diff(np.array(seq, dtype="float64")) * 1000.0 / fs
+        at = np.arange(len(old), len(seq))
+        # one row per beat: its last `window` intervals, NaN where there are fewer
+        back = at[:, None] - np.arange(window, 0, -1)[None, :]
+        ring = np.where(back >= 0, np.append(rr, np.nan)[np.clip(back, 0, len(rr))], np.nan)
+        have = (~np.isnan(ring)).sum(axis=1)
+        mean = np.nansum(ring, axis=1) / np.maximum(have, 1)
+        dev = np.nanmax(np.where(have[:, None] > 0, np.abs(ring - mean[:, None]), 0.0), axis=1, initial=0.0)
+        ok = (have >= minimum) & (mean > 0) & (dev <= threshold_ms)
+        flags = ok & (dev <= threshold_ratio * np.where(mean > 0, mean, 1.0))
+        return pd.DataFrame({"skip": flags}), seq[-(window + 1):]
+
+    return _stateful(step, "skip boolean", record, ident, peak, stream, event_time, delay, ttl_ms)
 
 
 def run_to_table(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
