@@ -10,9 +10,9 @@ Candidates come in two passes, and no bucket is capped. First every class meets
 region and of its sub-region. Confirmed links give components, and a region whose members are all
 in one component is done: its other pairs could only repeat what is known. In the second pass,
 members of a region that belong to different components meet: the largest component of the
-region in blocks of bounded size, each against the members outside it, and these among
+region in blocks of bounded size, each against blocks of the members outside it, and these among
 themselves. Full signatures sort out pairs far below the threshold (more than four standard errors);
-the rest is confirmed on full sets again.
+the rest is confirmed on full sets inside the block, and only links leave it.
 """
 
 from __future__ import annotations
@@ -99,6 +99,7 @@ def _features(width: int, length: int):
 def _regions(trees: int, depth: int):
     """Per class and tree: hashes of the first `depth` and of the first 2 * `depth` values of the tree's order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(trees, dtype=np.int32)
         for b in slices(batches, 4096):
             sig = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u4").reshape(b.num_rows, -1).astype(np.uint64)
             two = np.concatenate([sig, sig], axis=1)
@@ -111,7 +112,7 @@ def _regions(trees: int, depth: int):
                     if d == depth - 1:
                         short[:, t] = h
                 long[:, t] = h
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(np.repeat(b.column(1).to_numpy(), trees)), pa.array(short.ravel().astype(np.int64)), pa.array(long.ravel().astype(np.int64))], names=["id", "n", "region", "sub"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), trees)), pa.array(np.repeat(b.column(1).to_numpy(), trees)), pa.array(short.ravel().astype(np.int64)), pa.array(long.ravel().astype(np.int64)), pa.array(np.tile(number, b.num_rows))], names=["id", "n", "region", "sub", "tree"])
 
     return run
 
@@ -137,20 +138,34 @@ def _confirm(num: int, den: int):
     return run
 
 
-def _cross(least: int):
-    """Pairs of one block: members outside the largest component against all, components apart, enough equal minima."""
+def _cross(least: int, depth: int, num: int, den: int):
+    """Links between components in one block of a region: one for every two components that have any.
+
+    Members of the block's one side meet those of the other (or each other, where there is one side
+    only). A pair is looked at in the first tree in which it shares a region, when its components
+    differ and enough minima are equal, and confirmed on the full sets.
+    """
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(len(rows), -1)
-        ids, comp, n, side = (rows[c].to_numpy() for c in ("id", "comp", "n", "side"))
-        out = []
+        sets = [np.frombuffer(v, np.uint64) for v in rows["set"]]
+        ids, comp, side = (rows[c].to_numpy() for c in ("id", "comp", "side"))
+        size = np.array([len(v) for v in sets])
+        tree = int(rows["tree"].iloc[0])
         mine, theirs = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if (side == 1).any() else (np.arange(len(rows)),) * 2
+        out, joined = [], set()
         for i in mine:
-            cand = theirs[comp[theirs] != comp[i]]
-            if len(cand):
-                ok = cand[(sig[cand] == sig[i]).sum(axis=1) >= least]
-                out.append(np.stack([np.minimum(ids[i], ids[ok]), np.maximum(ids[i], ids[ok])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
+            ok = theirs[(comp[theirs] != comp[i]) & (np.minimum(size[theirs], size[i]) * den >= np.maximum(size[theirs], size[i]) * num)]
+            same = sig[ok] == sig[i]
+            ok = ok[(same.sum(axis=1) >= least) & (same.reshape(len(ok), sig.shape[1] // depth, depth).all(axis=2).argmax(axis=1) == tree)]
+            for k in ok:
+                pair = (comp[i], comp[k]) if comp[i] < comp[k] else (comp[k], comp[i])
+                if pair in joined:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if den * both >= num * (size[i] + size[k] - both):
+                    joined.add(pair)
+                    out.append((ids[i], ids[k]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -171,9 +186,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = feats.filter("n > 0 and id is not null")
     classes = pinned(some.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")))
     reps = some.alias("f").join(classes.alias("c"), F.expr("f.id = c.rep and f.n = c.n and f.k1 = c.k1 and f.k2 = c.k2"), "left_semi")
-    ordered = pinned(reps.select("id", "n", "sig").mapInArrow(_regions(trees, depth), "id long, n long, region long, sub long"))
+    ordered = pinned(reps.select("id", "n", "sig").mapInArrow(_regions(trees, depth), "id long, n long, region long, sub long, tree int"))
     heads = ordered.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("head")).filter("size > 1")
-    members = pinned(ordered.join(heads, "region").select("region", "sub", "id", "n", "size", "head"))
+    members = pinned(ordered.join(heads, "region").select("region", "sub", "tree", "id", "n", "size", "head"))
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num  # noqa: E731  sizes too far apart cannot link
     stars = members.filter(F.col("id") != F.col("head.id")).filter(near(F.col("n"), F.col("head.n"))).select(F.col("head.id").alias("a"), F.col("id").alias("b"))
     dense = members.filter(F.col("size") >= DENSE)
@@ -190,20 +205,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = confirmed(first)
     comps = pinned(components(links))
-    placed = members.select("region", "id", "n").join(comps, "id", "left").select("region", "id", "n", F.coalesce("component", "id").alias("comp"))
+    placed = members.select("region", "tree", "id").join(comps, "id", "left").select("region", "tree", "id", F.coalesce("component", "id").alias("comp"))
     mixed = placed.groupBy("region").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("region")
     apart = pinned(placed.join(mixed, "region"))
     if not apart.isEmpty():
-        largest = apart.groupBy("region", "comp").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("comp", F.struct("c", F.col("comp"))).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
-        rows = apart.join(largest, "region").join(some.select("id", "sig").dropDuplicates(["id"]), "id")
-        inner = rows.filter("comp = main").select("region", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / block)).cast("int").alias("i"), F.lit(-1).alias("j"), "id", "n", "comp", "sig", F.lit(1).alias("side"))
-        outer = rows.filter("comp <> main").withColumn("nb", F.ceil(F.col("c") / block).cast("int")).withColumn("no", F.ceil((F.col("all") - F.col("c")) / block).cast("int"))
-        meet = outer.select("region", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.lit(-1).alias("j"), "id", "n", "comp", "sig", F.lit(0).alias("side"))
-        own = outer.withColumn("o", F.pmod(F.xxhash64("id"), F.col("no")).cast("int")).select("region", "o", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("p"), "id", "n", "comp", "sig")
-        own = own.select("region", F.least("o", "p").alias("i"), F.greatest("o", "p").alias("j"), "id", "n", "comp", "sig", F.when(F.col("o") <= F.col("p"), 0).otherwise(1).alias("side"))
-        least = int((float(Fraction(threshold)) - 4.4 * np.sqrt(float(Fraction(threshold)) * (1 - float(Fraction(threshold))) / (trees * depth))) * trees * depth)
-        found = inner.union(meet).union(own).groupBy("region", "i", "j").applyInPandas(_cross(least), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-        comps = components(links.union(confirmed(found)))
+        largest = apart.groupBy("region", "comp").agg(F.count("*").alias("c")).groupBy("region").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("c"))
+        blocks = lambda n: F.greatest(F.ceil(n / block).cast("int"), F.lit(1))
+        rows = apart.join(largest, "region").withColumns({"ni": blocks(F.col("c")), "no": blocks(F.col("all") - F.col("c")), "inside": F.col("comp") == F.col("main")})
+        rows = rows.join(some.select("id", "sig").dropDuplicates(["id"]), "id").join(sets.dropDuplicates(["id"]), "id")
+        rows = rows.withColumn("o", F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("ni")).otherwise(F.col("no"))).cast("int"))
+        keep = ["tree", "id", "comp", "sig", "set"]
+        # The largest component in blocks, each against every block of the others ...
+        inner = rows.filter("inside").select("region", F.col("o").alias("i"), F.explode(F.sequence(F.lit(1), F.col("no"))).alias("j"), *keep, F.lit(1).alias("side"))
+        meet = rows.filter("not inside").select("region", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"), (F.col("o") + 1).alias("j"), *keep, F.lit(0).alias("side"))
+        # ... and the blocks of the others among themselves, as (-1 - lower, higher).
+        own = rows.filter("not inside").select("region", "o", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("p"), *keep)
+        own = own.select("region", (-1 - F.least("o", "p")).alias("i"), F.greatest("o", "p").alias("j"), *keep, F.when(F.col("o") <= F.col("p"), 0).otherwise(1).alias("side"))
+        share = num / den
+        least = int((share - 4.4 * np.sqrt(share * (1 - share) / (trees * depth))) * trees * depth)
+        more = inner.union(meet).union(own).groupBy("region", "i", "j").applyInPandas(_cross(least, depth, num, den), "a long, b long")
+        comps = components(links.union(pinned(more)))
     info = classes.join(comps, F.col("rep") == F.col("id"), "left").select("n", "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = some.select("id", "n", "k1", "k2").join(info, ["n", "k1", "k2"]).select("id", "n", "component_id")
     out = out.union(feats.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id")))
