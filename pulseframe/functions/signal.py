@@ -42,7 +42,7 @@ def detrend(x: np.ndarray) -> np.ndarray:
     return x - x.mean() - (t * ((t * x).sum() / d) if d > 0 else 0.0)
 
 
-def resample(x: np.ndarray, fs: float, target: float = 500.0, beta: float = 5.0, longest: int = 100) -> np.ndarray:
+def resample(x: np.ndarray, fs: float, target: float = 500.0, beta: float = 5.0, longest: int = 200) -> np.ndarray:
     """G1: polyphase resampling with a Kaiser FIR; the line between the end points is taken out first."""
     if fs == target:
         return np.array(x, dtype=np.float64)

@@ -72,9 +72,12 @@ def contained_episodes(
     """The first interval that fully contains each episode; label null at a boundary.
 
     An interval is spread over the buckets it touches and an episode looks up the bucket of
-    its own start, so each containing interval is met once.
+    its own start, so each containing interval is met once. An open interval (null end) lasts to
+    the end of its record: that is, at least to the end of its last episode.
     """
+    last = episodes.groupBy(*keys).agg(F.max(end).alias("_last"))
     iv = intervals.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_lab"))
+    iv = iv.join(last, list(keys)).withColumn("_e", F.coalesce("_e", F.greatest("_last", F.col("_s") + 1))).drop("_last")
     iv = _spread(iv.filter("_e > _s"), keys, "_s", "_e", width)
     ep = episodes.withColumn("_bin", time_bucket(start, width)).alias("p")
     cond = [F.col(f"p.{k}") == F.col(f"i.{k}") for k in [*keys, "_bin"]]

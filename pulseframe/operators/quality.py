@@ -84,7 +84,7 @@ def record_audit(df: DataFrame, samples: str, fs: float, z_limit: float = 10.0,
     c = F.col(samples)
     bad = F.exists(c, lambda v: F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     x = df.select(
-        bad.alias("bad"), (A.std(samples) < flat).alias("flat"), F.exists(c, lambda v: F.abs(v) > z_limit).alias("z"),
+        bad.alias("bad"), (A.std(samples) < flat).alias("flat"), F.exists(c, lambda v: ~F.isnan(v) & (F.abs(v) > z_limit)).alias("z"),
         (F.size(F.filter(c, lambda v: v == 0)) / F.size(c) > zeros).alias("zero"), (F.size(c) / F.lit(fs) < seconds).alias("short"))
     return rows_of(x, {"NAN_INF": F.col("bad"), "FLATLINE": F.col("flat"), "ZSCORE_RANGE": F.col("z"), "ZERO_RATIO": F.col("zero"), "DURATION": F.col("short")})
 

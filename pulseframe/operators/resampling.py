@@ -88,8 +88,8 @@ def paired_bootstrap(deltas: DataFrame, order: Sequence[str], value: str = "delt
     return base.join(F.broadcast(ci))  # one row each
 
 
-def poisson_weight(u: Column, top: int = 8) -> Column:
-    """Poisson(1) by inversion of a uniform column."""
+def poisson_weight(u: Column, top: int = 13) -> Column:
+    """Poisson(1) by inversion of a uniform column; weights above `top` are rarer than one step of 32-bit uniforms."""
     acc, term, out = np.exp(-1.0), np.exp(-1.0), F.when(u < float(np.exp(-1.0)), 0)
     for k in range(1, top):
         term /= k
@@ -102,13 +102,17 @@ def cluster_f1_delta(a: DataFrame, b: DataFrame, cluster: str, positive: int, re
     """F1 difference b - a per replicate, whole clusters resampled.
 
     Clusters are reduced to their counts; a replicate weight is a pure function of cluster
-    and replicate, and the expanded rows are summed map-side into `repetitions` groups.
+    and replicate, and the expanded rows are summed map-side into `repetitions` groups. Both
+    sides must have the same clusters: one that is on one side only (see unmatched_clusters)
+    ends the job with an error.
     """
     def counts(df: DataFrame, tag: str) -> DataFrame:
         t, p = F.col("y_true") == positive, F.col("y_pred") == positive
         return df.groupBy(cluster).agg(F.count_if(t & p).alias(f"tp_{tag}"), F.count_if(~t & p).alias(f"fp_{tag}"), F.count_if(t & ~p).alias(f"fn_{tag}"))
 
-    c = counts(a, "a").join(counts(b, "b"), cluster)
+    c = counts(a, "a").join(counts(b, "b"), cluster, "full")
+    one_sided = F.col("tp_a").isNull() | F.col("tp_b").isNull()
+    c = c.withColumn("tp_a", F.when(one_sided, F.raise_error(F.concat(F.lit("cluster on one side only: "), F.col(cluster).cast("string")))).otherwise(F.col("tp_a")))
     x = c.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
     w = poisson_weight(hash_unit(stable_hash(cluster, "replicate", seed=seed)))
     cols = [f"{m}_{t}" for t in "ab" for m in ("tp", "fp", "fn")]
@@ -119,3 +123,9 @@ def cluster_f1_delta(a: DataFrame, b: DataFrame, cluster: str, positive: int, re
         return ratio(F.col(f"tp_{t}") * 2, den)
 
     return s.select("replicate", (f1("b") - f1("a")).alias("delta"))
+
+
+def unmatched_clusters(a: DataFrame, b: DataFrame, cluster: str) -> DataFrame:
+    """Clusters on one side only, with the row count there."""
+    n = a.groupBy(cluster).agg(F.count("*").alias("n_a")).join(b.groupBy(cluster).agg(F.count("*").alias("n_b")), cluster, "full")
+    return n.filter("n_a is null or n_b is null").select(cluster, F.when(F.col("n_b").isNull(), "a").otherwise("b").alias("side"), F.coalesce("n_a", "n_b").alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,6 +34,76 @@ def secure_tables(t: dict[str, DataFrame], user: str | None, roles: Sequence[str
     return {**t, "experiment": e, "run": r, "metric": secured_children(t["metric"], r, "run_id"), "alert": secured_children(t["alert"], r, "run_id")}
 
 
+# Functions an ad-hoc query may call; everything else (reflection, files, session state, user code) is refused.
+ALLOWED_FUNCTIONS = frozenset("""
+abs any_value approx_count_distinct array_agg avg bool_and bool_or bround case ceil ceiling char_length coalesce concat concat_ws contains corr
+count count_if date date_add date_diff date_format date_sub date_trunc datediff day dayofmonth dense_rank endswith exp extract first first_value floor
+get_json_object greatest hour if ifnull iff instr isnan isnotnull isnull lag last last_value lead least left length ln log lower ltrim max max_by mean median
+min min_by minute mod month ntile nullif nvl percent_rank percentile percentile_approx pow power quarter rank replace right round row_number rtrim
+second sign split sqrt startswith std stddev stddev_pop stddev_samp struct substr substring sum timestamp to_date to_timestamp trim trunc unix_timestamp upper
+var_pop var_samp variance weekday year
+""".split())
+# Ways to name a table or function by an expression, or to bring in rows that are not in a secured view.
+_REFUSED_NODES = ("TableValued", "UnresolvedIdentifier", "WithUnresolvedIdentifier", "Script", "UnresolvedFile", "Command", "Insert", "Create", "Drop")
+
+
+class NotAllowed(ValueError):
+    """The query names something outside the allow-lists."""
+
+
+def _nodes(plan):
+    """All plan and expression nodes of a parsed query, subqueries and common table expressions included."""
+    todo, seen = [plan], 0
+    while todo:
+        node = todo.pop()
+        seen += 1
+        if seen > 20_000:
+            raise NotAllowed("the query is too long")
+        yield node
+        kind = node.getClass().getSimpleName()
+        lists = [node.children()]
+        if hasattr_java(node, "expressions"):
+            lists += [node.expressions(), node.innerChildren()]
+        for found in lists:
+            todo += [found.apply(i) for i in range(found.size())]
+        if hasattr_java(node, "plan") and not hasattr_java(node, "expressions"):
+            todo.append(node.plan())
+        if kind == "UnresolvedWith":
+            rel = node.cteRelations()
+            todo += [rel.apply(i)._2() for i in range(rel.size())]
+
+
+def hasattr_java(node, method: str) -> bool:
+    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+
+
+def check_query(spark: SparkSession, sql: str, tables: Sequence[str]) -> None:
+    """Refuse a query that reads anything but `tables` and its own CTEs, or calls a function that is not listed.
+
+    The text is parsed by Spark, not run; the names are taken from the parsed plan.
+    """
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+    nodes = list(_nodes(plan))
+    ctes = set()
+    for n in nodes:
+        if n.getClass().getSimpleName() == "UnresolvedWith":
+            rel = n.cteRelations()
+            ctes |= {rel.apply(i)._1().lower() for i in range(rel.size())}
+    known = {t.lower() for t in tables} | ctes
+    for n in nodes:
+        kind = n.getClass().getSimpleName()
+        if any(word in kind for word in _REFUSED_NODES):
+            raise NotAllowed(f"{kind} is not allowed")
+        if kind == "UnresolvedRelation":
+            parts = n.multipartIdentifier()
+            if parts.size() != 1 or parts.apply(0).lower() not in known:
+                raise NotAllowed(f"no table {n.tableName()}")
+        if kind == "UnresolvedFunction":
+            parts = n.nameParts()
+            if parts.size() != 1 or parts.apply(0).lower() not in ALLOWED_FUNCTIONS:
+                raise NotAllowed(f"no function {parts.mkString('.')}")
+
+
 def ad_hoc(
     spark: SparkSession,
     sql: str,
@@ -42,30 +113,50 @@ def ad_hoc(
     args: dict | list | None = None,
     cap: int = MAX_PAGE,
 ) -> DataFrame:
-    """One SELECT in a fresh session that knows only the secured views.
+    """One SELECT over the secured views, at most `cap` rows with a flag `truncated`.
 
-    The text is embedded as a subquery, so anything but a query fails to parse; files
-    cannot be named as tables; cap + 1 rows are returned, the last one showing truncation.
+    Spark parses the text first; tables and functions outside the allow-lists are refused before
+    anything is resolved or run (NotAllowed). The text is then embedded as a subquery in a fresh
+    session, so anything but one query fails to parse, and files cannot be named as tables.
     """
     own = spark.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
-    for name, df in secure_tables(tables(own), user, roles).items():
+    views = secure_tables(tables(own), user, roles)
+    text = sql.strip().rstrip(";")
+    check_query(own, f"SELECT * FROM (\n{text}\n)", list(views))
+    for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return own.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) LIMIT {int(cap) + 1}", args=args)
-
+    head = own.sql(f"SELECT * FROM (\n{text}\n) LIMIT {int(cap) + 1}", args=args)
+    more = head.agg((F.count("*") > int(cap)).alias("truncated"))
+    return head.limit(int(cap)).join(F.broadcast(more))  # one row
 
-AUDIT_SCHEMA = "audit_id string, user string, source string, params string, row_count long, status string"
 
+def audit_row(result: DataFrame, user: str, source: str, params: dict[str, object], status: str = "ok") -> DataFrame:
+    """One row describing a query or a search and when it was asked.
 
-def audit_row(result: DataFrame, user: str, source: str, params: dict[str, str], status: str = "ok") -> DataFrame:
-    """One row describing a query; the id is a hash of what was asked."""
+    `audit_id` is new for every row; `query_id` is a hash of what was asked, the same each time.
+    """
     text = "|".join(f"{k}={v}" for k, v in sorted(params.items()))
     ident = F.substring(F.sha2(F.concat_ws(":", F.lit(user), F.lit(source), F.lit(text)), 256), 1, 32)
     return result.agg(F.count("*").alias("row_count")).select(
-        ident.alias("audit_id"), F.lit(user).alias("user"), F.lit(source).alias("source"), F.lit(text).alias("params"),
-        "row_count", F.lit(status).alias("status"),
+        F.lit(uuid.uuid4().hex).alias("audit_id"), F.current_timestamp().alias("recorded_at"), ident.alias("query_id"), F.lit(user).alias("user"), F.lit(source).alias("source"),
+        F.lit(text).alias("params"), "row_count", F.lit(status).alias("status"),
     )
 
 
 def append_audit(row: DataFrame, path: str) -> None:
     row.write.mode("append").json(path)
+
+
+def audited(run: Callable[[], DataFrame], path: str, user: str, source: str, params: dict[str, object]) -> DataFrame:
+    """The result of `run`, after one audit row about it was appended; a refused or failed query leaves a row too."""
+    try:
+        out = run()
+        append_audit(audit_row(out, user, source, params), path)
+        return out
+    except Exception as e:
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            status = "rejected" if isinstance(e, NotAllowed) else "failed"
+            append_audit(audit_row(spark.range(0), user, source, params, status), path)
+        raise

@@ -173,7 +173,7 @@ def capped(df: DataFrame, order: list[Column], cap: int = MAX_PAGE) -> DataFrame
 
 
 class NamedQueries:
-    """T5: the six catalogued questions as typed functions."""
+    """T5: the six catalogued questions as typed functions; `truncated` tells that more rows than the cap exist."""
 
     def __init__(self, experiment: DataFrame, run: DataFrame, metric: DataFrame, alert: DataFrame, cap: int = MAX_PAGE):
         self.e, self.r, self.m, self.a, self.cap = experiment, run, metric, alert, cap
@@ -183,7 +183,7 @@ class NamedQueries:
         return self.r.withColumnRenamed("id", "run_id").join(e, "experiment_id")
 
     def _latest(self, df: DataFrame, by: str, tie: str) -> DataFrame:
-        return df.orderBy(F.desc(by), F.desc(tie)).limit(self.cap)
+        return capped(df, [F.desc(by), F.desc(tie)], self.cap)
 
     def last_failed_runs(self) -> DataFrame:
         x = self._runs().filter("status = 'failed'")
@@ -197,10 +197,10 @@ class NamedQueries:
         e = self.e.select(F.col("id").alias("experiment_id"), F.col("name").alias("experiment_name"))
         r = self.r.select(F.col("id").alias("run_id"), "experiment_id")
         # the page is cut first, then decorated: the joins see at most `cap` alerts
-        a = self.a.filter(F.col("severity") == severity).orderBy(F.desc("recorded_at"), F.desc("id")).limit(self.cap)
+        a = capped(self.a.filter(F.col("severity") == severity), [F.desc("recorded_at"), F.desc("id")], self.cap)
         if "experiment_id" not in a.columns:
             a = a.join(r, "run_id", "left")
-        return a.join(e, "experiment_id", "left").select("id", "severity", "category", "run_id", "experiment_name", "recorded_at")
+        return a.join(e, "experiment_id", "left").select("id", "severity", "category", "run_id", "experiment_name", "recorded_at", "truncated")
 
     def timeline(self) -> DataFrame:
         return self._latest(timeline(self.e, self.r, self.m, self.a), "run_start", "run_id")
@@ -211,7 +211,7 @@ class NamedQueries:
 
     def metrics_for_run(self, run_id: int) -> DataFrame:
         m = self.m.filter(F.col("run_id") == run_id).join(self.r.select(F.col("id").alias("run_id")), "run_id", "left_semi")
-        return m.select("namespace", "name", "value", "step").orderBy("namespace", "name", "step", "value").limit(self.cap)
+        return capped(m.select("namespace", "name", "value", "step"), [F.col(c) for c in ("namespace", "name", "step", "value")], self.cap)
 
 
 def schema_help(tables: dict[str, DataFrame], relations: list[tuple[str, str]] = ()) -> DataFrame:
@@ -366,16 +366,17 @@ def progress(cells: DataFrame, workers: int = 1) -> DataFrame:
     return a.withColumn("queued", left - F.col("running")).withColumn("eta_seconds", F.col("mean_seconds") * left / workers)
 
 
-def matrix_gaps(actual: DataFrame, dims: dict[str, list]) -> DataFrame:
+def matrix_gaps(actual: DataFrame, dims: dict[str, list], declared: DataFrame | None = None) -> DataFrame:
     """Cells of the declared matrix that are missing, unexpected or duplicated.
 
-    The declared lists are configuration; they are expanded from literals, not joined.
+    The declared lists are configuration; they are expanded from literals, not joined. `declared`
+    holds the keys of a table (one row each) for which the lists are expected.
     """
     spark = actual.sparkSession
-    want = spark.range(1).drop("id")
+    want = declared if declared is not None else spark.range(1).drop("id")
     for c, vals in dims.items():
         want = want.withColumn(c, F.explode(F.lit(vals).cast(f"array<{dict(actual.dtypes)[c]}>")))
-    keys = list(dims)
+    keys = want.columns
     n = actual.groupBy(*keys).agg(F.count("*").alias("n"))
     x = want.withColumn("_want", F.lit(True)).join(n, keys, "full")
     problem = F.when(F.col("n").isNull(), "missing").when(F.col("_want").isNull(), "unexpected").when(F.col("n") > 1, "duplicate")

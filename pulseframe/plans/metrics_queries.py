@@ -342,7 +342,7 @@ def a20(spark, sf):
     return rounded(RS.paired_bootstrap(_paired(spark, sf), ["candidate", "fold"], repetitions=1000))
 
 
-POISSON_SQL = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) if k else np.exp(-1.0) for k in range(8)]).tolist())) + " ELSE 8 END"
+POISSON_SQL = "CASE " + " ".join(f"WHEN u < {c!r} THEN {k}" for k, c in enumerate(np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) if k else np.exp(-1.0) for k in range(13)]).tolist())) + " ELSE 13 END"
 
 
 @R.add("a21_cluster_bootstrap", f"""{BASE}, c AS (SELECT patient_id, {', '.join(f"count(*) FILTER (seed = {s} AND y_true = 2 AND y_pred = 2) AS tp{s}, count(*) FILTER (seed = {s} AND y_true <> 2 AND y_pred = 2) AS fp{s}, count(*) FILTER (seed = {s} AND y_true = 2 AND y_pred <> 2) AS fn{s}" for s in (0, 1))} FROM scored GROUP BY 1),
@@ -356,6 +356,13 @@ def a21(spark, sf):
     return rounded(RS.interval(RS.cluster_f1_delta(s.filter("seed = 0"), s.filter("seed = 1"), "patient_id", 2), [], "delta"))
 
 
+@R.add("a21_unmatched", f"""{BASE}, a AS (SELECT patient_id, count(*) AS n_a FROM scored WHERE seed = 0 AND fold <> 1 GROUP BY 1), b AS (SELECT patient_id, count(*) AS n_b FROM scored WHERE seed = 1 AND fold <> 2 GROUP BY 1)
+SELECT patient_id, CASE WHEN n_b IS NULL THEN 'a' ELSE 'b' END AS side, coalesce(n_a, n_b) AS n FROM a FULL JOIN b USING (patient_id) WHERE n_a IS NULL OR n_b IS NULL""")
+def a21_unmatched(spark, sf):
+    s = B.scored(spark, sf)
+    return RS.unmatched_clusters(s.filter("seed = 0 and fold <> 1"), s.filter("seed = 1 and fold <> 2"), "patient_id")
+
+
 # ---- matrix -----------------------------------------------------------------------------
 
 def dist_sql(v: str, prefix: str) -> str:

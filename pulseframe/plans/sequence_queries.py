@@ -175,7 +175,7 @@ def j5(spark, sf):
  span AS (SELECT record_id, min(peak) // 3600000 AS h0, max(peak) // 3600000 AS h1 FROM beats GROUP BY 1),
  ep AS (SELECT record_id, h * 3600000 AS start, (h + 1) * 3600000 AS "end" FROM span, LATERAL (SELECT unnest(range(h0, h1 + 1)) AS h)),
  m AS (SELECT ep.record_id, ep.start, min_by(iv.rhythm, iv.start) AS rhythm FROM ep LEFT JOIN iv
-       ON iv.record_id = ep.record_id AND iv.start <= ep.start AND (ep."end" <= iv."end") GROUP BY ALL)
+       ON iv.record_id = ep.record_id AND iv.start <= ep.start AND (iv."end" IS NULL OR ep."end" <= iv."end") GROUP BY ALL)
 SELECT record_id, coalesce(CASE rhythm WHEN 'N' THEN 'SINUS' WHEN 'J' THEN 'JUNCTIONAL' ELSE CASE WHEN rhythm IS NOT NULL THEN 'OTHER_RHYTHM' END END, 'BOUNDARY') AS rhythm,
   count(*) AS n FROM m GROUP BY ALL""")
 def j4(spark, sf):
@@ -184,8 +184,7 @@ def j4(spark, sf):
     span = b.groupBy("record_id").agg(F.floor(F.min("peak") / hour).alias("h0"), F.floor(F.max("peak") / hour).alias("h1"))
     ep = span.select("record_id", F.explode(F.sequence("h0", "h1")).alias("h")).select(
         "record_id", (F.col("h") * hour).alias("start"), ((F.col("h") + 1) * hour).alias("end"))
-    iv = _intervals(spark, sf).filter(F.col("end").isNotNull())
-    x = I.contained_episodes(ep, iv, KEYS, DAY)
+    x = I.contained_episodes(ep, _intervals(spark, sf), KEYS, DAY)
     known = F.coalesce(O.lookup(O.RHYTHM_CLASS, "rhythm"), F.when(F.col("rhythm").isNotNull(), "OTHER_RHYTHM"), F.lit("BOUNDARY"))
     return x.groupBy("record_id", known.alias("rhythm")).agg(F.count("*").alias("n"))
 

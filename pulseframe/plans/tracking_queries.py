@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import security as Sec, tracking as T
+from ..session import shared_folder
 from . import bindings as B
 from .registry import Registry
 
@@ -107,42 +108,42 @@ def _nq(spark, sf):
     return T.NamedQueries(**tables(spark, sf))
 
 
-@R.add("t5_last_failed_runs", f"""WITH {B.TRACKING_SQL} SELECT r.id AS run_id, e.name AS experiment_name, r.run_type, r.status, epoch_us(r.start_time) AS start_us
+@R.add("t5_last_failed_runs", f"""WITH {B.TRACKING_SQL} SELECT r.id AS run_id, e.name AS experiment_name, r.run_type, r.status, epoch_us(r.start_time) AS start_us, count(*) OVER () > 1000 AS truncated
  FROM run r JOIN experiment e ON e.id = r.experiment_id WHERE r.status = 'failed' ORDER BY r.start_time DESC, r.id DESC LIMIT 1000""")
 def t5a(spark, sf):
-    return _nq(spark, sf).last_failed_runs().select("run_id", "experiment_name", "run_type", "status", F.unix_micros("start_time").alias("start_us"))
+    return _nq(spark, sf).last_failed_runs().select("run_id", "experiment_name", "run_type", "status", F.unix_micros("start_time").alias("start_us"), "truncated")
 
 
-@R.add("t5_runs_by_stage", f"""WITH {B.TRACKING_SQL} SELECT r.id AS run_id, e.name AS experiment_name, e.stage, r.run_type, r.status
+@R.add("t5_runs_by_stage", f"""WITH {B.TRACKING_SQL} SELECT r.id AS run_id, e.name AS experiment_name, e.stage, r.run_type, r.status, count(*) OVER () > 1000 AS truncated
  FROM run r JOIN experiment e ON e.id = r.experiment_id WHERE e.stage = 'stage2' ORDER BY r.start_time DESC, r.id DESC LIMIT 1000""")
 def t5b(spark, sf):
     return _nq(spark, sf).runs_by_stage("stage2").drop("start_time")
 
 
-@R.add("t5_alerts_by_severity", f"""WITH {B.TRACKING_SQL} SELECT a.id, a.severity, a.category, r.id AS run_id, e.name AS experiment_name
+@R.add("t5_alerts_by_severity", f"""WITH {B.TRACKING_SQL} SELECT a.id, a.severity, a.category, r.id AS run_id, e.name AS experiment_name, count(*) OVER () > 1000 AS truncated
  FROM alert a LEFT JOIN run r ON r.id = a.run_id LEFT JOIN experiment e ON e.id = r.experiment_id WHERE a.severity = 'warning'
  ORDER BY a.recorded_at DESC, a.id DESC LIMIT 1000""")
 def t5c(spark, sf):
     return _nq(spark, sf).alerts_by_severity("warning").drop("recorded_at")
 
 
-@R.add("t5_timeline", f"{TL_SQL} SELECT {TL_COLS} FROM timeline ORDER BY timeline.run_start DESC, run_id DESC LIMIT 1000")
+@R.add("t5_timeline", f"{TL_SQL} SELECT {TL_COLS}, count(*) OVER () > 1000 AS truncated FROM timeline ORDER BY timeline.run_start DESC, run_id DESC LIMIT 1000")
 def t5d(spark, sf):
     return _shown(_nq(spark, sf).timeline())
 
 
-@R.add("t5_timeline_health", f"{TL_SQL} SELECT {TL_COLS} FROM timeline WHERE health_status = 'REGRESSION' ORDER BY timeline.run_start DESC, run_id DESC LIMIT 1000")
+@R.add("t5_timeline_health", f"{TL_SQL} SELECT {TL_COLS}, count(*) OVER () > 1000 AS truncated FROM timeline WHERE health_status = 'REGRESSION' ORDER BY timeline.run_start DESC, run_id DESC LIMIT 1000")
 def t5e(spark, sf):
     return _shown(_nq(spark, sf).timeline_health("REGRESSION"))
 
 
-@R.add("t5_metrics_of_run", f"""WITH {B.TRACKING_SQL} SELECT namespace, name, value, step FROM metric WHERE run_id = 7 AND run_id IN (SELECT id FROM run)
+@R.add("t5_metrics_of_run", f"""WITH {B.TRACKING_SQL} SELECT namespace, name, value, step, count(*) OVER () > 1000 AS truncated FROM metric WHERE run_id = 7 AND run_id IN (SELECT id FROM run)
  ORDER BY namespace, name, step, value LIMIT 1000""")
 def t5f(spark, sf):
     return _nq(spark, sf).metrics_for_run(7)
 
 
-@R.add("t8_ad_hoc_secured", f"""WITH {B.TRACKING_SQL} SELECT e.stage, r.status, count(*) AS n FROM experiment e JOIN run r ON r.experiment_id = e.id
+@R.add("t8_ad_hoc_secured", f"""WITH {B.TRACKING_SQL} SELECT e.stage, r.status, count(*) AS n, false AS truncated FROM experiment e JOIN run r ON r.experiment_id = e.id
  WHERE e.owner_id = 'BUILDING' AND r.fold_idx = 2 GROUP BY ALL""")
 def t8(spark, sf):
     return Sec.ad_hoc(
@@ -157,12 +158,20 @@ def r1(spark, sf):
     return Sec.secure_tables(tables(spark, sf), "MACHINERY", ["viewer"])["alert"].groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@R.add("r2_audit_row", f"""WITH {B.TRACKING_SQL} SELECT substr(sha256('BUILDING:failed_runs:status=failed'), 1, 32) AS audit_id, 'BUILDING' AS user,
- 'failed_runs' AS source, 'status=failed' AS params, count(*) AS row_count, 'ok' AS status FROM run r JOIN experiment e ON e.id = r.experiment_id
- WHERE e.owner_id = 'BUILDING' AND r.status = 'failed'""")
+@R.add("r2_audit_row", f"""WITH {B.TRACKING_SQL}, f AS (SELECT count(*) AS row_count FROM run r JOIN experiment e ON e.id = r.experiment_id WHERE e.owner_id = 'BUILDING' AND r.status = 'failed')
+SELECT substr(sha256('BUILDING:failed_runs:status=failed'), 1, 32) AS query_id, 'BUILDING' AS user, 'failed_runs' AS source, 'status=failed' AS params, row_count, 'ok' AS status, true AS dated, 1::BIGINT AS n FROM f
+UNION ALL SELECT substr(sha256('BUILDING:ad_hoc:sql=SELECT * FROM other'), 1, 32), 'BUILDING', 'ad_hoc', 'sql=SELECT * FROM other', 0, 'rejected', true, 1""")
 def r2(spark, sf):
-    runs = Sec.secure_tables(tables(spark, sf), "BUILDING")["run"].filter("status = 'failed'")
-    return Sec.audit_row(runs, "BUILDING", "failed_runs", {"status": "failed"})
+    """A named query and a refused ad-hoc query, read back from the audit log."""
+    log = f"{shared_folder(spark)}/audit"
+    Sec.audited(lambda: Sec.secure_tables(tables(spark, sf), "BUILDING")["run"].filter("status = 'failed'"), log, "BUILDING", "failed_runs", {"status": "failed"})
+    sql = "SELECT * FROM other"
+    try:
+        Sec.audited(lambda: Sec.ad_hoc(spark, sql, lambda s: tables(s, sf), user="BUILDING"), log, "BUILDING", "ad_hoc", {"sql": sql})
+    except Sec.NotAllowed:
+        pass
+    x = spark.read.json(log)
+    return x.groupBy("query_id", "user", "source", "params", "row_count", "status", F.col("recorded_at").isNotNull().alias("dated")).agg(F.countDistinct("audit_id").alias("n"))
 
 
 @R.add("a5_best_metric", f"""WITH {B.TRACKING_SQL} SELECT r.experiment_id, max(m.value) AS best_value FROM metric m JOIN run r ON r.id = m.run_id
@@ -258,9 +267,10 @@ def a43(spark, sf):
 
 
 @R.add("u7_matrix_gaps", f"""WITH {B.TRACKING_SQL}, n AS (SELECT experiment_id, fold_idx, run_type, count(*) AS n FROM run GROUP BY ALL),
- w AS (SELECT e::BIGINT AS experiment_id, f::INTEGER AS fold_idx, t AS run_type FROM (SELECT unnest(range(0, 200)) AS e), (SELECT unnest(range(0, 6)) AS f), (SELECT unnest(['train', 'test']) AS t))
+ w AS (SELECT e::BIGINT AS experiment_id, f::INTEGER AS fold_idx, t AS run_type FROM (SELECT id AS e FROM experiment), (SELECT unnest(range(0, 6)) AS f), (SELECT unnest(['train', 'test']) AS t))
 SELECT * FROM (SELECT experiment_id, fold_idx, run_type, CASE WHEN n.n IS NULL THEN 'missing' WHEN w.run_type IS NULL THEN 'unexpected' WHEN n.n > 1 THEN 'duplicate' END AS problem,
  coalesce(n.n, 0) AS n FROM (SELECT *, 1 AS one FROM w) w FULL JOIN n USING (experiment_id, fold_idx, run_type)) WHERE problem IS NOT NULL""")
 def u7(spark, sf):
-    dims = {"experiment_id": list(range(200)), "fold_idx": list(range(6)), "run_type": ["train", "test"]}
-    return T.matrix_gaps(B.run(spark, sf).select(*dims), dims)
+    declared = B.experiment(spark, sf).select(F.col("id").alias("experiment_id"))
+    dims = {"fold_idx": list(range(6)), "run_type": ["train", "test"]}
+    return T.matrix_gaps(B.run(spark, sf).select("experiment_id", *dims), dims, declared)

@@ -159,10 +159,51 @@ def test_ad_hoc_cannot_escape(spark, tmp_path):
     spark.range(5).withColumn("owner_id", F.lit("ana")).write.parquet(str(tmp_path / "t"))
     mk = lambda s: {"experiment": s.read.parquet(str(tmp_path / "t")), "run": s.range(3).withColumn("experiment_id", F.col("id")), "metric": s.range(1).withColumn("run_id", F.col("id")), "alert": s.range(1).withColumn("run_id", F.col("id"))}
     assert Sec.ad_hoc(spark, "SELECT * FROM experiment WHERE id > :x OR 1 = 1", mk, "bob", args={"x": 1}).count() == 0
-    assert Sec.ad_hoc(spark, "SELECT * FROM experiment", mk, "ana", cap=3).count() == 4
-    for bad in (f"SELECT * FROM parquet.`{tmp_path}/t`", "DROP TABLE experiment", "SELECT 1; SELECT 2"):
+    assert Sec.ad_hoc(spark, "SELECT * FROM experiment", mk, "ana", cap=3).filter("truncated").count() == 3
+    assert Sec.ad_hoc(spark, "WITH x AS (SELECT id FROM experiment) SELECT count(*) AS n FROM x WHERE id IN (SELECT id FROM experiment WHERE upper(owner_id) = 'ANA')", mk, "ana").first()["n"] == 5
+    spark.range(1).createOrReplaceGlobalTempView("leak")
+    for bad in (
+        f"SELECT * FROM parquet.`{tmp_path}/t`", "DROP TABLE experiment", "SELECT 1; SELECT 2", "SELECT * FROM global_temp.leak", "SELECT * FROM default.other", "SELECT * FROM other",
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.Math', 'random') FROM experiment", "SELECT * FROM range(3)",
+        "SELECT id FROM experiment WHERE id IN (SELECT id FROM global_temp.leak)", "WITH x AS (SELECT reflect('java.lang.System', 'exit', 0) AS a) SELECT * FROM x",
+        "SELECT (SELECT max(id) FROM spark_catalog.default.other)", "SELECT * FROM IDENTIFIER('global_temp.leak')", "SELECT current_user() FROM experiment", "SELECT * FROM read_files('/')",
+    ):
         with pytest.raises(Exception):
             Sec.ad_hoc(spark, bad, mk, "ana").count()
+    with pytest.raises(Sec.NotAllowed):
+        Sec.check_query(spark, "SELECT * FROM global_temp.leak", ["experiment"])
+
+
+def test_audit_keeps_refused_queries(spark, tmp_path):
+    log = str(tmp_path / "audit")
+
+    def refused():
+        raise Sec.NotAllowed("no")
+
+    with pytest.raises(Sec.NotAllowed):
+        Sec.audited(refused, log, "u", "ad_hoc", {"sql": "x"})
+    for _ in range(2):
+        assert Sec.audited(lambda: spark.range(3), log, "u", "search", {"q": "a", "k": 5}).count() == 3
+    x = spark.read.json(log).collect()
+    assert sorted((r.status, r.row_count) for r in x) == [("ok", 3), ("ok", 3), ("rejected", 0)]
+    assert len({r.audit_id for r in x}) == 3 and len({r.query_id for r in x}) == 2 and all(r.recorded_at for r in x)
+
+
+def test_open_interval_holds_to_the_end(spark):
+    iv = spark.createDataFrame([("r", 0, 50, "N"), ("r", 50, None, "AFIB"), ("q", 10, None, "N")], "rec string, start long, `end` long, rhythm string")
+    ep = spark.createDataFrame([("r", 0, 20), ("r", 40, 60), ("r", 60, 80), ("q", 20, 40), ("z", 0, 20)], "rec string, start long, `end` long")
+    got = {(r.rec, r.start): r.rhythm for r in I.contained_episodes(ep, iv, ["rec"], 30.0).collect()}
+    assert got == {("r", 0): "N", ("r", 40): None, ("r", 60): "AFIB", ("q", 20): "N", ("z", 0): None}
+
+
+def test_one_sided_cluster_is_an_error(spark):
+    from pulseframe.operators import resampling as Rs
+
+    mk = lambda ids: spark.createDataFrame([(i, 1, 1) for i in ids], "c string, y_true int, y_pred int")
+    assert Rs.cluster_f1_delta(mk("ab"), mk("ab"), "c", 1, 5).count() == 5
+    with pytest.raises(Exception, match="one side only"):
+        Rs.cluster_f1_delta(mk("abd"), mk("ab"), "c", 1, 5).collect()
+    assert [tuple(r) for r in Rs.unmatched_clusters(mk("abd"), mk("abe"), "c").orderBy("c").collect()] == [("d", "a", 1), ("e", "b", 1)]
 
 
 def test_schema_help_and_capped(tables):
