@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -93,34 +93,25 @@ def bm25(index: DataFrame, queries: DataFrame, qid: str, text: str, n: int, stem
 
 # ---- vector search ----------------------------------------------------------------------
 
-QUERY_BLOCK = 2048
+QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
 
 
 def knn(chunks: DataFrame, queries: DataFrame, fetch_k: int, id_: str = "id", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding", where: Column | None = None) -> DataFrame:
-    """Cosine top `fetch_k` chunks per query.
+    """Cosine top `fetch_k` chunks per query, ties by id.
 
-    Queries are taken in blocks of at most QUERY_BLOCK vectors, so what is shipped to the
-    tasks never grows with the data. A task multiplies a block with its chunk batches and
-    keeps the best fetch_k per query; only those leave the task.
+    Queries and chunks are hashed into blocks of bounded size; every block of queries meets every
+    block of chunks in a group of its own, one matrix product each, and keeps its best fetch_k per
+    query. One plan, nothing passes through the driver but two counts.
     """
     src = (chunks if where is None else chunks.filter(where)).select(F.col(id_).alias("id"), F.col(vec).alias("v"))
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("v"))
-    total = q.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    # blocks by hash; doubled so that none exceeds the bound by more than chance, then re-split if it does
-    n_parts = 1 if blocks == 1 else blocks * 2
-    qtype, itype = dict(q.dtypes)["qid"], dict(src.dtypes)["id"]
-    out = None
-    for part in range(n_parts):
-        rows = q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_parts)) == part).collect() if n_parts > 1 else q.collect()
-        for s in range(0, len(rows), QUERY_BLOCK):
-            block = rows[s : s + QUERY_BLOCK]
-            ids = np.array([r["qid"] for r in block])
-            mat = _unit(np.array([r["v"] for r in block], dtype=np.float64))
-            hits = src.mapInPandas(_block_topk(ids, mat, fetch_k), f"qid {qtype}, id {itype}, score double")
-            out = hits if out is None else out.unionByName(hits)
-    x = out.withColumn("score", F.round("score", 9))
-    return top_k(x, ["qid"], [F.desc("score"), F.col("id")], fetch_k, "id")
+    nq, nc = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-src.count() // CHUNK_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.select(part("qid", nq).alias("qb"), every(nc).alias("cb"), "qid", "v").groupBy("qb", "cb")
+    right = src.select(every(nq).alias("qb"), part("id", nc).alias("cb"), "id", "v").groupBy("qb", "cb")
+    hits = left.cogroup(right).applyInPandas(_block_topk(fetch_k), f"qid {dict(q.dtypes)['qid']}, id {dict(src.dtypes)['id']}, score double")
+    return top_k(hits, ["qid"], [F.desc("score"), F.col("id")], fetch_k, "id")
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -128,29 +119,15 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def _block_topk(qids: np.ndarray, qmat: np.ndarray, k: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_s = np.full((len(qids), 0), -np.inf)
-        best_i = np.empty((len(qids), 0), dtype=object)
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            sim = np.round(qmat @ _unit(np.vstack(pdf["v"].to_numpy()).astype(np.float64)).T, 9)
-            s = np.hstack([best_s, sim])
-            i = np.hstack([best_i, np.broadcast_to(pdf["id"].to_numpy(dtype=object), sim.shape)])
-            # keep everything tied with the k-th value: the final rank breaks ties by id
-            if s.shape[1] > k:
-                kth = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                keep = np.where(s >= kth, s, -np.inf)
-                width = int((keep > -np.inf).sum(axis=1).max())
-                o = np.argsort(-keep, axis=1, kind="stable")[:, :width]
-                best_s, best_i = np.take_along_axis(keep, o, 1), np.take_along_axis(i, o, 1)
-            else:
-                best_s, best_i = s, i
-        if best_s.shape[1]:
-            ok = best_s > -np.inf
-            rows, _ = np.nonzero(ok)
-            yield pd.DataFrame({"qid": qids[rows], "id": best_i[ok].tolist(), "score": best_s[ok]})
+def _block_topk(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"qid": q["qid"][:0], "id": c["id"][:0], "score": np.zeros(0)})
+        c = c.sort_values("id", kind="stable")  # so that a stable sort breaks ties by id
+        matrix = lambda x: _unit(np.vstack(x.to_numpy()).astype(np.float64))
+        sim = np.round(matrix(q["v"]) @ matrix(c["v"]).T, 9)
+        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), best.shape[1]), "id": c["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(sim, best, 1).ravel()})
 
     return run
 
@@ -173,8 +150,11 @@ def fuse(lists: Sequence[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
     return top_k(s, ["qid"], [F.desc("score"), F.col("id")], k, "id")
 
 
+LIST_DEPTH = 8  # each list is this many times k deep before fusion
+
+
 def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, chunks: DataFrame, k: int, where: Column | None = None, id_: str = "id") -> DataFrame:
-    """Fuse to 4k, drop hits that fail the metadata predicate, cut to k."""
+    """Fuse to 4k, drop hits that fail the metadata predicate, cut to k. The lists should be LIST_DEPTH * k deep."""
     x = fuse([vector_hits, keyword_hits], k * 4)
     meta = chunks.withColumnRenamed(id_, "id") if id_ != "id" else chunks
     ok = meta.select("id") if where is None else meta.filter(where).select("id")
@@ -183,6 +163,7 @@ def hybrid(vector_hits: DataFrame, keyword_hits: DataFrame, chunks: DataFrame, k
 
 def context_block(hits: DataFrame) -> DataFrame:
     """One formatted text per query from its ranked hits (at most k per query)."""
+    # Fixed value: the line format of a context block.
     line = F.format_string("[%d] Fonte: %s | Camada: %s | Versão: %s | Tags: %s\n%s\n", "rank", "source", "layer", "version", F.array_join("tags", ", "), "content")
     g = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))).alias("l"))
     return g.select("qid", F.array_join(F.transform("l", lambda v: v["t"]), "\n---\n").alias("context"))

@@ -146,9 +146,9 @@ BM_SQL = r"""WITH tok AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_t
  bm AS (SELECT qid, id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s JOIN nq USING (qid) WHERE m = nt QUALIFY rank <= 10)"""
 
 
-def _bm(spark, sf, stemmed=False):
+def _bm(spark, sf, stemmed=False, k=10):
     ix = pinned(S.postings(spread(B.table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text", stemmed))  # the index is a stored table
-    return S.bm25(ix, B.table(spark, sf, "benchmark"), "item_id", "text", 10, stemmed)
+    return S.bm25(ix, B.table(spark, sf, "benchmark"), "item_id", "text", k, stemmed)
 
 
 @R.add("x2_bm25", f"{BM_SQL} SELECT qid, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM bm")
@@ -190,8 +190,8 @@ def t6(spark, sf):
     return h.withColumn("score", F.round("score", 6))
 
 
-HYB_SQL = BM_SQL + """, dv AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), qv AS (SELECT item_id AS qid, v FROM benchmark JOIN dv ON dv.id = item_id),
- vs AS (SELECT qid, dv.id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv.v, dv.v), 9) DESC, dv.id) AS rank FROM qv CROSS JOIN dv QUALIFY rank <= 10),
+HYB_SQL = BM_SQL.replace("rank <= 10", "rank <= 40") + """, dv AS (SELECT vec_id AS id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), qv AS (SELECT item_id AS qid, v FROM benchmark JOIN dv ON dv.id = item_id),
+ vs AS (SELECT qid, dv.id, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(qv.v, dv.v), 9) DESC, dv.id) AS rank FROM qv CROSS JOIN dv QUALIFY rank <= 40),
  fu AS (SELECT qid, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT qid, id, rank FROM bm UNION ALL SELECT qid, id, rank FROM vs) GROUP BY ALL),
  fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM fu QUALIFY rank <= 20),
  hy AS (SELECT fr.qid, fr.id, fr.score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, fr.id) AS r2 FROM fr JOIN documents d ON d.doc_id = fr.id WHERE d.lang = 'en' QUALIFY r2 <= 5)"""
@@ -201,8 +201,8 @@ def _hybrid(spark, sf):
     d = B.table(spark, sf, "documents")
     e = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     q = B.table(spark, sf, "benchmark").join(e, F.col("item_id") == F.col("id")).select(F.col("item_id").alias("qid"), "embedding")
-    v = S.knn(e, q, 10)
-    return v, S.hybrid(v, _bm(spark, sf), d, 5, F.col("lang") == "en", "doc_id")
+    v = S.knn(e, q, 5 * S.LIST_DEPTH)
+    return v, S.hybrid(v, _bm(spark, sf, k=5 * S.LIST_DEPTH), d, 5, F.col("lang") == "en", "doc_id")
 
 
 @R.add("j11_x4_hybrid_search", f"{HYB_SQL} SELECT qid, id, round(score, 9) AS score, CAST(r2 AS INTEGER) AS rank FROM hy")

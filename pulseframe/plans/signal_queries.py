@@ -43,12 +43,19 @@ def rounded(df, digits=6, skip=()):
     return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t in ("double", "float") and c not in skip})
 
 
+PER_SIGNAL = REPEAT * 64 // 500
+
+
 def windows(spark, sf):
-    """Windows of 500 samples, one per embedding."""
-    return signals(spark, sf).select("record_id", "label", A.window("samples", 0, 500).alias("w"))
+    """All windows of 500 samples of all signals, numbered record_id * 8 + window."""
+    return (
+        signals(spark, sf)
+        .select("record_id", "label", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PER_SIGNAL - 1)), lambda k: F.slice("samples", k * 500 + 1, 500))).alias("k", "w"))
+        .select((F.col("record_id") * 8 + F.col("k")).alias("record_id"), "label", "w")
+    )
 
 
-WIN_SQL = f"{SIGNAL_SQL}, win AS (SELECT record_id, label, samples[1:500] AS w FROM signal)"
+WIN_SQL = f"{SIGNAL_SQL}, win AS (SELECT record_id * 8 + k AS record_id, label, samples[k * 500 + 1 : k * 500 + 500] AS w FROM signal, (SELECT unnest(range(0, {PER_SIGNAL})) AS k))"
 
 # ---- windows ----------------------------------------------------------------------------
 
