@@ -111,7 +111,7 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list],
 
 
 # Ids to drop (a few dozen bytes each) are broadcast up to this many, joined by a shuffle beyond.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 4_000_000
 
 
 def without(df: DataFrame, gone: DataFrame, on: Column) -> DataFrame:

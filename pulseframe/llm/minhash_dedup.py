@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import clean_name, components, pinned, slices, without
+from .common import BROADCAST_IDS, clean_name, components, pinned, slices, without
 
 DENSE = 32  # members from which sub-regions are used as well
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     subs = dense.groupBy("region", "sub").agg(F.count("*").alias("s"), F.min(F.struct("id", "n")).alias("h2")).filter("s > 1")
     deeper = dense.join(subs, ["region", "sub"]).filter(F.col("id") != F.col("h2.id")).filter(near(F.col("n"), F.col("h2.n"))).select(F.col("h2.id").alias("a"), F.col("id").alias("b"))
     first = pinned(stars.union(deeper).distinct())
-    wanted = members.select("id").distinct()
+    wanted = pinned(members.select("id").distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # 8 bytes each
     sets = pinned(base.join(wanted, "id").select("id", "text").mapInArrow(_sets(width), "id long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
