@@ -67,16 +67,21 @@ def check_sources(train_groups: DataFrame, test_groups: DataFrame, group: str) -
     return train_groups.select(group).distinct().intersect(test_groups.select(group).distinct())
 
 
+# Names of the two-class template features.
 NV_FEATURES = [
     "template_corr_N", "template_corr_V", "template_corr_delta", "template_distance_N", "template_distance_V", "template_distance_ratio", "derivative_corr_N",
     "derivative_corr_V", "derivative_corr_delta", "hybrid_alpha", "hybrid_interiority", "hybrid_residual", "hybrid_residual_gain", "early_distance_delta",
     "mid_distance_delta", "late_distance_delta",
 ]
 _PAIRS = [("N", "V"), ("N", "F"), ("V", "F")]
-NVF_FEATURES = (
-    [f"corr_{c}" for c in "NVF"] + [f"corr_{a}_minus_{b}" for a, b in _PAIRS] + [f"distance_{c}" for c in "NVF"] + [f"distance_{a}_over_{b}" for a, b in _PAIRS]
-    + [f"derivative_{c}" for c in "NVF"] + [f"derivative_{a}_minus_{b}" for a, b in _PAIRS] + ["margin_over_NV", "margin_over_V", "margin_over_N"]
-)
+# Names of the three-class template features.
+NVF_FEATURES = [
+    "template_corr_N", "template_corr_V", "template_corr_F", "template_corr_delta_NV", "template_corr_delta_NF", "template_corr_delta_VF",
+    "template_distance_N", "template_distance_V", "template_distance_F", "template_distance_ratio_NV", "template_distance_ratio_NF", "template_distance_ratio_VF",
+    "derivative_corr_N", "derivative_corr_V", "derivative_corr_F", "derivative_corr_delta_NV", "derivative_corr_delta_NF", "derivative_corr_delta_VF",
+    "template_F_margin_over_NV", "template_F_margin_over_V", "template_F_margin_over_N",
+]
+_PAIRS = [("N", "V"), ("N", "F"), ("V", "F")]
 
 
 def _rows(m: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from ..sources import catalog as Cat, logs as L
+from ..sources import catalog as Cat, logs as L, tables as Tb
 from ..streaming import jobs as J
 from . import bindings as B
 from .registry import Registry
@@ -70,6 +70,72 @@ def s17b(spark, sf):
     return L.calibration_history(B.table(spark, sf, "orders").select("o_orderkey", js.alias("js")), "js", "o_orderkey")[1]
 
 
+# ---- files: written to the shared folder, read back, compared -----------------------------
+
+@R.add("s5_s6_publish", "SELECT l_linenumber, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem GROUP BY 1")
+def s5(spark, sf):
+    path = f"{_work(spark)}/published"
+    Tb.publish(B.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"), path, ["l_returnflag"])
+    x = Tb.scan(spark, path, ["l_orderkey", "l_linenumber"])
+    return x.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
+
+
+@R.add("s7_paired_mismatch", "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'no_array' ELSE 'no_metadata' END AS problem FROM embeddings WHERE (vec_id % 7 = 0) <> (vec_id % 11 = 0)")
+def s7(spark, sf):
+    e = B.table(spark, sf, "embeddings")
+    return Tb.paired_mismatch(e.filter("vec_id % 7 <> 0"), e.filter("vec_id % 11 <> 0"), "vec_id")
+
+
+@R.add("s8_s9_replay", """SELECT CASE WHEN o_orderkey % 9 = 0 THEN 'invalid' WHEN o_custkey % 2 = 0 THEN 'success' ELSE 'kept' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1""")
+def s8(spark, sf):
+    path = f"{_work(spark)}/rejects"
+    o = B.table(spark, sf, "orders").filter("o_orderkey % 3 = 0")
+    r = o.select(F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderkey").cast("string")).alias("record_id"), F.when(F.col("o_custkey") % 2 == 0, "even").otherwise("odd").alias("dataset"),
+                 F.lit("read").alias("step"), F.lit("x").alias("error"), F.lit("/p").alias("raw_path"), F.col("o_orderdate").cast("timestamp").alias("timestamp"))
+    Tb.append_rejects(r.filter("dataset = 'even'"), path)
+    Tb.append_rejects(r.filter("dataset = 'odd'"), path)
+    return Tb.replay(Tb.read_rejects(spark, path), lambda keys: keys.filter("dataset = 'even'"))[1].select("outcome", "n")
+
+
+@R.add("s12_append_rows", "SELECT c_nationkey, count(*) + count(*) FILTER (c_custkey % 5 = 0) AS n FROM customer GROUP BY 1")
+def s12(spark, sf):
+    from ..operators.tracking import append_rows
+
+    path = f"{_work(spark)}/rows"
+    c = B.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    append_rows(c, path, ["c_nationkey"])
+    append_rows(c.filter("c_custkey % 5 = 0"), path, ["c_nationkey"])
+    return spark.read.parquet(path).groupBy(F.col("c_nationkey").cast("long").alias("c_nationkey")).agg(F.count("*").alias("n"))
+
+
+@R.add("s14_matrix_predictions", "SELECT 'c' || o_custkey % 3 AS candidate, CAST(o_orderkey % 5 AS INTEGER) AS fold, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY ALL")
+def s14(spark, sf):
+    root = f"{_work(spark)}/matrix"
+    o = B.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey") % 3).alias("candidate"), (F.col("o_orderkey") % 5).cast("int").alias("fold"), (F.col("o_orderkey") % 2).cast("int").alias("seed"))
+    o.write.partitionBy("candidate", "fold", "seed").parquet(root)
+    return Tb.matrix_predictions(spark, root).groupBy("candidate", "fold").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@R.add("s18_s20_exports", "SELECT p_size, count(*) AS n_csv, count(*) AS n_json, min(p_name) AS first_name FROM part GROUP BY 1")
+def s20(spark, sf):
+    work = _work(spark)
+    x = B.table(spark, sf, "part").select("p_partkey", "p_name", F.col("p_size").cast("int").alias("p_size"))
+    Tb.write_csv(x, f"{work}/csv")
+    Tb.write_json(x, f"{work}/json", ["p_size"])
+    a = spark.read.option("header", True).schema("p_partkey long, p_name string, p_size int").csv(f"{work}/csv").groupBy("p_size").agg(F.count("*").alias("n_csv"), F.min("p_name").alias("first_name"))
+    b = spark.read.schema("p_partkey long, p_name string, p_size int").json(f"{work}/json").groupBy("p_size").agg(F.count("*").alias("n_json"))
+    return a.join(b, "p_size").select("p_size", "n_csv", "n_json", "first_name")
+
+
+@R.add("s10_whole_files", "SELECT doc_id, length(text) AS n FROM documents WHERE text <> ''")
+def s10_files(spark, sf):
+    path = f"{_work(spark)}/files"
+    d = B.table(spark, sf, "documents").filter("text <> ''")
+    d.select(F.concat(F.col("doc_id"), F.lit(": "), F.regexp_replace("text", "\n", "\u2028")).alias("value")).write.text(path)
+    lines = Tb.whole_files(spark, path, "part-*").select(F.explode(F.split("text", "\n")).alias("l")).filter("l <> ''")
+    return lines.select(F.substring_index("l", ": ", 1).cast("long").alias("doc_id"), (F.length("l") - F.instr("l", ": ") - 1).alias("n"))
+
+
 # ---- streaming --------------------------------------------------------------------------
 
 def _work(spark) -> str:

@@ -56,15 +56,6 @@ def pinned(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-# A side is broadcast only when a count of it stays below this many rows.
-BROADCAST_ROWS = 50_000
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Count at most rows + 1 rows; true when the side is small enough to broadcast."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Even out a scan with fewer splits than cores before per-row heavy work.
 
