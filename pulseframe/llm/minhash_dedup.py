@@ -36,7 +36,7 @@ _Q = np.uint64(0xBF58476D1CE4E5B9)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

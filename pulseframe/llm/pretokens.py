@@ -1,4 +1,4 @@
-"""Whole texts to token ids by way of caches of pieces and words.
+"""Whole texts to token ids by way of a cache of pieces and words.
 
 The pre-tokenizer pattern of byte-level vocabularies always breaks between a non-space character
 and a following space or line feed, and the pieces between such breaks are tokenized
@@ -31,34 +31,35 @@ class TextEncoder:
     Unicode can disagree about their classes; other pieces go to `encode_text`.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", pieces: int = 500_000, words: int = 1_000_000, longest: int = 100) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 700_000, longest: int = 100) -> None:
         self._words_of, self._text, self._split, self._plain = encode_words, encode_text, pattern.findall, plain
-        self._most, self._longest = (pieces, words), longest
-        self._pieces: dict[str, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._most, self._longest = entries, longest
+        self._seen: dict[str, bytes] = {}  # pieces and words
 
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not seen before; long ones are not kept."""
+        """Ids of pieces not seen before; long ones are returned and not kept."""
         once: dict[str, bytes] = {}
+        new: list[str] = []
         cut: list[tuple[str, list[str]]] = []
         for p in unknown:
             if len(p) > self._longest or max(p) >= self._plain:
                 once[p] = self._text(p)
+            elif (p[1:] if p[0] == " " else p).isalpha():  # letters only: a word as it is
+                new.append(p)
             else:
                 cut.append((p, self._split(p)))
-        words = self._words
-        new = list(set().union(*(w for _, w in cut)).difference(words))
-        words.update(zip(new, self._words_of(new)))
-        get = words.__getitem__
+        seen = self._seen
+        new += set().union(*(w for _, w in cut)).difference(seen, new)
+        seen.update(zip(new, self._words_of(new)))
+        get = seen.__getitem__
         for p, w in cut:
-            self._pieces[p] = get(w[0]) if len(w) == 1 else b"".join(map(get, w))
+            seen[p] = b"".join(map(get, w))
         return once
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self._pieces) > self._most[0]:
-            self._pieces.clear()
-        if len(self._words) > self._most[1]:
-            self._words.clear()
+        seen = self._seen
+        if len(seen) > self._most:
+            seen.clear()
         out: list[bytes] = [b""] * len(texts)
         cut: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
@@ -68,11 +69,10 @@ class TextEncoder:
                 cut.append((i, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
             else:
                 out[i] = self._text(t)
-        once = self._learn(set().union(*(p for _, p in cut)).difference(self._pieces))
-        known = {**self._pieces, **once} if once and len(self._pieces) < 1000 else self._pieces
+        once = self._learn(set().union(*(p for _, p in cut)).difference(seen))
         for i, pieces in cut:
-            if once and known is self._pieces:
-                out[i] = b"".join([known[p] if p in known else once[p] for p in pieces])
+            if once:
+                out[i] = b"".join([seen[p] if p in seen else once[p] for p in pieces])
             else:
-                out[i] = b"".join(map(known.__getitem__, pieces))
+                out[i] = b"".join(map(seen.__getitem__, pieces))
         return out
