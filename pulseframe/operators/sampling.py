@@ -152,38 +152,29 @@ def gaussian(x: Column, h: Column, sigma: float) -> Column:
 def neighbour_pairs(df: DataFrame, ident: str, vec: str, k: int, where: Column | None = None) -> DataFrame:
     """The k nearest rows of every row by Euclidean distance (qid, id, rank), self excluded.
 
-    Query rows go out in blocks of bounded size; a task returns only its nearest rows.
+    Blocks of queries meet blocks of rows, one matrix product each; only each block's nearest rows
+    leave it. Ties go to the smaller id.
     """
-    from .search import QUERY_BLOCK
     from .ordering import top_k
+    from .search import block_pairs
 
     src = (df if where is None else df.filter(where)).select(F.col(ident).alias("id"), F.col(vec).alias("v"))
-    q = df.select(F.col(ident).alias("qid"), F.col(vec).alias("v")) if where is None else df.filter(where).select(F.col(ident).alias("qid"), F.col(vec).alias("v"))
-    parts = max(1, -(-q.count() // QUERY_BLOCK))
-    n_parts = parts if parts == 1 else parts * 2
     t = dict(src.dtypes)["id"]
-    out = None
-    for p in range(n_parts):
-        rows = q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_parts)) == p).collect()
-        for s in range(0, len(rows), QUERY_BLOCK):
-            b = rows[s : s + QUERY_BLOCK]
-            ids, m = np.array([r["qid"] for r in b]), np.array([r["v"] for r in b], dtype=np.float64)
-            hits = src.mapInPandas(_nearest(ids, m, k + 1), f"qid {t}, id {t}, dist double")
-            out = hits if out is None else out.unionByName(hits)
-    x = out.filter("qid <> id").withColumn("dist", F.round("dist", 9))
-    return top_k(x, ["qid"], [F.col("dist"), F.col("id")], k, "id")
-
-
-def _nearest(ids: np.ndarray, m: np.ndarray, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
-            d = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * m @ v.T))
-            w = min(k, d.shape[1])
-            o = np.argpartition(d, w - 1, axis=1)[:, :w]
-            yield pd.DataFrame({"qid": np.repeat(ids, w), "id": pdf["id"].to_numpy()[o.ravel()], "dist": np.take_along_axis(d, o, 1).ravel()})
+    hits = block_pairs(src.withColumnRenamed("id", "qid"), src).applyInPandas(_nearest(k), f"qid {t}, id {t}, dist double")
+    return top_k(hits, ["qid"], [F.col("dist"), F.col("id")], k, "id")
+
+
+def _nearest(k: int):
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"qid": q["qid"][:0], "id": c["id"][:0], "dist": np.zeros(0)})
+        c = c.sort_values("id", kind="stable")  # so that a stable sort breaks ties by id
+        m, v = (np.vstack(x["v"].to_numpy()).astype(np.float64) for x in (q, c))
+        d = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * m @ v.T)).round(9)
+        d[q["qid"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = np.inf  # not its own neighbour
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), best.shape[1]), "id": c["id"].to_numpy()[best.ravel()], "dist": np.take_along_axis(d, best, 1).ravel()})
+        return out[np.isfinite(out["dist"])]
 
     return run
 

@@ -347,6 +347,25 @@ def test_even_positions_match_linspace(spark):
             assert {r["id"] for r in x.collect()} == want
 
 
+def test_nearest_neighbours_over_blocks(spark, monkeypatch):
+    from pulseframe.operators import search as Se
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4)).round(1)
+    x[20:] = x[:20]  # ties
+    monkeypatch.setattr(Se, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(Se, "CHUNK_BLOCK", 9)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)).round(9)
+    np.fill_diagonal(d, np.inf)
+    want = {(i, int(j), r + 1) for i in range(40) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    assert {(r.qid, r.id, r["rank"]) for r in Sm.neighbour_pairs(df, "id", "v", 3).collect()} == want
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = (u @ u.T).round(9)
+    best = {(i, int(j)) for i in range(40) for j in np.argsort(-c[i], kind="stable")[:5]}
+    assert {(r.qid, r.id) for r in Se.knn(df, df, 5, "id", "v", "id", "v").collect()} == best
+
+
 def test_smote_stays_between_neighbours(spark):
     df = spark.createDataFrame([(i, 1, [float(i), 0.0]) for i in range(10)], "id long, y int, v array<double>")
     x = Sm.smote(df, "y", "id", "v", 1, 25, k=2).collect()
