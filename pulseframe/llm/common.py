@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +38,29 @@ def clean_name(df: DataFrame, base: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def tidy() -> None:
+    """Give memory that is free by now back to the system: Python workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow that leaves no free memory behind in the worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -107,7 +131,7 @@ def filter_rows(df: DataFrame, column: str, keep: Callable[[], Callable[[list],
         for b in slices(batches):
             yield b.filter(pa.array(test(b.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return map_batches(df, run, df.schema)
 
 
 # Ids to drop (a few dozen bytes each) are broadcast up to this many, joined by a shuffle beyond.

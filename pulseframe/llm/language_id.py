@@ -107,7 +107,7 @@ def fit(docs: DataFrame, lang_col: str, text_col: str, train: Column, per_langua
     """
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     sample = bounded_sample(rows, "lang", "text", per_language)
-    got = sample.mapInArrow(_histograms, "lang string, idx array<int>, cnt array<float>").toArrow()
+    got = map_batches(sample, _histograms, "lang string, idx array<int>, cnt array<float>").toArrow()
     if not got.num_rows:
         return None
     langs = got.column("lang").to_pylist()

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_IDS, clean_name, components, pinned, slices, without
+from .common import BROADCAST_IDS, clean_name, components, map_batches, pinned, slices, without
 
 DENSE = 32  # members from which sub-regions are used as well
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -92,6 +92,7 @@ def _features(width: int, length: int):
                 k2 = [int(np.bitwise_xor.reduce(_mix(h * _Q)).astype(np.int64)) if len(h) else 0 for h in sets]
             sig = [signature(h, length).tobytes() if len(h) else None for h in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], names=names)
+        _words.clear()
 
     return run
 
@@ -121,6 +122,7 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1024):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t, width).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=["id", "set"])
+        _words.clear()
 
     return run
 
@@ -165,6 +167,7 @@ def _cross(least: int, depth: int, num: int, den: int):
                 if den * both >= num * (size[i] + size[k] - both):
                     joined.add(pair)
                     out.append((ids[i], ids[k]))
+        del sets, sig
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -182,11 +185,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = Fraction(threshold).limit_denominator(10_000).as_integer_ratio()
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = pinned(base.mapInArrow(_features(width, trees * depth), "id long, n long, k1 long, k2 long, sig binary"))
+    feats = pinned(map_batches(base, _features(width, trees * depth), "id long, n long, k1 long, k2 long, sig binary"))
     some = feats.filter("n > 0 and id is not null")
     classes = pinned(some.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")))
     reps = some.alias("f").join(classes.alias("c"), F.expr("f.id = c.rep and f.n = c.n and f.k1 = c.k1 and f.k2 = c.k2"), "left_semi")
-    ordered = pinned(reps.select("id", "n", "sig").mapInArrow(_regions(trees, depth), "id long, n long, region long, sub long, tree int"))
+    ordered = pinned(map_batches(reps.select("id", "n", "sig"), _regions(trees, depth), "id long, n long, region long, sub long, tree int"))
     heads = ordered.groupBy("region").agg(F.count("*").alias("size"), F.min(F.struct("id", "n")).alias("head")).filter("size > 1")
     members = pinned(ordered.join(heads, "region").select("region", "sub", "tree", "id", "n", "size", "head"))
     near = lambda x, y: F.least(x, y) * den >= F.greatest(x, y) * num  # noqa: E731  sizes too far apart cannot link
@@ -197,12 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = pinned(stars.union(deeper).distinct())
     wanted = pinned(members.select("id").distinct())
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # 8 bytes each
-    sets = pinned(base.join(wanted, "id").select("id", "text").mapInArrow(_sets(width), "id long, set binary"))
+    sets = pinned(map_batches(base.join(wanted, "id").select("id", "text"), _sets(width), "id long, set binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
         both = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").select("a", "b", "x", "y")
-        return pinned(both.mapInArrow(_confirm(num, den), "a long, b long"))
+        return pinned(map_batches(both, _confirm(num, den), "a long, b long"))
 
     links = confirmed(first)
     comps = pinned(components(links))

@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     known = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["_id"])
     chosen = bounded_sample(known, "label", "_id", per_class)
     rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("label", F.col(text_col).alias("text"))  # two classes of a bounded number of ids
-    got = rows.mapInArrow(_sampled_lines(most_lines), "label int, x array<float>, size array<int>").toArrow()
+    got = map_batches(rows, _sampled_lines(most_lines), "label int, x array<float>, size array<int>").toArrow()
     if not got.num_rows:
         return None
     y = np.array(got.column("label").to_pylist())

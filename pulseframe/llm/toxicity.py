@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     rows = pinned(docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("label", F.col(text_col).alias("text")))  # two classes of a bounded number of ids
     df = np.zeros((2, 1 << BITS), np.int64)
     n = np.zeros(2)
-    for b in rows.mapInArrow(_distinct, "label int, grams array<int>").toArrow().to_batches():
+    for b in map_batches(rows, _distinct, "label int, grams array<int>").toArrow().to_batches():
         for label, grams in zip(b.column(0).to_pylist(), b.column(1)):
             df[label][grams.values.to_numpy()] += 1
             n[label] += 1
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     order = np.argsort(-z, kind="stable")[:features]
     strong = order[z[order] > 3.5]
     picks = np.sort(strong if len(strong) >= 16 else order[:16]).astype(np.int32)
-    got = rows.mapInArrow(_selected(spark.sparkContext.broadcast(picks)), "label int, sentences long, sentence array<int>, gram array<int>").toArrow()
+    got = map_batches(rows, _selected(spark.sparkContext.broadcast(picks)), "label int, sentences long, sentence array<int>, gram array<int>").toArrow()
     y = np.array(got.column("label").to_pylist(), np.float64)
     sizes = np.array(got.column("sentences").to_pylist(), np.int64)
     count = np.array([len(v) for v in got.column("gram")])
