@@ -2,8 +2,11 @@
 
 A document is a bag of sentences. A sentence's score is a logistic function of the weights of the
 hashed character n-grams in it; the sentences of a document are combined by noisy-or,
-p = 1 - prod(1 - p_s). Only document labels are used: the weights are fitted to the likelihood
-of the documents, and afterwards say which sentences offend.
+p = 1 - (1 - leak) * prod(1 - p_s). Only sentences with at least one weighted n-gram enter the
+product; what they do not explain is one leak per document, whatever its number of sentences. In the score
+the sentences under one half enter as the strongest of them, so that a text is not toxic by being
+long. Only document labels are used: the weights are fitted to the likelihood of the documents,
+and afterwards say which sentences offend.
 """
 
 from __future__ import annotations
@@ -59,6 +62,7 @@ def sentence_grams(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 class ToxicityModel:
     weights: np.ndarray  # one per bucket
     bias: float
+    leak: float  # logit of a document without any weighted n-gram
     a: float = 1.0
     b: float = 0.0
 
@@ -71,10 +75,12 @@ class ToxicityModel:
         return np.bincount(key >> BITS, self.weights[key & ((1 << BITS) - 1)], minlength=n)[:n]
 
     def score(self, text: str) -> tuple[float, np.ndarray]:
-        """Document score and the probability of each sentence."""
-        z = np.clip(self.sentence_logits(text) + self.bias, -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        log_not = -np.logaddexp(0, z).sum()
+        """Document score and the probability of each sentence, 0 for one without weighted n-grams."""
+        found = self.sentence_logits(text)
+        z = np.clip(found + self.bias, -30, 30)
+        p = np.where(found > 0, 1 / (1 + np.exp(-z)), 0.0)
+        weak = (found > 0) & (p < 0.5)  # faint suspicions would add up with the length of the text: the strongest stands for them
+        log_not = -np.logaddexp(0, z)[p >= 0.5].sum() - np.logaddexp(0, z[weak].max(initial=-30.0)) - np.logaddexp(0, self.leak)
         odds = float(np.log(max(-np.expm1(log_not), 1e-12)) - log_not)
         return 1 / (1 + float(np.exp(-np.clip(self.a * odds + self.b, -30, 30)))), p
 
@@ -145,29 +151,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     sent = np.concatenate([np.zeros(0, np.int64), *(v.values.to_numpy().astype(np.int64) + o for v, o in zip(got.column("sentence"), base))])
     gram = np.concatenate([np.zeros(0, np.int64), *(v.values.to_numpy().astype(np.int64) for v in got.column("gram"))])
-    # Sentences without a chosen gram all score the bias; only the others are kept one by one.
+    # Only sentences with a chosen gram are kept; the others do not enter the noisy-or.
     used, sent = np.unique(sent, return_inverse=True)
     doc_of = np.searchsorted(base, used, side="right") - 1
-    plain = sizes - np.bincount(doc_of, minlength=len(y))
     cw = (np.array([0.8, 0.2]) / np.maximum(np.array([(y == 0).sum(), (y == 1).sum()]), 1))[y.astype(int)]  # a false alarm weighs more
-    w, bias = np.zeros(len(picks)), -5.0
-    w += 0.05
-    m, v = np.zeros(len(picks) + 1), np.zeros(len(picks) + 1)
+    w, bias, leak = np.full(len(picks), 0.05), -5.0, -5.0
+    m, v = np.zeros(len(picks) + 2), np.zeros(len(picks) + 2)
     for k in range(1, steps + 1):
         s = np.clip(np.bincount(sent, w[gram], minlength=len(used)) + bias, -30, 30)
-        p, p0 = 1 / (1 + np.exp(-s)), 1 / (1 + np.exp(-bias))
-        log_not = np.bincount(doc_of, -np.logaddexp(0, s), minlength=len(y)) - plain * np.logaddexp(0, bias)
+        enters = np.bincount(sent, w[gram] > 0, minlength=len(used)) > 0  # as in the score, a weight of 0 is none
+        p, p0 = enters / (1 + np.exp(-s)), 1 / (1 + np.exp(-leak))
+        log_not = np.bincount(doc_of, -np.logaddexp(0, s) * enters, minlength=len(y)) - np.logaddexp(0, leak)
         q = np.maximum(-np.expm1(log_not), 1e-9)  # noisy-or
         # d(-log-likelihood)/d(sentence score) = p_s * (1 - y / q)
         back = cw * (1 - y / q)
         d = back[doc_of] * p
-        grad = np.append(np.bincount(gram, d[sent], minlength=len(w)) + 1e-5 * w, d.sum() + (back * plain).sum() * p0)
+        grad = np.append(np.bincount(gram, d[sent], minlength=len(w)) + 1e-5 * w, [d.sum(), back.sum() * p0])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         move = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-        w, bias = np.maximum(w - move[:-1], 0.0), bias - move[-1]  # chosen grams speak for toxicity or not at all
+        w, bias, leak = np.maximum(w - move[:-2], 0.0), bias - move[-2], leak - move[-1]  # chosen grams speak for toxicity or not at all
     full = np.zeros(1 << BITS)
     full[picks] = w
-    return ToxicityModel(full, float(bias))
+    return ToxicityModel(full, float(bias), float(leak))
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

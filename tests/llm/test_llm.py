@@ -339,6 +339,25 @@ def test_toxicity_bags(spark):
     assert {r.doc_id for r in toxicity.keep_clean(d, model).collect()} == {i for i, r in got.items() if r.score < 0.5}
 
 
+def test_long_clean_text_is_not_toxic(spark):
+    """Toxic documents that no n-gram explains must not make sentences of clean documents suspicious."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioubdgklmnprst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        foul = " zzyxfouler" if i % 4 == 0 and i % 40 else ""  # one toxic document in ten looks like a clean one
+        rows.append((i, ". ".join(" ".join(rng.choices(words, k=8)) for _ in range(rng.randint(1, 8))) + foul))
+        labels.append((i, int(i % 4 == 0)))
+    d, l = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d, l, F.lit(True))
+    clean = ". ".join(t for i, t in rows if i % 4)
+    long = ". ".join([clean] * (100_000 // clean.count(".") + 1))
+    table = docs_of(spark, [(1, long), (2, long + ". a zzyxfouler. " + clean), (3, "name " + "." * 100_000 + " 3.14")])
+    got = {r.doc_id: (r.predicted, len(r.offending), r.n_sentences >= 100_000) for r in toxicity.score(table, model).collect()}
+    assert got == {1: (0, 0, True), 2: (1, 1, True), 3: (0, 0, True)}
+    assert sorted(r.doc_id for r in toxicity.keep_clean(table, model).collect()) == [1, 3]
+
+
 def test_sentence_grams_over_segments(monkeypatch):
     text = "some words here. and more! with an end\nand a last one"
     whole = sorted(zip(*(np.concatenate(c).tolist() for c in zip(*toxicity.sentence_grams(text)))))
