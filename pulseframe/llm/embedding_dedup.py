@@ -2,14 +2,13 @@
 
 Equal vectors are one class with a multiplicity, so copies are compared once. Centroids are fitted
 on a bounded sample; every class has a home cell, the one of its nearest centroid, and visits
-the cells whose centroid is within `margin` of the nearest. Inside a cell, home vectors meet home
-vectors and visitors, block against block. A pair whose homes differ is missed only if it lies on
-the border by more than twice the margin: with d = c1 - c2 the difference of the two centroids,
-x . d and y . d must differ by more than 2 * margin although |x - y| <= sqrt(2 - 2 * threshold).
-For differences without a preferred direction that is under 1e-4 of the pairs at cosine 0.9 in 64
-dimensions and less above; 2 * margin >= 0.45 * |d| would rule it out altogether. Cells are cut
-into blocks of bounded size, so a cell that holds a third of all vectors is many tasks. Only sums
-and a spanning forest leave a block, never its pairs.
+other cells near its border. Inside a cell, home vectors meet home vectors and visitors, block
+against block. No linked pair is missed: let x live with c1 and y with c2 and d = c1 - c2, so
+x . d >= 0 >= y . d. Linked unit vectors have |x - y| <= r = sqrt(2 - 2 * threshold), so
+x . d - y . d <= r * |d|, and one of x . d and -y . d is at most r * |d| / 2. A vector visits all
+cells for which that holds, so at least one of the two visits the other. Cells are cut into blocks
+of bounded size, so a cell that holds a third of all vectors is many tasks. Only sums and a
+spanning forest leave a block, never its pairs.
 """
 
 from __future__ import annotations
@@ -48,7 +47,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
 
 
-def _assign(shared, margin: float):
+SLACK = 1e-7  # for rounding, above the error of a distance between centroids that all but coincide
+
+
+def visited(x: np.ndarray, c: np.ndarray, threshold: float, margin: float = 0.0) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Home cell of each unit row of x and the cells that it visits."""
+    half = 0.5 * np.sqrt(max(2 - 2 * threshold, 0) + 1e-12)
+    homes, visits, square = [], [], (c * c).sum(axis=1)
+    for at in range(0, len(x), 1024):
+        s = x[at : at + 1024] @ c.T
+        home = np.argmax(s, axis=1)
+        apart = np.sqrt(np.maximum(square[home][:, None] + square - 2 * (c[home] @ c.T), 0))
+        near = s.max(axis=1, keepdims=True) - s <= np.maximum(half * apart + SLACK, margin)
+        near[np.arange(len(home)), home] = False
+        homes.append(home)
+        visits += [np.flatnonzero(row) for row in near]
+    return np.concatenate(homes), visits
+
+
+def _assign(shared, threshold: float, margin: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids = shared.value
         for b in batches:
@@ -57,11 +74,8 @@ def _assign(shared, margin: float):
                 part = b.filter(pa.array(sizes == dim))
                 c = centroids[int(dim)][1]
                 first = centroids[int(dim)][0]
-                s = unit_rows(_matrix(part.column(2))) @ c.T
-                home = np.argmax(s, axis=1)
-                near = s >= s.max(axis=1, keepdims=True) - margin
-                near[np.arange(len(home)), home] = False
-                visits = [(np.flatnonzero(r) + first).astype(np.int32) for r in near]
+                home, cells = visited(unit_rows(_matrix(part.column(2))), c, threshold, margin)
+                visits = [(v + first).astype(np.int32) for v in cells]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array((home + first).astype(np.int32)), pa.array(visits, pa.list_(pa.int32()))], names=["rep", "m", "vec", "home", "visits"])
 
     return run
@@ -122,7 +136,7 @@ def _compare(threshold: float):
     return run
 
 
-def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, per_cell: int = 512, most_cells: int = 4096, margin: float = 0.15, block: int = 1024, fit_rows: int = 20_000) -> DataFrame:
+def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, per_cell: int = 512, most_cells: int = 4096, margin: float = 0.0, block: int = 1024, fit_rows: int = 20_000) -> DataFrame:
     """One row per row of `vectors`: id, n_links, component_id, kept.
 
     n_links counts the other rows linked directly (cosine >= threshold), component_id is the
@@ -131,6 +145,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     without an id, with a null component_id and kept false. Vectors of different length never link.
     A row repeated with the same id is another vector. Other columns are ignored.
     `fit_rows` bounds the sample on which the centroids are fitted; all rows are assigned and compared.
+    `margin` lets vectors visit cells within that cosine of the nearest as well; no result depends on it.
     """
     spark = vectors.sparkSession
     base = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
@@ -151,7 +166,7 @@ def link_embeddings(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         centroids[dim] = (first, spherical_kmeans(x, k))
         first += len(centroids[dim][1])
     shared = spark.sparkContext.broadcast(centroids)  # at most `most_cells` vectors of each length
-    placed = pinned(reps.select("rep", "m", "vec").mapInArrow(_assign(shared, margin), f"rep long, m long, vec array<{wide}>, home int, visits array<int>"))
+    placed = pinned(reps.select("rep", "m", "vec").mapInArrow(_assign(shared, threshold, margin), f"rep long, m long, vec array<{wide}>, home int, visits array<int>"))
     homes = placed.groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("nh"))
     guests = placed.select(F.explode("visits").alias("home")).groupBy("home").agg(F.ceil(F.count("*") / block).cast("int").alias("nv"))
     cells = homes.join(guests, "home", "left").select(F.col("home").alias("cell"), "nh", F.coalesce("nv", F.lit(0)).alias("nv"))

@@ -224,6 +224,21 @@ def test_embeddings_by_hand(spark):
     assert sorted(map(tuple, again), key=repr) == sorted([(3, 1, 3, True), (3, 1, 3, True), (None, 0, None, False)], key=repr)
 
 
+def test_embeddings_on_a_circle_across_cells(spark):
+    """Neighbours along a curve cross the border of two cells head-on; none may be lost."""
+    from pulseframe.llm.embedding_dedup import visited
+
+    a = np.random.default_rng(3).uniform(0, 2 * np.pi, 120)
+    x = np.stack([np.cos(a), np.sin(a), np.zeros(120)], axis=1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in link_embeddings(df, per_cell=30).collect()}
+    assert [got[i] for i in range(120)] == ((x @ x.T >= 0.9).sum(1) - 1).tolist()
+    # 25.8 degrees apart, each 12.9 from the border of two centroids at right angles
+    pair = np.radians([45 - 12.9, 45 + 12.9])
+    home, cells = visited(np.stack([np.cos(pair), np.sin(pair)], axis=1), np.eye(2), 0.9)
+    assert home.tolist() == [0, 1] and [v.tolist() for v in cells] == [[1], [0]]
+
+
 def test_embeddings_of_a_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = df.orderBy("vec_id").collect()
