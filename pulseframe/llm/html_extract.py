@@ -3,7 +3,8 @@
 A page is read into a flat list of blocks (runs of text between block-level tags). Each block has
 its word count, its link density, the same of its two neighbours, and what kind of element it
 stands in. A decision tree grown from a small labelled table of such blocks says which blocks
-are main text.
+are main text. The table as it is decides by the kind of element and the block's own link density:
+no split uses word counts or neighbours.
 """
 
 from __future__ import annotations
