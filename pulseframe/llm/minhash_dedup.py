@@ -1,10 +1,10 @@
-"""Near-duplicate documents by an LSH forest of MinHash signatures, confirmed on full shingle sets.
+"""Near-duplicate documents by bands of MinHash signatures at two depths, confirmed on full shingle sets.
 
 A document is the set of its distinct word shingles. Documents with the same set are one class. A
-class has one signature of minima; every tree of the forest orders the classes by the signature
-read from another place, so that classes with a long common prefix stand together. A region is a
-run with a common prefix of `depth` values; where a region is dense, its sub-regions of twice
-the depth are used as well, so depth adapts to how crowded a region is.
+class has one signature of minima; every tree is a fixed band that reads the signature from another
+place. This stands in for an LSH forest: nothing is sorted. A region is the classes with the same
+`depth` values; where a region is dense, its sub-regions of twice the depth are used as well in
+the first pass.
 
 Candidates come in two passes, and no bucket is capped. First every class meets the head of its
 region and of its sub-region. Confirmed links give components, and a region whose members are all
