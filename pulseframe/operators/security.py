@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .tracking import MAX_PAGE
+from .tracking import MAX_PAGE, flagged
 
 
 def sees_everything(user: str | None, roles: Sequence[str] = ()) -> bool:
@@ -52,51 +52,60 @@ class NotAllowed(ValueError):
 
 
 def _nodes(plan):
-    """All plan and expression nodes of a parsed query, subqueries and common table expressions included."""
-    todo, seen = [plan], 0
+    """All plan and expression nodes of a parsed query, each with the names of the common table expressions in its scope.
+
+    A WITH names its relations for its own body and for its later relations only, in a subquery
+    as on top; a name that it defines is a plain table name everywhere else.
+    """
+    todo, seen = [(plan, frozenset())], 0
     while todo:
-        node = todo.pop()
+        node, scope = todo.pop()
         seen += 1
         if seen > 20_000:
             raise NotAllowed("the query is too long")
-        yield node
-        kind = node.getClass().getSimpleName()
+        yield node, scope
+        if node.getClass().getSimpleName() == "UnresolvedWith":
+            rel, inner, recursive = node.cteRelations(), scope, node.allowRecursion()
+            for i in range(rel.size()):
+                outer, inner = inner, inner | {rel.apply(i)._1().lower()}
+                todo.append((rel.apply(i)._2(), inner if recursive else outer))
+            todo.append((node.child(), inner))
+            continue
         lists = [node.children()]
         if hasattr_java(node, "expressions"):
             lists += [node.expressions(), node.innerChildren()]
         for found in lists:
-            todo += [found.apply(i) for i in range(found.size())]
+            todo += [(found.apply(i), scope) for i in range(found.size())]
         if hasattr_java(node, "plan") and not hasattr_java(node, "expressions"):
-            todo.append(node.plan())
-        if kind == "UnresolvedWith":
-            rel = node.cteRelations()
-            todo += [rel.apply(i)._2() for i in range(rel.size())]
+            todo.append((node.plan(), scope))
+
+
+_METHODS: dict[tuple[str, str], bool] = {}
 
 
 def hasattr_java(node, method: str) -> bool:
-    return any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    """Whether the node's class has the method without parameters; looked up once per class."""
+    key = (node.getClass().getName(), method)
+    if key not in _METHODS:
+        _METHODS[key] = any(m.getName() == method and m.getParameterCount() == 0 for m in node.getClass().getMethods())
+    return _METHODS[key]
 
 
 def check_query(spark: SparkSession, sql: str, tables: Sequence[str]) -> None:
-    """Refuse a query that reads anything but `tables` and its own CTEs, or calls a function that is not listed.
+    """Refuse a query that reads anything but `tables` and the CTEs in scope, or calls a function that is not listed.
 
-    The text is parsed by Spark, not run; the names are taken from the parsed plan.
+    The text is parsed by Spark, not run; the names are taken from the parsed plan. Names are held
+    to be equal in any case, so the session that runs the query must not tell cases apart.
     """
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    nodes = list(_nodes(plan))
-    ctes = set()
-    for n in nodes:
-        if n.getClass().getSimpleName() == "UnresolvedWith":
-            rel = n.cteRelations()
-            ctes |= {rel.apply(i)._1().lower() for i in range(rel.size())}
-    known = {t.lower() for t in tables} | ctes
-    for n in nodes:
+    known = {t.lower() for t in tables}
+    for n, scope in _nodes(plan):
         kind = n.getClass().getSimpleName()
         if any(word in kind for word in _REFUSED_NODES):
             raise NotAllowed(f"{kind} is not allowed")
         if kind == "UnresolvedRelation":
             parts = n.multipartIdentifier()
-            if parts.size() != 1 or parts.apply(0).lower() not in known:
+            if parts.size() != 1 or parts.apply(0).lower() not in known | scope:
                 raise NotAllowed(f"no table {n.tableName()}")
         if kind == "UnresolvedFunction":
             parts = n.nameParts()
@@ -121,14 +130,15 @@ def ad_hoc(
     """
     own = spark.newSession()
     own.conf.set("spark.sql.runSQLOnFiles", "false")
+    own.conf.set("spark.sql.caseSensitive", "false")
+    own.conf.set("spark.sql.legacy.ctePrecedencePolicy", "CORRECTED")
     views = secure_tables(tables(own), user, roles)
     text = sql.strip().rstrip(";")
     check_query(own, f"SELECT * FROM (\n{text}\n)", list(views))
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     head = own.sql(f"SELECT * FROM (\n{text}\n) LIMIT {int(cap) + 1}", args=args)
-    more = head.agg((F.count("*") > int(cap)).alias("truncated"))
-    return head.limit(int(cap)).join(F.broadcast(more))  # one row
+    return flagged(head, int(cap))
 
 
 def audit_row(result: DataFrame, user: str, source: str, params: dict[str, object], status: str = "ok") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .ordering import hash_bucket, numbered, stable_hash
 
@@ -167,9 +167,13 @@ def where(df: DataFrame, equals: dict[str, object], order: list[Column], limit:
 
 def capped(df: DataFrame, order: list[Column], cap: int = MAX_PAGE) -> DataFrame:
     """At most `cap` rows, each with a flag telling that more exist."""
-    head = df.orderBy(*order).limit(cap + 1)
-    more = head.agg((F.count("*") > cap).alias("truncated"))
-    return head.orderBy(*order).limit(cap).join(F.broadcast(more))
+    return flagged(df.orderBy(*order).limit(cap + 1), cap)
+
+
+def flagged(head: DataFrame, cap: int) -> DataFrame:
+    """The first `cap` of at most cap + 1 rows, with a flag telling that there was one more; the source is read once."""
+    n = F.count(F.lit(1)).over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # over cap + 1 rows at most
+    return head.select("*", (n > cap).alias("truncated")).limit(cap)
 
 
 class NamedQueries:

@@ -161,7 +161,19 @@ def test_ad_hoc_cannot_escape(spark, tmp_path):
     assert Sec.ad_hoc(spark, "SELECT * FROM experiment WHERE id > :x OR 1 = 1", mk, "bob", args={"x": 1}).count() == 0
     assert Sec.ad_hoc(spark, "SELECT * FROM experiment", mk, "ana", cap=3).filter("truncated").count() == 3
     assert Sec.ad_hoc(spark, "WITH x AS (SELECT id FROM experiment) SELECT count(*) AS n FROM x WHERE id IN (SELECT id FROM experiment WHERE upper(owner_id) = 'ANA')", mk, "ana").first()["n"] == 5
+    # A CTE is known where it is in scope: inside its own query, in later siblings, in nested queries.
+    for good in (
+        "WITH a AS (SELECT id FROM experiment), b AS (SELECT id FROM a) SELECT * FROM b", "SELECT * FROM experiment WHERE id IN (WITH z AS (SELECT 1 AS id) SELECT id FROM z)",
+        "WITH a AS (SELECT 1 AS id) SELECT id FROM a WHERE EXISTS (SELECT 1 FROM a)", "WITH a AS (WITH b AS (SELECT id FROM experiment) SELECT id FROM b) SELECT id FROM a",
+    ):
+        assert Sec.ad_hoc(spark, good, mk, "ana").count() > 0
     spark.range(1).createOrReplaceGlobalTempView("leak")
+    for bad in (
+        "SELECT * FROM secret WHERE 1 IN (WITH secret AS (SELECT 1 AS z) SELECT z FROM secret)", "WITH a AS (SELECT * FROM b), b AS (SELECT 1) SELECT * FROM a",
+        "WITH a AS (WITH b AS (SELECT 1 AS x) SELECT x FROM b) SELECT * FROM b", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", "SELECT * FROM (WITH secret AS (SELECT 1) SELECT 1), secret",
+    ):
+        with pytest.raises(Sec.NotAllowed):
+            Sec.ad_hoc(spark, bad, mk, "ana").count()
     for bad in (
         f"SELECT * FROM parquet.`{tmp_path}/t`", "DROP TABLE experiment", "SELECT 1; SELECT 2", "SELECT * FROM global_temp.leak", "SELECT * FROM default.other", "SELECT * FROM other",
         "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT java_method('java.lang.Math', 'random') FROM experiment", "SELECT * FROM range(3)",
@@ -174,6 +186,20 @@ def test_ad_hoc_cannot_escape(spark, tmp_path):
         Sec.check_query(spark, "SELECT * FROM global_temp.leak", ["experiment"])
 
 
+def test_entry_without_training_data(tmp_path):
+    import shutil, subprocess, sys  # noqa: E401
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "pulseframe", tmp_path / "pulseframe", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'x1_index' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    for names in (["__spark_entry__.py"], ["__spark_entry__.py", "corpus_pipeline.py"]):
+        for n in names:
+            if (root / n).exists():
+                shutil.copy(root / n, tmp_path / n)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
 def test_audit_keeps_refused_queries(spark, tmp_path):
     log = str(tmp_path / "audit")
 
