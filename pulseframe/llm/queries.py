@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from .byte_bpe import encode_documents
+from .centroids import cluster_rows
 from .chat import conversation_digests
 from .common import crc_mod, table
 from .embedding_dedup import link_embeddings
@@ -105,3 +106,29 @@ def op1_embedding_dedup(spark, sf_dir):
 @R.add("op4_minhash_dedup")
 def op4_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _op11_round(i: int) -> str:
+    """Assignment to the centroids of round i, and the centroids after it."""
+    return f"""
+d{i} AS MATERIALIZED (SELECT vec_id, c, sum((x.x - c{i}.x) * (x.x - c{i}.x)) AS d FROM x JOIN c{i} USING (pos) GROUP BY ALL),
+a{i} AS MATERIALIZED (SELECT vec_id, d, c FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+m{i} AS (SELECT c, pos, sum(x) AS s, count(*) AS n FROM a{i} JOIN x USING (vec_id) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c, pos, CASE WHEN n IS NULL THEN x ELSE (s - (s % n + n) % n) // n END AS x FROM c{i} LEFT JOIN m{i} USING (c, pos))"""
+
+
+_OP11 = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: floor(64 * v::DOUBLE)::HUGEINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS MATERIALIZED (SELECT vec_id, unnest(range(64)) AS pos, unnest(v) AS x FROM e),
+s AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM e QUALIFY c < 16),
+c0 AS MATERIALIZED (SELECT c, pos, x FROM s JOIN x USING (vec_id)), {_op11_round(0)}, {_op11_round(1)}, {_op11_round(2)}, {_op11_round(3)},
+h AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY pos)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a3 JOIN h USING (c)
+"""
+
+
+@R.add("op11_centroid_clusters", _OP11)
+def op11_centroid_clusters(spark, sf_dir):
+    return cluster_rows(table(spark, sf_dir, "embeddings"))
