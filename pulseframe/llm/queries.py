@@ -12,6 +12,7 @@ from .chat import conversation_digests
 from .common import crc_mod, table
 from .embedding_dedup import link_embeddings
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine
 from .html_extract import extract_pages
 from .language_id import fit as fit_languages, identify
 from .minhash_dedup import near_duplicates
@@ -132,3 +133,20 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAS
 @R.add("op11_centroid_clusters", _OP11)
 def op11_centroid_clusters(spark, sf_dir):
     return cluster_rows(table(spark, sf_dir, "embeddings"))
+
+
+_OP12 = """
+WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) QUALIFY row_number() OVER w <= 3
+"""
+
+
+@R.add("op12_hard_negatives", _OP12)
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
