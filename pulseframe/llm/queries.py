@@ -19,6 +19,7 @@ from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality import fit as fit_quality, score as score_quality
 from .toxicity import fit as fit_toxicity, score as score_toxicity
+from .warc import page_roles
 
 R = Registry()
 
@@ -150,3 +151,16 @@ WINDOW w AS (PARTITION BY anchor_id, p.id ORDER BY s.score DESC, s.id) QUALIFY r
 def op12_hard_negatives(spark, sf_dir):
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
+_OP13 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h FROM pages), r AS (SELECT *, min(page_id) OVER (PARTITION BY t) AS f FROM p)
+SELECT page_id, CAST(octet_length(encode(t)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, 5 * (k // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM f THEN f END AS refers_to FROM r
+"""
+
+
+@R.add("op13_warc_bundles", _OP13)
+def op13_warc_bundles(spark, sf_dir):
+    return page_roles(table(spark, sf_dir, "pages"), least_bytes=0)
