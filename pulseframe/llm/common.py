@@ -96,18 +96,17 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64) if len(lengths) else np.zeros(0, np.int64)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """About `per_class` rows of each label, chosen by a hash of `key`; all rows of a label that has fewer.
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int, distinct: bool = False) -> DataFrame:
+    """About `per_class` rows of each label, chosen by a hash of `key`; all rows of a label that has fewer. Every label counts.
 
-    The number of rows per label is counted first, so the sample does not grow with the input.
+    The number of rows per label is counted first, so the sample of a label does not grow with the input. Rows with
+    the same key come in together or not at all; with `distinct` they count as one and come in once.
     """
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    few = [(r[label], r["_n"]) for r in counts.orderBy(F.desc("_n"), label).limit(1000).collect()]
-    share = None
-    for name, n in few:
-        test = F.col(label).eqNullSafe(F.lit(name)) & (hash_unit(key) < per_class / n)
-        share = test if share is None else share | test
-    return rows.filter(share if share is not None else F.lit(False))
+    n = F.approx_count_distinct(key, 0.02) if distinct else F.count("*")
+    counts = pinned(rows.groupBy(F.col(label).alias("_label")).agg((F.lit(float(per_class)) / F.greatest(n, F.lit(1))).alias("_share")))
+    shares = F.broadcast(counts) if counts.count() <= 100_000 else counts
+    chosen = rows.join(shares, F.col(label).eqNullSafe(F.col("_label"))).filter(hash_unit(key) < F.col("_share")).drop("_label", "_share")
+    return chosen.dropDuplicates([label, key]) if distinct else chosen  # reduced on the map side
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -101,12 +101,13 @@ def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, lang_col: str, text_col: str, train: Column, per_language: int = 500, steps: int = 60) -> LanguageModel | None:
-    """Fit on a bounded sample: about `per_language` rows of each language, chosen by a hash of their text.
+    """Fit on a bounded sample: about `per_language` rows of each language, chosen by a hash of their text, each
+    text once however often it is repeated. Every value of `lang_col` is learnt; the sample grows with their number alone.
 
     None when no row qualifies.
     """
     rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    sample = bounded_sample(rows, "lang", "text", per_language)
+    sample = bounded_sample(rows, "lang", "text", per_language, distinct=True)
     got = map_batches(sample, _histograms, "lang string, idx array<int>, cnt array<float>").toArrow()
     if not got.num_rows:
         return None

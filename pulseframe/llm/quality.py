@@ -45,17 +45,23 @@ def _powers(n: int = CHUNK + 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_numbers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(lines x BASE numbers, line lengths) of a whole text; an empty text is one empty line."""
-    if len(text) > CHUNK:  # very long texts go in parts cut at line ends, or anywhere when a line is longer
-        parts, at = [], 0
-        while at < len(text):
-            end = min(len(text), at + CHUNK)
-            if end < len(text):
-                cut = text.rfind("\n", at, end)
-                end = cut if cut > at else end
-            parts.append(line_numbers(text[at:end]))
-            at = end + (text[end : end + 1] == "\n")
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    """(lines x BASE numbers, line lengths) of a whole text; an empty text is one empty line.
+
+    Long texts go in parts of whole lines, about CHUNK code points each; a longer line is a part of its own.
+    """
+    parts, at = [], 0
+    while len(text) - at > CHUNK:
+        cut = text.rfind("\n", at, at + CHUNK)
+        cut = cut if cut >= 0 else text.find("\n", at + CHUNK)
+        if cut < 0:
+            break
+        parts.append(_numbers(text[at:cut]))
+        at = cut + 1
+    parts.append(_numbers(text[at:] if at else text))
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _numbers(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer((text + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
     n = len(c)
     kind = _kinds()[np.minimum(c, 0xFFFF)]
@@ -102,12 +108,12 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.concatenate([z, x[:-1]]), np.concatenate([x[1:], z]), np.ones((len(x), 1))], 1)
 
 
-def marginals(score: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, step: np.ndarray, lengths: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward-backward for many chains at once.
 
     score: lines x 2 log potentials, chains one after another; step: 2 x 2 log potentials of
-    neighbouring states. Returns state marginals, expected state pairs (2 x 2 sums) and the log
-    partition sums.
+    neighbouring states. Returns state marginals, expected state pairs (2 x 2 sums, each pair counted with
+    the weight of its first line) and the log partition sums.
     """
     order = np.argsort(-lengths, kind="stable")
     start = np.concatenate(([0], np.cumsum(lengths)[:-1]))[order]
@@ -129,7 +135,8 @@ def marginals(score: np.ndarray, step: np.ndarray, lengths: np.ndarray) -> tuple
     inside = np.ones(len(score), bool)
     inside[np.cumsum(lengths) - 1] = False
     at = np.flatnonzero(inside)
-    pairs = np.exp(alpha[at][:, :, None] + step[None] + (score + beta)[at + 1][:, None, :] - z[at][:, None, None]).sum(0) if len(at) else np.zeros((2, 2))
+    pairs = np.exp(alpha[at][:, :, None] + step[None] + (score + beta)[at + 1][:, None, :] - z[at][:, None, None])
+    pairs = (pairs if weight is None else pairs * weight[at][:, None, None]).sum(0)
     return p, pairs, total
 
 
@@ -191,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
     """
     known = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["_id"])
     chosen = bounded_sample(known, "label", "_id", per_class)
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("label", F.col(text_col).alias("text"))  # two classes of a bounded number of ids
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("label", "text")  # two classes of a bounded number of ids
     got = map_batches(rows, _sampled_lines(most_lines), "label int, x array<float>, size array<int>").toArrow()
     if not got.num_rows:
         return None
@@ -218,15 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "qua
         m1, m2 = np.zeros(len(model.w)), np.zeros(len(model.w))
         for k in range(1, steps + 1):
             s = f @ model.w
-            p, _, _ = marginals(np.stack([np.zeros_like(s), s], 1), model.step, count)
+            p, q, _ = marginals(np.stack([np.zeros_like(s), s], 1), model.step, count, weight)
             grad = f.T @ ((p[:, 1] - line) * weight) + 1e-4 * model.w
             m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
             model.w = model.w - 0.1 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
-            q = np.zeros((2, 2))
-            np.add.at(q, (0, 0), (p[inner, 0] * p[inner + 1, 0] * weight[inner]).sum())
-            np.add.at(q, (1, 1), (p[inner, 1] * p[inner + 1, 1] * weight[inner]).sum())
-            np.add.at(q, (0, 1), (p[inner, 0] * p[inner + 1, 1] * weight[inner]).sum())
-            np.add.at(q, (1, 0), (p[inner, 1] * p[inner + 1, 0] * weight[inner]).sum())
             model.step = np.clip(model.step + 0.5 * (pair - q), -3, 3)
         if r < rounds - 1:  # lines of rejected documents: bad where the model says so, the worst one in any case
             s = f @ model.w

@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "tox
     spark = docs.sparkSession
     known = labels.filter(train & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["_id"])
     chosen = bounded_sample(known, "label", "_id", per_class)
-    rows = pinned(docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("label", F.col(text_col).alias("text")))  # two classes of a bounded number of ids
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    rows = pinned(texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("label", "text"))  # two classes of a bounded number of ids
     df = np.zeros((2, 1 << BITS), np.int64)
     n = np.zeros(2)
     for b in map_batches(rows, _distinct, "label int, grams array<int>").toArrow().to_batches():

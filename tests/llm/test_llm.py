@@ -276,6 +276,10 @@ def test_bounded_sample(spark):
     rows = spark.range(4000).select("id", F.when(F.col("id") < 3900, "a").otherwise("b").alias("k"))
     got = {r.k: r["count"] for r in bounded_sample(rows, "k", "id", 500).groupBy("k").count().collect()}
     assert got["b"] == 100 and 400 < got["a"] < 600
+    many = spark.range(6000).select("id", (F.col("id") % 1500).cast("string").alias("k"))
+    assert bounded_sample(many, "k", "id", 50).select("k").distinct().count() == 1500
+    same = spark.range(5000).select(F.when(F.col("id") < 4990, "one text").otherwise(F.concat(F.lit("word "), "id")).alias("t"), F.lit("en").alias("l"))
+    assert language_id.fit(same, "l", "t", F.lit(True)) is not None
 
 
 # ---- quality
@@ -298,6 +302,9 @@ def test_chain_marginals_by_enumeration():
                 want_pairs[a, b] += v
         at += n
     assert np.allclose(pairs, want_pairs)
+    weight = np.repeat([0.5, 0.2, 2.0], sizes)
+    one = [quality.marginals(score[a : a + n], step, np.array([n]))[1] for a, n in zip((0, 1, 5), sizes)]
+    assert np.allclose(quality.marginals(score, step, sizes, weight)[1], 0.5 * one[0] + 0.2 * one[1] + 2.0 * one[2])
 
 
 def test_line_numbers_by_hand():
@@ -305,8 +312,20 @@ def test_line_numbers_by_hand():
     assert size.tolist() == [10, 0, 5] and len(x) == 3
     assert np.isclose(x[0, 1], 6 / 10) and np.isclose(x[0, 2], 1 / 6) and np.isclose(x[0, 12], 1.0) and np.isclose(x[2, 5], 10 / 5)
     assert len(quality.line_numbers("")[0]) == 1
-    long = "word " * 300_000
-    assert np.isclose(quality.line_numbers(long)[1].sum(), len(long), rtol=0.01)
+    for long in ("word " * 300_000, "x" * 524_288 + "\n", "x" * 700_000, "ab\n" * 300_000, "x" * 600_000 + "\n\n" + "y" * 600_000 + "\nz", "\n" * 524_289):
+        size = quality.line_numbers(long)[1]
+        assert size.tolist() == [len(v) for v in long.split("\n")]
+
+
+def test_labels_join_under_names_of_their_own(spark):
+    """Documents with columns called label, _id, text and share do not clash with the labels."""
+    rows = [(i, f"clean words number {i}. more of them" if i % 2 else f"||| {i} ||| !!! foulword {i}", "l", 1.0, 3, 4) for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, label string, _share double, _id int, _label int")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2, "x") for i in range(80)], "doc_id long, quality int, toxic int, text string")
+    q, t = quality.fit(d, labels, F.lit(True)), toxicity.fit(d, labels, F.lit(True))
+    good = quality.keep_good(d, q)
+    assert good.columns == d.columns and good.count() == 40
+    assert toxicity.score(d, t).filter("predicted = 1").count() == 40 and toxicity.keep_clean(d, t).count() == 40
 
 
 def test_quality_held_out(spark):
