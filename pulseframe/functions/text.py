@@ -114,15 +114,67 @@ def chunk_id(source: Column, text: Column) -> Column:
     return F.substring(F.sha2(F.concat(source, F.lit(":"), text), 256), 1, 16)
 
 
-def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep_whole: int = 0, part: str = "part") -> DataFrame:
-    """Fixed-size pieces with overlap; texts up to `keep_whole` characters stay whole."""
-    n = F.length(text)
-    step = size - overlap
-    last = F.when(n <= F.lit(max(keep_whole, size)), F.lit(0)).otherwise(F.ceil((n - size) / F.lit(step)).cast("int"))
-    x = df.withColumn(part, F.explode(F.sequence(F.lit(0), last)))
-    whole = (F.col(part) == 0) & (n <= F.lit(max(keep_whole, size)))
-    piece = F.when(whole, F.col(text)).otherwise(F.substring(F.col(text), F.col(part) * step + 1, F.lit(size)))
-    return x.withColumn("content", F.trim(piece)).filter("content <> ''")
+# Places to cut at, the first that makes the pieces short enough wins: paragraph, line, sentence, word.
+SEPARATORS = ["\n\n", "\n", ". ", " "]
+_BLANK = " \t\n\r"
+
+
+def _cut_at(sep: str, size: int):
+    def kept(parts: Column) -> Column:  # all but the last were followed by the separator
+        return F.concat(F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.concat(p, F.lit(sep))), F.slice(parts, -1, 1))
+
+    def cut(a: Column) -> Column:
+        parts = let(F.split(a, sep.replace(".", "[.]")), kept)
+        return F.when(F.length(a) <= size, F.array(a)).otherwise(F.filter(parts, lambda p: p != ""))
+
+    return cut
+
+
+def pieces(text: Column, size: int) -> Column:
+    """The text as consecutive pieces of at most `size` characters; only a word longer than that is cut.
+
+    Pieces that are too long go down the ladder of separators; a separator stays with the piece before it.
+    """
+    def slices(a: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.length(a) - 1) / size).cast("int"))
+        return F.when(F.length(a) <= size, F.array(a)).otherwise(F.transform(at, lambda i: F.substring(a, i * size + 1, F.lit(size))))
+
+    got = F.array(text)
+    for sep in SEPARATORS:
+        got = F.flatten(F.transform(got, _cut_at(sep, size)))
+    return F.flatten(F.transform(got, slices))
+
+
+def _tail(t: Column, n: Column) -> Column:
+    """The last n characters of t at most, from the beginning of a word."""
+    r = F.right(t, n)
+    whole = (F.length(t) <= n) | F.substring(t, F.length(t) - n, F.lit(1)).isin(*_BLANK)
+    return F.when(n <= 0, "").when(whole, r).otherwise(F.regexp_replace(r, f"^[^{_BLANK}]+", ""))
+
+
+def chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Pieces merged greedily into chunks of at most `size` characters, trimmed, empty ones left out.
+
+    A chunk begins with the last whole words of the one before, `overlap` characters at most and as many as fit.
+    """
+    def put(s: Column, a: Column) -> Column:
+        full = (s["cur"] != "") & (F.length(s["cur"]) + F.length(a) > size)
+        room = F.least(F.lit(overlap), F.lit(size) - F.length(a))
+        cut = F.struct(F.concat(s["out"], F.array(s["cur"])).alias("out"), F.concat(_tail(s["cur"], room), a).alias("cur"))
+        return F.when(full, cut).otherwise(F.struct(s["out"].alias("out"), F.concat(s["cur"], a).alias("cur")))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+    done = lambda s: F.transform(F.concat(s["out"], F.array(s["cur"])), lambda c: F.btrim(c, F.lit(_BLANK)))
+    return F.filter(F.aggregate(pieces(text, size), start, put, done), lambda c: c != "")
+
+
+def chunk(df: DataFrame, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, keep_whole: int | Column = 0, part: str = "part", count: str = "n_parts") -> DataFrame:
+    """One row per chunk, numbered from 0, with the number of chunks of its text; texts up to `keep_whole` characters stay whole. A null or blank text has none."""
+    t = F.col(text)
+    whole = keep_whole if isinstance(keep_whole, Column) else F.lit(keep_whole)
+    alone = F.filter(F.array(F.btrim(t, F.lit(_BLANK))), lambda c: c != "")
+    x = df.withColumn("_chunks", F.when(F.length(t) <= whole, alone).otherwise(chunks(t, size, overlap)))
+    return x.select(*df.columns, F.size("_chunks").alias(count), F.posexplode("_chunks").alias(part, "content"))
 
 
 def strip_html(text: Column) -> Column:
@@ -147,22 +199,57 @@ def overlap_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: t != ""))
 
 
-def split_markdown(df: DataFrame, text: str) -> DataFrame:
-    """One row per top header; text before the first header has none."""
-    parts = F.split(F.col(text), "\n# ")
-    x = df.select("*", F.posexplode(parts).alias("section", "_p"))
-    headed = (F.col("section") > 0) | F.ltrim("_p").startswith("#")
-    first = F.substring_index("_p", "\n", 1)
-    body = F.when(headed, F.when(F.instr("_p", "\n") > 0, F.regexp_replace("_p", r"^[^\n]*\n", "")).otherwise("")).otherwise(F.col("_p"))
-    head = F.when(headed, F.trim(F.regexp_replace(first, r"^[# ]+", "")))
-    return x.withColumn("header_1", head).withColumn("body", body).drop("_p")
+def _cut_sections(level: int):
+    """Each section (body and the headers above) as its subsections of the next level."""
+    mark = "#" * level + " "
+
+    def cut(s: Column) -> Column:
+        above = [s[f"header_{i}"].alias(f"header_{i}") for i in range(1, level)]
+
+        def one(p: Column, i: Column) -> Column:
+            headed = (i > 0) | F.ltrim(p).startswith("#" if level == 1 else mark)
+            rest = F.when(F.instr(p, "\n") > 0, F.regexp_replace(p, r"^[^\n]*\n", "")).otherwise("")
+            head = F.trim(F.regexp_replace(F.substring_index(p, "\n", 1), r"^[# ]+", ""))
+            return F.struct(F.when(headed, rest).otherwise(p).alias("body"), *above, F.when(headed, head).alias(f"header_{level}"))
+
+        return F.transform(F.split(s["body"], "\n" + mark), one)
+
+    return cut
+
+
+def split_markdown(df: DataFrame, text: str, depth: int = 1) -> DataFrame:
+    """One row per section with its header path `header_1` .. `header_<depth>`, in the order of `section`.
+
+    A text is cut at top headers; what comes before the first one has none. With a depth of 2 or more every section is
+    cut further at headers of the next level, and carries the headers above it on.
+    """
+    s = F.array(F.struct(F.col(text).alias("body")))
+    for level in range(1, depth + 1):
+        s = F.flatten(F.transform(s, _cut_sections(level)))
+    x = df.select("*", F.posexplode(s).alias("section", "_s"))
+    return x.select(*df.columns, "section", *[f"_s.header_{i}" for i in range(1, depth + 1)], "_s.body")
+
+
+SUMMARY_FOLDER = "data/lineage/experiments/"
+
+
+def documents(df: DataFrame, source: str, text: str) -> DataFrame:
+    """Every text as the sections that are to be chunked: columns section, header_1, body, is_summary, and keep_whole.
+
+    Experiment summaries stay in one piece under their first line, if that is a header; markdown is cut at its top headers; other files are code, one
+    section without a header, of which nothing is kept whole.
+    """
+    t, path = F.col(text), F.col(source)
+    x = df.withColumns({"is_summary": path.contains(SUMMARY_FOLDER) & path.endswith(".md"), "keep_whole": F.when(path.endswith(".md"), MAX_CHUNK_CHARS).otherwise(0)})
+    cut = split_markdown(x.filter(path.endswith(".md") & ~path.contains(SUMMARY_FOLDER)), text)
+    head = F.when(F.col("is_summary") & t.startswith("# "), F.trim(F.regexp_replace(F.substring_index(t, "\n", 1), "^[# ]+", "")))
+    one = x.filter(~(path.endswith(".md") & ~path.contains(SUMMARY_FOLDER))).select("*", F.lit(0).alias("section"), head.alias("header_1"), t.alias("body"))
+    return cut.unionByName(one)
 
 
-def part_header(df: DataFrame, key: str) -> DataFrame:
-    """`parte_n` on the pieces of a text that was split."""
-    n = df.groupBy(key).agg(F.count("*").alias("_n"))
-    x = df.join(n, key)
-    return x.withColumn("header_2", F.when(F.col("_n") > 1, F.concat(F.lit("parte_"), (F.col("part") + 1).cast("string")))).drop("_n")
+def part_header(part: Column, count: Column) -> Column:
+    """`parte_n` on the chunks of a text that has several."""
+    return F.when(count > 1, F.concat(F.lit("parte_"), (part + 1).cast("string")))
 
 
 # ---- stemming ---------------------------------------------------------------------------

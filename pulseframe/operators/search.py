@@ -24,20 +24,27 @@ def keep_first(df: DataFrame, key: str, order: Sequence[str]) -> tuple[DataFrame
 def build_index(
     docs: DataFrame, source: str, text: str, order: Sequence[str], embed: Callable[[Column], Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Chunks with ids, layer, version and tags; and the rejects with their reason.
+    """Chunks with ids, layer, version, tags and headers; and the rejects with their reason.
 
-    `docs` holds whole texts. `embed` is a user function (for instance a pandas_udf) of the
+    `docs` holds whole texts. Summaries of experiments form a layer of their own, tagged from their metadata, and
+    their pieces are numbered in `header_2`. `embed` is a user function (for instance a pandas_udf) of the
     content column.
     """
     allowed = docs.filter(~TX.is_forbidden(F.col(source)))
-    x = TX.chunk(allowed, text, keep_whole=TX.MAX_CHUNK_CHARS).withColumn("matches", TX.pii(F.col("content")))
+    parts = TX.chunk(TX.documents(allowed, source, text), "body", keep_whole=F.col("keep_whole"))
+    x = parts.withColumn("matches", TX.pii(F.col("content")))
     name = F.regexp_extract(F.col(source), r"([^/]*)$", 1)
+    meta = TX.metadata(F.col(source), F.col("content"))
+    own = F.array_sort(F.array_distinct(F.array_compact(F.concat(meta["tags"], F.array(F.lit("experimento"), meta["stage"])))))
+    x = x.withColumn("header_2", F.when(F.col("is_summary"), TX.part_header(F.col("part"), F.col("n_parts"))))
     clean = x.filter(F.size("matches") == 0).select(
-        TX.chunk_id(F.col(source), F.col("content")).alias("chunk_id"), F.col(source).alias("source"), TX.layer(name).alias("layer"),
-        TX.version(name).alias("version"), TX.tags(F.col("content")).alias("tags"), *[c for c in order if c != source], "part", "content")
+        TX.chunk_id(F.col(source), F.col("content")).alias("chunk_id"), F.col(source).alias("source"), F.when(F.col("is_summary"), "SIMULATION").otherwise(TX.layer(name)).alias("layer"),
+        TX.version(name).alias("version"), F.when(F.col("is_summary"), own).otherwise(TX.tags(F.col("content"))).alias("tags"), *[c for c in order if c != source],
+        "section", "part", "header_1", "header_2", "content")
     # equal ids mean equal source and content, so one aggregate gives the first row and the
     # number of copies; copies are combined on the map side and never meet in one list
-    cols = [*[c for c in order if c in clean.columns], "part", *[c for c in clean.columns if c not in (*order, "part", "chunk_id")]]
+    first = [*[c for c in order if c in clean.columns], "section", "part"]
+    cols = [*first, *[c for c in clean.columns if c not in (*first, "chunk_id")]]
     g = clean.groupBy("chunk_id").agg(F.min(F.struct(*cols)).alias("_f"), F.count("*").alias("_n"))
     kept = g.select("chunk_id", "_f.*").select(*clean.columns)
     copies = g.filter("_n > 1").select("chunk_id", F.col("_f.source").alias("source"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"))).alias("_c"))

@@ -65,13 +65,38 @@ def p15(spark, sf):
     return x.select("doc_id", "m.experiment_id", "m.stage", F.array_join("m.tags", ";").alias("tags"))
 
 
-CHUNK_SQL = """ch AS (SELECT d.*, p AS part, CASE WHEN length(text) <= {whole} THEN trim(text, ' ') ELSE trim(substring(text, CAST(p * 448 + 1 AS BIGINT), 512), ' ') END AS content
-  FROM {src} d, LATERAL (SELECT unnest(range(0, CASE WHEN length(text) <= {whole} THEN 1 ELSE CAST(ceil((length(text) - 512) / 448.0) AS BIGINT) + 1 END)) AS p))"""
+def pieces_sql(text: str, size: int) -> str:
+    """A list of pieces of at most `size` characters."""
+    got = f"[{text}]"
+    for sep in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '"):
+        split = f"list_filter(list_transform(string_split(a, {sep}), lambda p, i: CASE WHEN i < len(string_split(a, {sep})) THEN p || {sep} ELSE p END), lambda p: p <> '')"
+        got = f"flatten(list_transform({got}, lambda a: CASE WHEN length(a) <= {size} THEN [a] ELSE {split} END))"
+    cut = f"list_transform(range(CAST((length(a) - 1) // {size} + 1 AS BIGINT)), lambda i: substring(a, CAST(i * {size} + 1 AS BIGINT), {size}))"
+    return f"flatten(list_transform({got}, lambda a: CASE WHEN length(a) <= {size} THEN [a] ELSE {cut} END))"
 
 
-@R.add("p16_chunks", f"WITH {CHUNK_SQL.format(whole=512, src='documents')} SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(length(content) AS INTEGER) AS n, md5(content) AS digest FROM ch WHERE content <> ''")
+BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+
+
+def chunks_sql(text: str, size: int = 512, overlap: int = 64) -> str:
+    """The pieces merged into chunks that begin with the last words of the one before."""
+    room, full = f"least({overlap}, {size} - length(a.c))", f"s.c <> '' AND length(s.c) + length(a.c) > {size}"
+    tail = (f"CASE WHEN {room} <= 0 THEN '' WHEN length(s.c) <= {room} OR contains({BLANK}, substring(s.c, CAST(length(s.c) - {room} AS BIGINT), 1)) THEN right(s.c, CAST({room} AS BIGINT)) "
+            f"ELSE regexp_replace(right(s.c, CAST({room} AS BIGINT)), '^[^ \\t\\n\\r]+', '') END")
+    merged = (f"list_reduce(list_transform({pieces_sql(text, size)}, lambda a: {{'o': []::VARCHAR[], 'c': a}}), lambda s, a: CASE WHEN {full} THEN {{'o': list_append(s.o, s.c), 'c': {tail} || a.c}} "
+              f"ELSE {{'o': s.o, 'c': s.c || a.c}} END, {{'o': []::VARCHAR[], 'c': ''}})")
+    return f"list_filter(list_transform(list_transform([{merged}], lambda s: list_append(s.o, s.c))[1], lambda c: trim(c, {BLANK})), lambda c: c <> '')"
+
+
+def chunk_sql(src: str, whole: str, text: str = "text") -> str:
+    """CTE `ch`: rows of `src` with part, n_parts and content."""
+    return f"""cs AS MATERIALIZED (SELECT *, CASE WHEN length({text}) <= {whole} THEN list_filter([trim({text}, {BLANK})], lambda c: c <> '') ELSE {chunks_sql(text)} END AS l FROM {src}),
+ ch AS (SELECT * EXCLUDE (l), unnest(range(len(l))) AS part, len(l) AS n_parts, unnest(l) AS content FROM cs)"""
+
+
+@R.add("p16_chunks", f"WITH {chunk_sql('documents', '0')} SELECT doc_id, CAST(part AS INTEGER) AS part, CAST(length(content) AS INTEGER) AS n, md5(content) AS digest FROM ch")
 def p16(spark, sf):
-    return TX.chunk(B.table(spark, sf, "documents"), "text").select("doc_id", "part", F.length("content").alias("n"), F.md5("content").alias("digest"))
+    return TX.chunk(spread(B.table(spark, sf, "documents").select("doc_id", "text")), "text").select("doc_id", "part", F.length("content").alias("n"), F.md5("content").alias("digest"))
 
 
 @R.add("p17_html_strip", "SELECT page_id, CAST(length(regexp_replace(html, '<[^>]*>', '', 'g')) AS INTEGER) AS n, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS digest FROM pages")
@@ -101,24 +126,50 @@ def s10(spark, sf):
     return TX.split_markdown(_markdown(spark, sf), "text").select("page_id", "section", "header_1", F.md5("body").alias("digest"))
 
 
-@R.add("s11_part_headers", f"WITH {CHUNK_SQL.format(whole=1024, src='documents')}, k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS c FROM ch WHERE content <> '') SELECT doc_id, CAST(part AS INTEGER) AS part, CASE WHEN c > 1 THEN 'parte_' || (part + 1) END AS header_2 FROM k")
+@R.add("s11_part_headers", f"WITH {chunk_sql('documents', '1024')} SELECT doc_id, CAST(part AS INTEGER) AS part, CASE WHEN n_parts > 1 THEN 'parte_' || (part + 1) END AS header_2 FROM ch")
 def s11(spark, sf):
-    x = TX.chunk(B.table(spark, sf, "documents"), "text", keep_whole=TX.MAX_CHUNK_CHARS)
-    return TX.part_header(x, "doc_id").select("doc_id", "part", "header_2")
+    x = TX.chunk(spread(B.table(spark, sf, "documents").select("doc_id", "text")), "text", keep_whole=TX.MAX_CHUNK_CHARS)
+    return x.select("doc_id", "part", TX.part_header(F.col("part"), F.col("n_parts")).alias("header_2"))
+
+
+# The corpus of the index: every 7th document is the summary of an experiment, every 13th is code, the first word of a line heads a section in every other one of the rest.
+KIND_SQL = "CASE WHEN doc_id % 7 = 3 THEN 's' WHEN doc_id % 13 = 5 THEN 'c' WHEN doc_id % 2 = 0 THEN 'm' ELSE 'p' END"
+CORPUS_SQL = rf"""src AS (SELECT doc_id, {KIND_SQL} AS k, CASE k WHEN 's' THEN 'data/lineage/experiments/stage' || (doc_id % 2 + 1) || '_' || doc_id || '.md' WHEN 'c' THEN 'src/' || source || '/m' || doc_id || '.py' ELSE {SRC_SQL} END AS path,
+  CASE k WHEN 's' THEN '# Run ' || doc_id || chr(10) || '- **experiment_id:** e' || (doc_id % 17) || chr(10) || '- **tags:** ' || source || ', x' || chr(10) || text
+    WHEN 'm' THEN regexp_replace(text, '\n([^ \n]+) ', chr(10) || '# \1' || chr(10), 'g') ELSE text END AS text FROM documents),
+ sec AS (SELECT doc_id, k, path, unnest(range(len(string_split(text, chr(10) || '# ')))) AS section, unnest(string_split(text, chr(10) || '# ')) AS p, true AS md FROM src WHERE k IN ('m', 'p') AND NOT path LIKE '%.dat'
+  UNION ALL SELECT doc_id, k, path, 0, text, false FROM src WHERE k IN ('s', 'c')),
+ hd AS (SELECT *, md AND (section > 0 OR starts_with(ltrim(p, ' '), '#')) AS headed FROM sec),
+ bodies AS (SELECT doc_id, k, path, section, CASE WHEN headed OR (k = 's' AND starts_with(p, '# ')) THEN trim(regexp_replace(string_split(p, chr(10))[1], '^[# ]+', ''), ' ') END AS header_1,
+  CASE WHEN headed THEN CASE WHEN contains(p, chr(10)) THEN substring(p, instr(p, chr(10)) + 1) ELSE '' END ELSE p END AS text FROM hd)"""
+
+
+def corpus(spark, sf):
+    i, t = F.col("doc_id"), F.col("text")
+    kind = F.when(i % 7 == 3, "s").when(i % 13 == 5, "c").when(i % 2 == 0, "m").otherwise("p")
+    path = F.when(kind == "s", F.concat(F.lit("data/lineage/experiments/stage"), (i % 2 + 1).cast("string"), F.lit("_"), i.cast("string"), F.lit(".md")))
+    path = path.when(kind == "c", F.concat(F.lit("src/"), "source", F.lit("/m"), i.cast("string"), F.lit(".py"))).otherwise(F.col("path"))
+    bullets = F.concat(F.lit("# Run "), i, F.lit("\n- **experiment_id:** e"), (i % 17).cast("string"), F.lit("\n- **tags:** "), "source", F.lit(", x\n"), t)
+    text = F.when(kind == "s", bullets).when(kind == "m", F.regexp_replace(t, "\n([^ \n]+) ", "\n# $1\n")).otherwise(t)
+    return docs(spark, sf).select("doc_id", path.alias("path"), text.alias("text"))
 
 
 def _index(spark, sf):
-    return S.build_index(docs(spark, sf).drop("source"), "path", "text", ["doc_id"])
+    return S.build_index(corpus(spark, sf), "path", "text", ["doc_id"])
 
 
-INDEX_SQL = f"""WITH d AS (SELECT doc_id, {SRC_SQL} AS path, text FROM documents), a AS (SELECT * FROM d WHERE NOT path LIKE '%.dat'), {CHUNK_SQL.format(whole=1024, src='a')},
- c AS (SELECT *, substr(sha256(path || ':' || content), 1, 16) AS chunk_id, {PII_SQL.replace('text', 'content')} AS m FROM ch WHERE content <> ''),
- r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, part) AS rn FROM c WHERE len(m) = 0)"""
+INDEX_SQL = f"""WITH {CORPUS_SQL}, {chunk_sql('bodies', "(CASE WHEN k = 'c' THEN 0 ELSE 1024 END)")},
+ c AS (SELECT *, substr(sha256(path || ':' || content), 1, 16) AS chunk_id, {PII_SQL.replace('text', 'content')} AS m, CASE WHEN k = 's' AND n_parts > 1 THEN 'parte_' || (part + 1) END AS header_2,
+  CASE WHEN k = 's' THEN 'SIMULATION' WHEN k = 'c' OR doc_id % 9 = 0 THEN 'GENERAL' ELSE 'C0' || (doc_id % 9) END AS layer, CASE WHEN k IN ('s', 'c') THEN 'unversioned' ELSE 'v' || (doc_id % 3) || '.' || (doc_id % 10) END AS version FROM ch),
+ r AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, section, part) AS rn FROM c WHERE len(m) = 0)"""
+# A summary is tagged from the pieces that hold the bullets; the others know their stage only.
+SUMMARY_TAGS_SQL = r"array_to_string(list_sort(list_distinct(list_concat(list_filter(list_transform(string_split(regexp_extract(content, '- \*\*tags:\*\*([^\n]*)', 1), ','), lambda t: trim(t)), lambda t: t <> ''), ['experimento', 'stage' || (doc_id % 2 + 1)]))), ',')"
+TAGS_SQL = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_like_any(TX.TAG_KEYWORDS[t]).replace('text', 'content')} THEN '{t}' END" for t in sorted(TX.TAG_KEYWORDS)) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@R.add("x1_index", f"""{INDEX_SQL} SELECT chunk_id, path AS source, CASE WHEN doc_id % 9 = 0 THEN 'GENERAL' ELSE 'C0' || (doc_id % 9) END AS layer, 'v' || (doc_id % 3) || '.' || (doc_id % 10) AS version, doc_id, CAST(part AS INTEGER) AS part, md5(content) AS digest FROM r WHERE rn = 1""")
+@R.add("x1_index", f"""{INDEX_SQL} SELECT chunk_id, path AS source, layer, version, CASE WHEN k = 's' THEN {SUMMARY_TAGS_SQL} ELSE {TAGS_SQL} END AS tags, doc_id, CAST(section AS INTEGER) AS section, CAST(part AS INTEGER) AS part, header_1, header_2, md5(content) AS digest FROM r WHERE rn = 1""")
 def x1(spark, sf):
-    return _index(spark, sf)[0].select("chunk_id", "source", "layer", "version", "doc_id", "part", F.md5("content").alias("digest"))
+    return _index(spark, sf)[0].select("chunk_id", "source", "layer", "version", F.array_join("tags", ",").alias("tags"), "doc_id", "section", "part", "header_1", "header_2", F.md5("content").alias("digest"))
 
 
 @R.add("x1_rejects_u2", f"""{INDEX_SQL} SELECT 'PII_DETECTED' AS reason, path AS source, chunk_id, CAST(len(m) AS INTEGER) AS n_matches FROM c WHERE len(m) > 0 UNION ALL SELECT 'DUPLICATE_CHUNK_ID', path, chunk_id, 0 FROM r WHERE rn > 1""")
@@ -126,13 +177,12 @@ def x1r(spark, sf):
     return _index(spark, sf)[1]
 
 
-@R.add("a44_index_lineage", f"""{INDEX_SQL}, k AS (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 'GENERAL' ELSE 'C0' || (doc_id % 9) END AS layer, 'v' || (doc_id % 3) || '.' || (doc_id % 10) AS version FROM r WHERE rn = 1)
-SELECT count(DISTINCT path) AS n_files, count(*) AS n_chunks, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM k""")
+@R.add("a44_index_lineage", f"""{INDEX_SQL} SELECT count(DISTINCT path) AS n_files, count(*) AS n_chunks, string_agg(DISTINCT layer, ',' ORDER BY layer) AS layers, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM r WHERE rn = 1""")
 def a44(spark, sf):
     return S.index_lineage(_index(spark, sf)[0])
 
 
-@R.add("q14_index_checks", f"""{INDEX_SQL} SELECT 'NOT_EMPTY' AS code, true AS passed, count(*) AS count FROM r WHERE rn = 1 UNION ALL SELECT 'LAYERS_PRESENT', true, count(DISTINCT doc_id % 9) FROM r WHERE rn = 1""")
+@R.add("q14_index_checks", f"""{INDEX_SQL} SELECT 'NOT_EMPTY' AS code, true AS passed, count(*) AS count FROM r WHERE rn = 1 UNION ALL SELECT 'LAYERS_PRESENT', true, count(DISTINCT layer) FROM r WHERE rn = 1""")
 def q14(spark, sf):
     return S.index_checks(_index(spark, sf)[0])
 

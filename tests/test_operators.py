@@ -297,10 +297,52 @@ def test_personal_data(spark):
     assert [g[0] for g in got] == [1, 1, 1, 1, 0]
 
 
-def test_chunks_cover_the_text(spark):
-    text = "".join(chr(97 + i % 26) for i in range(1500))
-    got = rows(TX.chunk(spark.createDataFrame([(text,)], "t string"), "t").orderBy("part"), "content")
-    assert got[0][0] == text[:512] and got[1][0].startswith(text[448:460]) and got[-1][0].endswith(text[-5:])
+def chunks_by_hand(text, size, overlap):
+    parts = [text]
+    for sep in ("\n\n", "\n", ". ", " "):
+        cut = lambda p: [q for q in [*(q + sep for q in p.split(sep)[:-1]), p.split(sep)[-1]] if q]
+        parts = [q for p in parts for q in ([p] if len(p) <= size else cut(p))]
+    parts = [p[i : i + size] for p in parts for i in range(0, len(p), size)]
+    out, cur = [], ""
+    for p in parts:
+        if cur and len(cur) + len(p) > size:
+            out.append(cur)
+            n = min(overlap, size - len(p))
+            tail = cur[-n:] if n > 0 else ""
+            if len(cur) > n > 0 and cur[-n - 1] not in " \t\n\r":
+                tail = tail.lstrip("".join(set(tail) - set(" \t\n\r"))) if any(c in " \t\n\r" for c in tail) else ""
+            cur = tail
+        cur += p
+    return [c.strip(" \t\n\r") for c in [*out, cur] if c.strip(" \t\n\r")]
+
+
+def test_chunks_by_hand(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdé\U0001f600", k=rng.randint(1, 9)))
+    texts = ["".join(word() + rng.choice([" ", " ", " ", ". ", "\n", "\n\n", "\n\n\n", "\t", "  "]) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts += ["x" * 1500, "a " + "y" * 130 + " b. c", "", "   \n", "one. two"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "i int, t string")
+    for size, overlap in ((40, 12), (64, 0), (10, 9)):
+        got = {}
+        for r in TX.chunk(df, "t", size, overlap).orderBy("i", "part").collect():
+            got.setdefault(r.i, []).append(r.content)
+            assert len(r.content) <= size and r.n_parts > r.part
+        assert got == {i: c for i, t in enumerate(texts) if (c := chunks_by_hand(t, size, overlap))}
+        words = {w for t in texts for w in t.split()}
+        long = [w for t in texts for w in t.replace("\n", " ").split(" ") if len(w) > size]
+        assert all(w in words or any(w in v for v in long) for c in got.values() for p in c for w in p.split())
+    whole = rows(TX.chunk(df.filter("i = 60"), "t", keep_whole=1500), "content")
+    assert whole[0][0] == "x" * 1500
+
+
+def test_header_path_is_carried(spark):
+    text = "intro\n# A\none\n## A1\ntwo\n## A2\nthree\n# B\nfour\n### deep\nfive\n## B1\nsix"
+    df = spark.createDataFrame([(1, text, 5)], "id int, t string, section int").drop("section")
+    got = [tuple(r) for r in TX.split_markdown(df, "t", 2).orderBy("section").select("header_1", "header_2", "body").collect()]
+    assert got == [(None, None, "intro"), ("A", None, "one"), ("A", "A1", "two"), ("A", "A2", "three"), ("B", None, "four\n### deep\nfive"), ("B", "B1", "six")]
+    assert [r.header_1 for r in TX.split_markdown(df, "t").orderBy("section").collect()] == [None, "A", "B"]
 
 
 # ---- signals ----------------------------------------------------------------------------
