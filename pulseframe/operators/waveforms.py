@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A, signal as K
+from ..session import pinned
 
 TARGET_FS = 500.0
 BLOCK = 50_000
@@ -36,56 +37,164 @@ def _per_row(df: DataFrame, keep: Sequence[str], cols: Sequence[str], fn: Callab
     return df.select(*keep, *[c for c in cols if c not in keep]).mapInPandas(run, schema)
 
 
+# ---- signals in blocks --------------------------------------------------------------------
+#
+# A signal is handled as pieces: the samples [core_from, core_to) of a block with what the step
+# needs on both sides, [piece_from, piece_from + size(piece)). Steps cut the pieces back to their core. `keep`
+# names the columns that tell the records apart.
+
+FILTER_BLOCK = 32_768
+SETTLE_S = 16.4  # seconds after which the slowest filter (0.5 Hz) has forgotten a sample, to 1e-8
+
+
+def pieces_of(df: DataFrame, keep: Sequence[str], samples: str, block: int = FILTER_BLOCK, halo: int = int(SETTLE_S * TARGET_FS)) -> DataFrame:
+    """Pieces of signals that are stored as one array a record. A null or empty signal has none."""
+    n = F.size(samples)
+    x = df.filter(n > 0).select(*keep, F.col(samples), n.cast("long").alias("n_samples"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("blk"))
+    at, end = F.col("blk") * block, F.least(F.col("n_samples"), (F.col("blk") + 1) * block)
+    first, last = F.greatest(at - halo, F.lit(0).cast("long")), F.least(F.col("n_samples"), end + halo)
+    return x.select(*keep, "n_samples", "blk", at.alias("core_from"), end.alias("core_to"), first.alias("piece_from"), A.doubles(A.window(samples, first, last - first)).alias("piece"))
+
+
+def _alike(pdf: pd.DataFrame, cols: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
+    """Groups of batch rows with equal values in `cols` and equally long pieces: (values, row numbers, matrix of pieces)."""
+    size = pdf["piece"].map(len)
+    for key, at in pdf.groupby([*[pdf[c] for c in cols], size], sort=False).indices.items():
+        yield key[:-1], at, np.stack(pdf["piece"].to_numpy()[at]).astype(np.float64)
+
+
+def _map_pieces(pieces: DataFrame, keep: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], out: str, n_keep: Sequence[str] = ("n_samples", "blk", "core_from", "core_to")) -> DataFrame:
+    """fn of every batch of pieces gives the new columns of its rows."""
+    types = dict(pieces.dtypes)
+    kept = [*keep, *n_keep]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pd.concat([pdf[kept], fn(pdf)], axis=1)
+
+    return pieces.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in kept] + [out]))
+
+
+def resampled_pieces(df: DataFrame, keep: Sequence[str], samples: str, fs: str, block: int = FILTER_BLOCK, halo: int = 0) -> DataFrame:
+    """G1: pieces at 500 Hz of signals with any whole-numbered rate, straight from the stored arrays, with `halo` samples around."""
+    rate = F.round(fs).cast("long")
+    shared = F.coalesce(*[F.when(rate % d == 0, F.lit(d)) for d in (500, 250, 125, 100, 50, 25, 20, 10, 5, 4, 2, 1)]).cast("long")
+    n = F.size(samples).cast("long")
+    x = df.filter(n > 0).select(*keep, F.col(samples), n.alias("n_in"), F.expr("500").cast("long").alias("_up"), rate.alias("_down"), shared.alias("_g"))
+    x = x.select(*keep, samples, "n_in", F.expr("_up div _g").alias("up"), F.expr("_down div _g").alias("down"))
+    whole = lambda a, b: F.ceil(a / b).cast("long")
+    x = x.withColumns({"n_samples": F.expr("(n_in * up + down - 1) div down"), "_u": whole(F.lit(block), F.col("up")), "_h": whole(F.lit(halo), F.col("up")),
+                       "_reach": whole(F.least(F.greatest("up", "down"), F.lit(K.LONGEST)) * K.REACH, F.col("up")) + 1})
+    x = x.withColumn("blk", F.explode(F.expr("sequence(0L, (n_samples - 1) div (_u * up))")))
+    x = x.withColumns({"core_from": F.expr("blk * _u * up"), "core_to": F.expr("least(n_samples, (blk + 1) * _u * up)"), "_from": F.expr("greatest(0L, blk * _u - _h)"), "_to": F.expr("(blk + 1) * _u + _h")})
+    x = x.withColumns({"piece_from": F.expr("_from * up"), "count": F.expr("least(n_samples, _to * up) - _from * up"), "in_from": F.expr("greatest(0L, _from * down - _reach)"), "in_to": F.expr("least(n_in, _to * down + _reach + 1)")})
+    x = x.select(*keep, "n_samples", "blk", "core_from", "core_to", "piece_from", "count", "up", "down", "n_in", "in_from", F.expr("_from * down - in_from").alias("lead"),
+                 F.element_at(samples, 1).cast("double").alias("x0"), F.element_at(samples, -1).cast("double").alias("x1"), A.doubles(A.window(samples, F.col("in_from"), F.col("in_to") - F.col("in_from"))).alias("piece"))
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.empty(len(pdf), object)
+        for (up, down, lead, count), at, piece in _alike(pdf, ["up", "down", "lead", "count"]):
+            col = lambda c: pdf[c].to_numpy()[at, None]
+            if up == down:
+                y = piece[:, lead : lead + count]
+            else:
+                slope = (col("x1") - col("x0")) / np.maximum(col("n_in") - 1, 1)
+                y = K.resample_rows(piece - col("x0") - slope * (col("in_from") + np.arange(piece.shape[1])), up, down, count, lead)
+                y = y + col("x0") + slope * (col("piece_from") + np.arange(count)) * down / up
+            out[at] = list(y)
+        return pd.DataFrame({"piece": out}, index=pdf.index)
+
+    return _map_pieces(x, keep, fn, "piece array<double>", ("n_samples", "blk", "core_from", "core_to", "piece_from"))
+
+
+def filtered(pieces: DataFrame, keep: Sequence[str], fs: float = TARGET_FS) -> DataFrame:
+    """The zero-phase band-pass on pieces, cut to their core, and detrended over the whole record.
+
+    Blocks: keep, n_samples, blk, core_from, core_to, samples. The trend comes from two sums per block; the join with the records'
+    trends may be split by adaptive execution where one record has very many blocks.
+    """
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        end = pdf["piece_from"] + pdf["piece"].map(len) == pdf["n_samples"]
+        pdf = pdf.assign(left=pdf["piece_from"] == 0, right=end, skip=pdf["core_from"] - pdf["piece_from"], size=pdf["core_to"] - pdf["core_from"])
+        out, s0, s1 = np.empty(len(pdf), object), np.empty(len(pdf)), np.empty(len(pdf))
+        for (left, right, skip, size), at, piece in _alike(pdf, ["left", "right", "skip", "size"]):
+            y = K.zero_phase(piece, fs, 0.5, 40.0, 4, left, right)[:, skip : skip + size]
+            out[at] = list(y)
+            s0[at], s1[at] = y.sum(axis=1), y @ np.arange(size)
+        return pd.DataFrame({"_y": out, "_s0": s0, "_s1": s1}, index=pdf.index)
+
+    y = pinned(_map_pieces(pieces, keep, fn, "_y array<double>, _s0 double, _s1 double"))
+    n, mid = F.max("n_samples"), (F.max("n_samples") - 1) / 2
+    s0 = F.sum("_s0")
+    slope = F.when(n > 1, (F.sum(F.col("_s1") + F.col("core_from") * F.col("_s0")) - mid * s0) / (n * (n.cast("double") * n - 1) / 12)).otherwise(0.0)
+    trend = y.groupBy(*keep).agg((s0 / n).alias("_mean"), slope.alias("_slope"))
+    t = _per_record(y, trend, keep)
+    flat = F.transform("_y", lambda v, i: v - F.col("_mean") - F.col("_slope") * (F.col("core_from") + i - (F.col("n_samples") - 1) / 2))
+    return t.select(*keep, "n_samples", "blk", "core_from", "core_to", flat.alias("samples"))
+
+
+def _per_record(blocks: DataFrame, records: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Blocks with the columns of their record; null keys meet."""
+    own = records.select(*[F.col(k).alias(f"_k_{k}") for k in keep], *[c for c in records.columns if c not in keep])
+    cond = None
+    for k in keep:
+        same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cond = same if cond is None else cond & same
+    return blocks.join(own, cond).drop(*[f"_k_{k}" for k in keep])
+
+
+def assembled(blocks: DataFrame, keep: Sequence[str], samples: str = "samples") -> DataFrame:
+    """One array a record again; for users who need it so, since such a row grows with its record."""
+    parts = F.sort_array(F.collect_list(F.struct("core_from", F.col("samples").alias("v"))))
+    return blocks.groupBy(*keep).agg(F.flatten(F.transform(parts, lambda p: p["v"])).alias(samples))
+
+
+def block_stats(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Samples, mean and population deviation of every record from its blocks."""
+    n, s, q = F.sum(F.size("samples")), F.sum(A.total("samples")), F.sum(A.mean_square("samples") * F.size("samples"))
+    return blocks.groupBy(*keep).agg(n.alias("n"), (s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std"))
+
+
 # ---- cleaning ---------------------------------------------------------------------------
 
 def resample(df: DataFrame, keep: Sequence[str], samples: str, fs: str) -> DataFrame:
-    """G1: signals at 500 Hz and the attenuation check."""
-    def one(x, f):
-        y = K.resample(np.asarray(x, dtype=np.float64), float(f))
-        return y.tolist(), len(y) < 8 or K.attenuated(y, TARGET_FS)
-
-    return _per_row(df, keep, [samples, fs], one, f"{samples} array<double>, attenuated boolean")
+    """G1: blocks at 500 Hz: keep, n_samples, blk, core_from, core_to, samples. No component lies above half the new rate."""
+    return resampled_pieces(df, keep, samples, fs).withColumnRenamed("piece", "samples").drop("piece_from")
 
 
 def band_pass(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
-    """Zero-phase 0.5-40 Hz band-pass of order 4, then linear detrend."""
-    def one(x):
-        return (K.detrend(K.zero_phase_band(np.asarray(x), fs, 0.5, 40.0, 4)).tolist(),)
+    """Zero-phase 0.5-40 Hz band-pass of order 4, then linear detrend, as blocks."""
+    return filtered(pieces_of(df, keep, samples, halo=int(SETTLE_S * fs)), keep, fs)
 
-    return _per_row(df, keep, [samples], one, f"{samples} array<double>")
 
+def clean_blocks(df: DataFrame, keep: Sequence[str], samples: str, fs: str, stats: DataFrame | None = None, by: str | None = None, clip: float = 5.0, z_clip: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resample, filter, detrend, clip, z-score, clip, block by block: (blocks, one lineage row per record, rejected records).
 
-def clean(df: DataFrame, keep: Sequence[str], samples: str, fs: str, stats: DataFrame | None = None, by: str | None = None, clip: float = 5.0, z_clip: float = 10.0) -> tuple[DataFrame, DataFrame]:
-    """Resample, filter, detrend, clip, z-score, clip; rejected records as rows with the step that failed.
-
-    `stats` (by, mean, std) gives global normalisation; without it each record uses its own.
+    `stats` (by, mean, std; `by` one of `keep`) gives global normalisation; without it each record uses its own.
     """
-    def signal_steps(x, f):
-        step = "resample"
-        try:
-            if x is None or len(x) < 16 or not np.isfinite(np.asarray(x, dtype=np.float64)).all():
-                raise ValueError("empty, short or non-finite signal")
-            y = K.resample(np.asarray(x, dtype=np.float64), float(f))
-            step = "filter"
-            y = K.detrend(K.zero_phase_band(y, TARGET_FS, 0.5, 40.0, 4))
-            return y.tolist(), None, None
-        except (ValueError, ZeroDivisionError) as e:
-            return None, step, str(e)
-
-    y = _per_row(df, keep, [samples, fs], signal_steps, f"{samples} array<double>, step string, error string")
-    good = y.filter("error is null").drop("step", "error")
-    cut, n_cut = A.clip_counted(samples, F.lit(-clip), F.lit(clip))
-    good = good.withColumn("n_clipped", n_cut).withColumn(samples, cut)
-    if stats is None:
-        good = good.withColumn("_mu", A.mean(samples)).withColumn("_sd", A.std(samples))
-    else:
-        good = good.join(stats.select(by, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), by)
-    z = A.zscore(samples, F.col("_mu"), F.col("_sd"))
-    good = good.withColumn(samples, z)
-    cut, n_cut = A.clip_counted(samples, F.lit(-z_clip), F.lit(z_clip))
-    good = good.withColumn("n_z_clipped", n_cut).withColumn(samples, cut)
-    lineage = F.struct(F.lit(TARGET_FS).alias("fs"), F.lit("resample,band,detrend,clip,zscore,clip").alias("steps"), F.col("_mu").alias("mean"), F.col("_sd").alias("std"), "n_clipped", "n_z_clipped")
-    return good.select(*keep, samples, lineage.alias("lineage")), y.filter("error is not null").select(*keep, "step", "error")
+    v = F.col(samples)
+    usable = F.coalesce((F.size(v) >= 16) & F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a.cast("double")) & (F.abs(a.cast("double")) < float("inf"))) & (F.round(fs) > 0), F.lit(False))
+    bad = df.filter(~usable).select(*keep, F.lit("resample").alias("step"), F.lit("empty, short or non-finite signal").alias("error"))
+    x = filtered(resampled_pieces(df.filter(usable), keep, samples, fs, halo=int(SETTLE_S * TARGET_FS)), keep)
+    cut, n_cut = A.clip_counted("samples", F.lit(-clip), F.lit(clip))
+    x = pinned(x.withColumn("_clipped", n_cut).withColumn("samples", cut))
+    own = block_stats(x, keep)
+    if stats is not None:
+        own = own.drop("mean", "std").join(stats.select(by, "mean", "std"), by)
+    x = _per_record(x, own.select(*keep, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), keep)
+    z = x.withColumn("samples", A.zscore("samples", F.col("_mu"), F.col("_sd")))
+    cut, n_z = A.clip_counted("samples", F.lit(-z_clip), F.lit(z_clip))
+    z = z.withColumn("_z_clipped", n_z).withColumn("samples", cut)
+    sums = z.groupBy(*keep).agg(F.max("_mu").alias("mean"), F.max("_sd").alias("std"), F.sum("_clipped").alias("n_clipped"), F.sum("_z_clipped").alias("n_z_clipped"))
+    lineage = sums.select(*keep, F.struct(F.lit(TARGET_FS).alias("fs"), F.lit("resample,band,detrend,clip,zscore,clip").alias("steps"), "mean", "std", "n_clipped", "n_z_clipped").alias("lineage"))
+    return z.select(*keep, "n_samples", "blk", "core_from", "core_to", "samples"), lineage, bad
+
+
+def clean(df: DataFrame, keep: Sequence[str], samples: str, fs: str, **settings) -> tuple[DataFrame, DataFrame]:
+    """G3 with one array and the lineage per record; rejected records as rows with the step that failed."""
+    blocks, lineage, bad = clean_blocks(df, keep, samples, fs, **settings)
+    return _per_record(assembled(blocks, keep, samples), lineage, keep), bad
 
 
 def pending(records: DataFrame, done: DataFrame, keys: Sequence[str] = ("dataset", "record_id", "config", "checksum")) -> DataFrame:
@@ -95,9 +204,72 @@ def pending(records: DataFrame, done: DataFrame, keys: Sequence[str] = ("dataset
 
 # ---- peaks and windows ------------------------------------------------------------------
 
-def detect_peaks(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
-    """One row per detected R peak."""
-    return _per_row(df, keep, [samples], lambda x: [(int(p),) for p in K.r_peaks(np.asarray(x, dtype=np.float64), fs)], "peak long", multi=True)
+BEAT_BLOCK, BLOCKS_A_WAVE = 50_000, 20
+
+
+def detect_peaks(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS, block: int = BEAT_BLOCK, blocks_a_wave: int = BLOCKS_A_WAVE) -> DataFrame:
+    """One row (keep, peak) per detected R peak.
+
+    Filter, slope and integration run on blocks, all at once. The levels of the detector go from sample to sample, so they
+    are carried along: a wave scans the next blocks of every record, a bounded number, and leaves one small state row per record for the next
+    wave. Records of up to block * blocks_a_wave samples (33 minutes at 500 Hz) need a single wave.
+    """
+    gap, steep = int(round(K.REFRACTORY * fs)), max(2, int(round(K.STEEP * fs)))
+    short = 2 * (int(round(K.INTEGRATE * fs)) | 1)
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        end = pdf["piece_from"] + pdf["piece"].map(len)
+        first, last = np.maximum(pdf["core_from"] - steep, 0), np.minimum(pdf["core_to"] + gap + steep, pdf["n_samples"])
+        pdf = pdf.assign(left=pdf["piece_from"] == 0, right=end == pdf["n_samples"], skip=first - pdf["piece_from"], size=last - first)
+        band, power = np.empty(len(pdf), object), np.empty(len(pdf), object)
+        for (left, right, skip, size), at, piece in _alike(pdf, ["left", "right", "skip", "size"]):
+            b, p = K.beat_power(piece, fs, left, right)
+            band[at], power[at] = list(b[:, skip : skip + size]), list(p[:, skip : skip + size])
+        return pd.DataFrame({"band": band, "power": power}, index=pdf.index)
+
+    pieces = pieces_of(df.filter(F.size(samples) >= short), keep, samples, block, int(8 * fs) + gap)
+    ready = pinned(_map_pieces(pieces, keep, fn, "band array<double>, power array<double>"))
+    types = dict(ready.dtypes)
+    held = "at long, signal double, noise double, rr double, beats array<long>, held long, held_steep double"
+    schema = ", ".join(f"{k} {types[k]}" for k in keep) + f", peak long, {held}"
+    names = [c.split()[0] for c in held.split(", ")]
+
+    def scan(rows: pd.DataFrame, state: pd.DataFrame | None) -> pd.DataFrame:
+        rows = rows.sort_values("blk")
+        total, start, stop = int(rows["n_samples"].iloc[0]), int(rows["core_from"].iloc[0]), int(rows["core_to"].iloc[-1])
+        base = max(0, start - steep)
+        band, power = (np.empty(min(total, stop + gap + steep) - base) for _ in range(2))
+        for at, b, p in zip(rows["core_from"], rows["band"], rows["power"]):
+            o = max(0, int(at) - steep) - base
+            band[o : o + len(b)], power[o : o + len(p)] = b, p
+        if state is None:
+            s = K.Levels.first(power, total, fs)
+        else:
+            s = K.Levels(**{c: state[c].iloc[0] for c in names})
+            s.beats, s.at, s.held = [int(v) for v in s.beats], int(s.at), int(s.held)
+        peaks = K.scan_beats(s, power, band, start, stop, total, fs)
+        out = pd.DataFrame({"peak": pd.Series(peaks, dtype="Int64")})
+        for c in names:
+            out[c] = None
+        if stop < total:
+            out = pd.concat([out, pd.DataFrame([{"peak": None, **vars(s)}])], ignore_index=True)
+        for k in reversed(keep):
+            out.insert(0, k, rows[k].iloc[0])
+        return out
+
+    waves = ready.agg(F.max(F.expr(f"blk div {blocks_a_wave}"))).first()[0]
+    found = None
+    for w in range(0 if waves is None else waves + 1):
+        now = ready.filter(F.expr(f"blk div {blocks_a_wave} = {w}"))
+        if w == 0:
+            got = now.groupBy(*keep).applyInPandas(lambda rows: scan(rows, None), schema)
+        else:
+            got = now.groupBy(*keep).cogroup(state.groupBy(*keep)).applyInPandas(lambda rows, s: scan(rows, s) if len(rows) else s[:0], schema)
+        got = pinned(got)
+        state = got.filter("peak is null")
+        peaks = got.filter("peak is not null").select(*keep, "peak")
+        found = peaks if found is None else found.unionByName(peaks)
+    return found if found is not None else df.sparkSession.createDataFrame([], ", ".join(f"{k} {types[k]}" for k in keep) + ", peak long")
 
 
 def detect_simple(df: DataFrame, keep: Sequence[str], samples: str, distance: int, prominence: float) -> DataFrame:
@@ -142,8 +314,16 @@ def segmentation_counts(beats: DataFrame, kept: DataFrame, keys: Sequence[str],
 # ---- features ---------------------------------------------------------------------------
 
 def morphology(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
-    """Ten morphology features per window; null where the detection failed."""
-    x = _per_row(df, keep, [samples], lambda w: K.morphology(w, fs), ", ".join(f"{n} double" for n in K.MORPHOLOGY))
+    """Ten morphology features per window, a matrix per batch; null where the detection failed or the window is null or empty."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.full((len(pdf), len(K.MORPHOLOGY)), np.nan)
+        some = pdf.assign(piece=pdf["piece"].map(lambda v: v if v is not None else []))
+        for _, at, windows in _alike(some.assign(one=0), ["one"]):
+            if windows.shape[1]:
+                out[at] = K.morphology(windows, fs)
+        return pd.DataFrame(out, columns=K.MORPHOLOGY, index=pdf.index)
+
+    x = _map_pieces(df.select(*keep, F.col(samples).alias("piece")), keep, fn, ", ".join(f"{n} double" for n in K.MORPHOLOGY), ())
     null = F.lit(None).cast("double")
     return x.withColumns({n: F.nanvl(n, null) for n in K.MORPHOLOGY}).withColumn("j_point", F.col("j_point").cast("int"))
 

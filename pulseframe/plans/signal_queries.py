@@ -109,21 +109,20 @@ def g14(spark, sf):
 
 @R.add("g1_resample")
 def g1(spark, sf):
-    x = Wv.resample(signals(spark, sf), ["record_id"], "samples", "fs")
-    return x.select("record_id", F.size("samples").alias("n"), F.round(A.std("samples"), 6).alias("std"), "attenuated")
+    return rounded(Wv.block_stats(Wv.resample(signals(spark, sf), ["record_id"], "samples", "fs"), ["record_id"]))
 
 
 @R.add("g2_band_pass")
 def g2(spark, sf):
-    x = Wv.band_pass(signals(spark, sf), ["record_id"], "samples")
-    return x.select("record_id", F.size("samples").alias("n"), F.round(A.std("samples"), 6).alias("std"))
+    return rounded(Wv.block_stats(Wv.band_pass(signals(spark, sf), ["record_id"], "samples"), ["record_id"]).drop("mean"))
 
 
 @R.add("g3_clean")
 def g3(spark, sf):
-    good, bad = Wv.clean(signals(spark, sf), ["record_id"], "samples", "fs")
-    g = good.select("record_id", F.size("samples").alias("n"), F.round(A.std("samples"), 4).alias("std"), "lineage.n_clipped", F.lit(None).cast("string").alias("error"))
-    return g.unionByName(bad.select("record_id", F.lit(0).alias("n"), F.lit(None).cast("double").alias("std"), F.lit(0).alias("n_clipped"), "error"))
+    blocks, lineage, bad = Wv.clean_blocks(signals(spark, sf), ["record_id"], "samples", "fs")
+    g = Wv.block_stats(blocks, ["record_id"]).join(lineage, "record_id")
+    g = g.select("record_id", "n", F.round("std", 4).alias("std"), "lineage.n_clipped", F.lit(None).cast("string").alias("error"))
+    return g.unionByName(bad.select("record_id", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("std"), F.lit(0).cast("long").alias("n_clipped"), "error"))
 
 
 @R.add("g4_r_peaks")
