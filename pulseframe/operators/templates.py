@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import arrays as A
 from .sampling import is_even_position
@@ -73,7 +72,6 @@ NV_FEATURES = [
     "derivative_corr_V", "derivative_corr_delta", "hybrid_alpha", "hybrid_interiority", "hybrid_residual", "hybrid_residual_gain", "early_distance_delta",
     "mid_distance_delta", "late_distance_delta",
 ]
-_PAIRS = [("N", "V"), ("N", "F"), ("V", "F")]
 # Names of the three-class template features.
 NVF_FEATURES = [
     "template_corr_N", "template_corr_V", "template_corr_F", "template_corr_delta_NV", "template_corr_delta_NF", "template_corr_delta_VF",
@@ -81,54 +79,70 @@ NVF_FEATURES = [
     "derivative_corr_N", "derivative_corr_V", "derivative_corr_F", "derivative_corr_delta_NV", "derivative_corr_delta_NF", "derivative_corr_delta_VF",
     "template_F_margin_over_NV", "template_F_margin_over_V", "template_F_margin_over_N",
 ]
-_PAIRS = [("N", "V"), ("N", "F"), ("V", "F")]
+EPS = 1e-8
 
 
-def _rows(m: np.ndarray) -> np.ndarray:
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+def _minus(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def _match(w: np.ndarray, bank: np.ndarray):
-    """Best template per window: correlation, distance, correlation of derivatives, the template."""
-    c = np.clip(w @ bank.T, -1.0, 1.0)
-    i = c.argmax(axis=1)
-    best = bank[i]
-    corr = c[np.arange(len(w)), i]
-    d = (_rows(np.diff(w, axis=1)) * _rows(np.diff(best, axis=1))).sum(axis=1)
-    return corr, np.sqrt(np.maximum(0.0, 2 - 2 * corr)), d, best
+def _length(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
 
 
-def nv_features(w: np.ndarray, bank: dict[str, np.ndarray], eps: float = 1e-8) -> np.ndarray:
-    """Sixteen features between the best N and V templates of each window."""
-    (cn, dn, en, tn), (cv, dv, ev, tv) = _match(w, bank["N"]), _match(w, bank["V"])
-    axis = tv - tn
-    alpha = np.clip(((w - tn) * axis).sum(axis=1) / np.maximum((axis * axis).sum(axis=1), eps), 0.0, 1.0)
-    res = np.linalg.norm(w - tn - alpha[:, None] * axis, axis=1)
-    thirds = [np.linalg.norm((w - tn)[:, s], axis=1) - np.linalg.norm((w - tv)[:, s], axis=1) for s in np.array_split(np.arange(w.shape[1]), 3)]
-    return np.column_stack([cn, cv, cn - cv, dn, dv, dn / np.maximum(dv, eps), en, ev, en - ev, alpha, 1 - np.abs(2 * alpha - 1), res, np.minimum(dn, dv) - res, *thirds])
+def _slopes(a: Column) -> Column:
+    n = F.size(a) - 1
+    return _minus(F.slice(a, F.lit(2), n), F.slice(a, F.lit(1), n))
 
 
-def nvf_features(w: np.ndarray, bank: dict[str, np.ndarray], eps: float = 1e-8) -> np.ndarray:
-    """Twenty-one correlation, distance and margin features of three banks."""
-    m = {c: _match(w, bank[c]) for c in "NVF"}
-    col = lambda k: [m[c][k] for c in "NVF"]
-    minus = lambda k: [m[a][k] - m[b][k] for a, b in _PAIRS]
-    over = [m[a][1] / np.maximum(m[b][1], eps) for a, b in _PAIRS]
-    mn, mv = m["F"][0] - m["N"][0], m["F"][0] - m["V"][0]
-    return np.column_stack([*col(0), *minus(0), *col(1), *over, *col(2), *minus(2), np.minimum(mn, mv), mv, mn])
+def _over(a: Column, b: Column) -> Column:
+    return a / F.greatest(b, F.lit(EPS))
+
+
+def closest(window: Column, bank: np.ndarray) -> Column:
+    """The template of a bank that correlates best with a unit window (the first of equals), as a struct: corr, distance, slope_corr, template."""
+    rows = F.lit([[float(v) for v in t] for t in bank])
+    seen = F.transform(rows, lambda t, i: F.struct(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), A.dot(window, t))).alias("corr"), (-i).alias("rank"), t.alias("template")))
+
+    def described(m: Column) -> Column:
+        cosine = A.let(F.struct(_slopes(window).alias("d"), _slopes(m["template"]).alias("e")), lambda s: _over(_over(A.dot(s["d"], s["e"]), _length(s["d"])), _length(s["e"])))
+        return F.struct(m["corr"].alias("corr"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * m["corr"])).alias("distance"), cosine.alias("slope_corr"), m["template"].alias("template"))
+
+    return A.let(F.array_max(seen), described)
+
+
+def _between(window: Column, n: Column, v: Column, thirds: list[tuple[int, int]]) -> Column:
+    """Where a window lies on the line from its N template to its V template, and which third is nearer to which: a struct."""
+    def placed(s: Column) -> Column:
+        alpha = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _over(A.dot(s["own"], s["axis"]), F.pow(_length(s["axis"]), 2))))
+        return A.let(alpha, lambda a: F.struct(a.alias("alpha"), _length(F.zip_with(s["own"], s["axis"], lambda x, d: x - a * d)).alias("residual")))
+
+    part = lambda t, at: _length(_minus(A.window(window, *at), A.window(t, *at)))
+    nearer = [(part(n["template"], at) - part(v["template"], at)).alias(w) for at, w in zip(thirds, ("early", "mid", "late"))]
+    at = A.let(F.struct(_minus(v["template"], n["template"]).alias("axis"), _minus(window, n["template"]).alias("own")), placed)
+    return F.struct(at.alias("at"), *nearer)
 
 
 def template_features(df: DataFrame, keep: Sequence[str], vec: str, bank: dict[str, np.ndarray]) -> DataFrame:
-    """Features of every window against a bank of fixed size, one matrix product per batch."""
-    three = "F" in bank
-    names, fn = (NVF_FEATURES, nvf_features) if three else (NV_FEATURES, nv_features)
-    types = dict(df.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                f = fn(np.vstack(pdf[vec].to_numpy()).astype(np.float64), bank)
-                yield pd.concat([pdf[list(keep)].reset_index(drop=True), pd.DataFrame(f, columns=names)], axis=1)
-
-    schema = ", ".join([f"{k} {types[k]}" for k in keep] + [f"{n} double" for n in names])
-    return df.select(*keep, vec).mapInPandas(run, schema)
+    """Features of every unit window against a bank of fixed size (classes N and V, or N, V and F), as column expressions."""
+    classes = [c for c in "NVF" if c in bank]
+    pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
+    x = df.select(*keep, vec).withColumns({f"_{c}": closest(F.col(vec), bank[c]) for c in classes})
+    m = {c: F.col(f"_{c}") for c in classes}
+    name = lambda base, a, b: base + (f"_{a}{b}" if len(classes) > 2 else "")
+    out: dict[str, Column] = {}
+    for c in classes:
+        out |= {f"template_corr_{c}": m[c]["corr"], f"template_distance_{c}": m[c]["distance"], f"derivative_corr_{c}": m[c]["slope_corr"]}
+    for a, b in pairs:
+        out |= {name("template_corr_delta", a, b): m[a]["corr"] - m[b]["corr"], name("template_distance_ratio", a, b): _over(m[a]["distance"], m[b]["distance"]), name("derivative_corr_delta", a, b): m[a]["slope_corr"] - m[b]["slope_corr"]}
+    if "F" in bank:
+        over = {c: m["F"]["corr"] - m[c]["corr"] for c in "NV"}
+        out |= {"template_F_margin_over_N": over["N"], "template_F_margin_over_V": over["V"], "template_F_margin_over_NV": F.least(over["N"], over["V"])}
+    else:
+        size = len(bank["N"][0])
+        ends = [0, *np.cumsum([size // 3 + (i < size % 3) for i in range(3)]).tolist()]
+        x = x.withColumn("_b", _between(F.col(vec), m["N"], m["V"], [(a, b - a) for a, b in zip(ends, ends[1:])]))
+        alpha, residual = F.col("_b.at.alpha"), F.col("_b.at.residual")
+        out |= {"hybrid_alpha": alpha, "hybrid_interiority": 1 - F.abs(2 * alpha - 1), "hybrid_residual": residual, "hybrid_residual_gain": F.least(m["N"]["distance"], m["V"]["distance"]) - residual}
+        out |= {f"{w}_distance_delta": F.col(f"_b.{w}") for w in ("early", "mid", "late")}
+    return x.select(*keep, *[out[n].alias(n) for n in (NVF_FEATURES if "F" in bank else NV_FEATURES)])

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from pulseframe.functions import signal as K
-from pulseframe.operators import waveforms as Wv
+from pulseframe.operators import templates as Tp, waveforms as Wv
 
 
 def beats(n, seed, low=0.5, high=1.5):
@@ -115,3 +115,31 @@ def test_morphology_by_hand(spark):
     assert got[2].qrs_width_ms is None and got[2].t_r_ratio is None and got[3].r_amplitude is None and got[4].r_amplitude == -2.0
     assert Wv.detect_peaks(df, ["id"], "w").filter("id in (3, 4)").count() == 0
     assert Wv.detect_peaks(df.filter("id = 3"), ["id"], "w").columns == ["id", "peak"]
+
+
+def test_template_features_by_hand(spark):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v)
+    bank = {c: np.array([unit(rng.normal(size=11)) for _ in range(k)]) for c, k in (("N", 3), ("V", 2), ("F", 2))}
+    windows = [unit(rng.normal(size=11)) for _ in range(20)] + [bank["N"][1], unit(bank["N"][0] + bank["V"][1]), np.zeros(11)]
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(windows)], "id int, u array<double>")
+    two = {r.id: r for r in Tp.template_features(df, ["id"], "u", {c: bank[c] for c in "NV"}).collect()}
+    three = {r.id: r for r in Tp.template_features(df, ["id"], "u", bank).collect()}
+    assert list(two[0].asDict()) == ["id", *Tp.NV_FEATURES] and list(three[0].asDict()) == ["id", *Tp.NVF_FEATURES]
+    cos = lambda a, b: a @ b / max(np.linalg.norm(a), 1e-8) / max(np.linalg.norm(b), 1e-8)
+    for i, w in enumerate(windows):
+        t = {c: max(bank[c], key=lambda b: round(float(w @ b), 12)) for c in "NVF"}
+        corr = {c: w @ t[c] for c in t}
+        dist = {c: np.sqrt(max(0, 2 - 2 * corr[c])) for c in t}
+        for c in "NVF":
+            assert np.isclose(three[i][f"template_corr_{c}"], corr[c]) and np.isclose(three[i][f"template_distance_{c}"], dist[c], atol=1e-7)
+            assert np.isclose(three[i][f"derivative_corr_{c}"], cos(np.diff(w), np.diff(t[c])))
+        for a, b in ("NV", "NF", "VF"):
+            assert np.isclose(three[i][f"template_corr_delta_{a}{b}"], corr[a] - corr[b]) and np.isclose(three[i][f"template_distance_ratio_{a}{b}"], dist[a] / max(dist[b], 1e-8), rtol=1e-5)
+        assert np.isclose(three[i].template_F_margin_over_NV, min(corr["F"] - corr["N"], corr["F"] - corr["V"]))
+        steps = np.linspace(0, 1, 20_001)
+        near = np.linalg.norm(w - t["N"] - steps[:, None] * (t["V"] - t["N"]), axis=1)  # the nearest point of the segment
+        assert abs(two[i].hybrid_alpha - steps[near.argmin()]) < 1e-4 and abs(two[i].hybrid_residual - near.min()) < 1e-6
+        assert np.isclose(two[i].hybrid_residual_gain, min(dist["N"], dist["V"]) - near.min(), atol=1e-6) and np.isclose(two[i].hybrid_interiority, 1 - abs(2 * two[i].hybrid_alpha - 1))
+        for part, name in ((slice(0, 4), "early"), (slice(4, 8), "mid"), (slice(8, 11), "late")):
+            assert np.isclose(two[i][f"{name}_distance_delta"], np.linalg.norm((w - t["N"])[part]) - np.linalg.norm((w - t["V"])[part]))
