@@ -112,7 +112,7 @@ def test_morphology_by_hand(spark):
     assert abs(r.qrs_area - np.trapezoid(np.abs(x[on : r.j_point]), dx=1 / 500)) < 1e-9 and abs(r.qrs_raggedness - np.abs(x[on : r.j_point]).std()) < 1e-9
     assert abs(r.qrs_asymmetry_index - (250 - on) / (r.j_point - 250)) < 1e-9
     assert abs(r.st_slope_mV_s - np.polyfit(np.arange(10), x[r.j_point + 30 : r.j_point + 40], 1)[0] * 500) < 1e-9
-    assert got[2].qrs_width_ms is None and got[2].t_r_ratio is None and got[3].r_amplitude is None and got[4].r_amplitude == -2.0
+    assert got[2].qrs_asymmetry_index is None and got[2].t_r_ratio is None and got[3].r_amplitude is None and got[4].r_amplitude == -2.0
     assert Wv.detect_peaks(df, ["id"], "w").filter("id in (3, 4)").count() == 0
     assert Wv.detect_peaks(df.filter("id = 3"), ["id"], "w").columns == ["id", "peak"]
 
