@@ -146,29 +146,44 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(B.table(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-# Files hold beats of all times, so beats wait this long for earlier ones; the heartbeat moves the watermark past all of them.
-DISORDER, HEARTBEAT = "3650 days", "2200-01-01 00:00:00"
+# Files come slice by slice, so a beat that waits as long as a slice lasts has seen all earlier ones; the heartbeat releases the last.
+SLICE_DAYS, HEARTBEAT = 10, "2200-01-01 00:00:00"
+
+
+def sliced_stream(df, at: str, days: int = SLICE_DAYS):
+    """A stream of the rows of `df`: files of one time slice after those of the one before, then a row of nulls as heartbeat.
+
+    Within a slice rows lie in no order. With a delay of one slice no row is ever behind the
+    watermark, and what waits is at most the rows of two slices and one batch. The slices are listed on the
+    driver: their number is the span of time over the width, whatever the rows.
+    """
+    spark, path, files = df.sparkSession, _work(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism
+    n = F.floor(F.unix_seconds(F.col(at)) / F.lit(86400 * days))
+    df.withColumn("_slice", n).write.partitionBy("_slice").parquet(f"{path}/staged")
+    staged = spark.read.parquet(f"{path}/staged")
+    for (i,) in staged.select("_slice").distinct().orderBy("_slice").collect():
+        part = staged.filter(F.col("_slice").eqNullSafe(i)).select(*df.columns)
+        part.repartition(files, F.xxhash64(*df.columns)).write.mode("append").parquet(f"{path}/in")
+    beat = [F.lit(HEARTBEAT if c == at else None).cast(t).alias(c) for c, t in df.dtypes]
+    spark.range(1).select(*beat).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(files)).parquet(f"{path}/in")
 
 
 def _beat_stream(spark, sf):
-    """All events dealt over files in no order of time, read one file per batch, and then a heartbeat."""
-    path = f"{_work(spark)}/beats"
     e = B.table(spark, sf, "events").select(F.col("user_id").alias("record_id"), "event_id", B.millis("ts").alias("peak"), F.col("ts").cast("timestamp").alias("at"))
-    e.repartition(4, F.xxhash64("event_id")).write.parquet(path)
-    e.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in e.dtypes[:3]], F.lit(HEARTBEAT).cast("timestamp").alias("at")).write.mode("append").parquet(path)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", "1").parquet(path)
+    return sliced_stream(e, "at")
 
 
 @R.add("st5_causal_stream", "SELECT record_id, event_id, rr_prev_1, rr_prev_4, rr_prev_median_4, rr_pnn50_4, tachycardia_flag, false AS late FROM (" + SEQ.sql["w2_causal_rr"] + ")")
 def st5(spark, sf):
-    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0, "at", DISORDER)
+    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0, "at", f"{SLICE_DAYS} days")
     y = J.run_to_table(x, _work(spark))
     return y.select("record_id", "event_id", "rr_prev_1", "rr_prev_4", "rr_prev_median_4", F.round("rr_pnn50_4", 6).alias("rr_pnn50_4"), "tachycardia_flag", "late")
 
 
 @R.add("st2_stability_stream", "SELECT record_id, event_id, skip, false AS late FROM (" + SEQ.sql["st2_stability_batch"] + ")")
 def st2(spark, sf):
-    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9, event_time="at", delay=DISORDER)
+    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9, event_time="at", delay=f"{SLICE_DAYS} days")
     first = _beat_stream_first(spark, sf)
     return J.run_to_table(x, _work(spark)).join(first, "event_id", "left_anti")
 

@@ -70,11 +70,12 @@ def _stateful(fn: Callable, extra: str, record: str, ident: str, peak: str, df:
         now = None if event_time is None else state.getCurrentWatermarkMs()
         order = sorted(range(len(wp)), key=lambda i: (wp[i], wi[i]))
         ready = [i for i in order if now is None or wt[i] <= now]
-        placed = [i for i in ready if not ring or wp[i] >= ring[-1]]
+        last = ring[-1] if ring else None
+        placed = [i for i in ready if last is None or wp[i] >= last]
+        behind = [i for i in ready if last is not None and wp[i] < last]
         out, ring = fn([wp[i] for i in placed], ring)
         out.insert(0, ident, [wi[i] for i in placed])
         out["late"] = False
-        behind = [i for i in ready if ring and i not in set(placed)]
         if behind:
             lost = pd.DataFrame({ident: [wi[i] for i in behind], "late": True}).reindex(columns=out.columns)
             out = pd.concat([out.astype(object), lost.astype(object)], ignore_index=True)

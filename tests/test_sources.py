@@ -115,3 +115,26 @@ def test_beats_without_event_time_are_flagged_not_lost(spark, tmp_path):
     s = spark.readStream.schema(df([("r", 1, 1)]).schema).option("maxFilesPerTrigger", "1").parquet(src)
     got = J.run_to_table(J.stability_stream(s, "record", "id", "peak", 10.0, 0.5), str(tmp_path / "work"))
     assert sorted((r.id, r.late) for r in got.collect()) == [(1, False), (2, False), (3, True), (4, False)]
+
+
+def test_state_of_a_sliced_stream_stays_small(spark, tmp_path):
+    """A record of 6 slices: every row as in order of time, and no state ever held more than three slices of its beats."""
+    import datetime as dt
+
+    from pulseframe.plans.source_queries import sliced_stream
+
+    start, per_slice, slices = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc), 30, 6
+    step = 86400 // per_slice
+    peaks = [i * step * 1000 + (i * i) % 37 for i in range(per_slice * slices)]
+    beats = [("r", i, p, start + dt.timedelta(seconds=i * step)) for i, p in enumerate(peaks)]
+    df = spark.createDataFrame(beats, "record string, id long, peak long, at timestamp")
+    x = J.causal_stream(sliced_stream(df, "at", 1), "record", "id", "peak", 1.0, "at", "1 day")
+    got = J.run_to_table(x, str(tmp_path / "work")).collect()
+    assert sorted((r.id, r.peak, r.late) for r in got) == [(i, p, False) for i, p in enumerate(peaks)]
+    rr = {r.id: (r.rr_prev_1, r.rr_prev_4) for r in got}
+    assert all(rr[i] == ((peaks[i] - peaks[i - 1]) * 1000.0, (peaks[i - 3] - peaks[i - 4]) * 1000.0) for i in range(4, len(peaks)))
+    most = 0
+    for batch in range(slices):
+        state = spark.read.format("statestore").option("batchId", batch).load(str(tmp_path / "work" / "state"))
+        most = max([most, *[len(r.w) for r in state.select(F.col("value.groupState.wait_peak").alias("w")).collect()]])
+    assert 0 < most <= 3 * per_slice  # two slices and one batch
