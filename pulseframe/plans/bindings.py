@@ -157,6 +157,7 @@ def alert(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- predictions: labelled documents, deterministic scores -------------------------------
 
+SEEDS = (0, 1, 2)
 PREDICTION_SQL = """prediction AS (
   SELECT d.doc_id AS sample_id, d.source AS patient_id, d.lang AS record_id, s.seed, CAST(d.doc_id % 5 AS BIGINT) AS fold,
          CASE WHEN l.quality = 1 AND l.toxic = 0 THEN 0 WHEN l.quality = 1 THEN 1 ELSE 2 END AS y_true,
@@ -175,7 +176,7 @@ scored AS (
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
     l = table(spark, sf, "labels")
-    x = d.join(l, "doc_id").withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    x = d.join(l, "doc_id").withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
     n, i, s = F.col("n_chars"), F.col("doc_id"), F.col("seed")
     q, t = F.col("quality"), F.col("toxic")
     x = x.select(

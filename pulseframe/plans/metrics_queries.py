@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -590,18 +592,56 @@ def a45(spark, sf):
     return rounded(x, 6, ("threshold",)).withColumn("threshold", F.round("threshold", 9))
 
 
+TASKS_SQL = f"""{BASE}, task AS (SELECT seed, sample_id, 'quality' AS class, CAST(quality AS INTEGER) AS y, p0 AS p FROM scored UNION ALL SELECT seed, sample_id, 'toxic', CAST(toxic AS INTEGER), p1 FROM scored)"""
+ISO_SQL = f"""{TASKS_SQL}, d AS (SELECT seed, class, p AS x, count(*) AS n, sum(y) AS s FROM task GROUP BY ALL),
+ c AS (SELECT *, row_number() OVER o AS i, sum(n) OVER o AS cn, sum(s) OVER o AS cs FROM d WINDOW o AS (PARTITION BY seed, class ORDER BY x ROWS UNBOUNDED PRECEDING)),
+ lo AS (SELECT b.seed, b.class, b.i, min((b.cs - a.cs + a.s)::DOUBLE / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.seed, a.class, a.i ORDER BY b.i DESC ROWS UNBOUNDED PRECEDING) AS v
+  FROM c a JOIN c b ON a.seed = b.seed AND a.class = b.class AND a.i <= b.i),
+ hi AS (SELECT seed, class, i, max(v) AS v FROM lo GROUP BY ALL),
+ fit AS (SELECT c.*, round(hi.v, 9) AS value FROM c JOIN hi ON c.seed = hi.seed AND c.class = hi.class AND c.i = hi.i)"""
+
+
+def _tasks(spark, sf):
+    """Two binary tasks per sample, for every seed."""
+    return B.scored(spark, sf).select("seed", "sample_id", F.expr("stack(2, 'quality', cast(quality as int), p0, 'toxic', cast(toxic as int), p1) as (class, y, p)"))
+
+
+@R.add("a36_isotonic_steps", f"{ISO_SQL} SELECT seed, class, value, round(min(x), 9) AS x_lo, round(max(x), 9) AS x_hi, CAST(sum(n) AS BIGINT) AS n FROM fit GROUP BY seed, class, value")
+def a36i(spark, sf):
+    steps = C.isotonic_steps(_tasks(spark, sf), ["seed", "class"]).withColumn("value", F.round("value", 9))
+    x = steps.groupBy("seed", "class", "value").agg(F.min("x_lo").alias("x_lo"), F.max("x_hi").alias("x_hi"), F.sum("n").alias("n"))
+    return rounded(x, 9)
+
+
+@R.add("a36_isotonic_applied", f"{ISO_SQL} SELECT t.seed, t.sample_id, t.class, value AS calibrated FROM task t JOIN fit ON t.seed = fit.seed AND t.class = fit.class AND t.p = fit.x")
+def a36a(spark, sf):
+    t, by = _tasks(spark, sf), ["seed", "class"]
+    x = C.apply_isotonic(t, C.isotonic_steps(t, by), by)
+    return x.select("seed", "sample_id", "class", F.round("calibrated", 9).alias("calibrated"))
+
+
 @R.add("a36_binary_calibrator")
 def a36(spark, sf):
-    m = B.multilabel(spark, sf).filter("class = 'quality'")
-    best, (params, apply), scores = C.select_binary(m)
-    return C.errors(C.reliability(m.withColumn("p", P.clip(apply(F.col("p")), 0.0, 1.0)), ["class"]), ["class"]).withColumn("method", F.lit(best)).withColumn("nll", F.lit(scores[best]))
+    """One selection per seed and task; their number is that of the table's seeds times two."""
+    tasks, out = _tasks(spark, sf), []
+    for seed, cls in [(s, c) for s in B.SEEDS for c in ("quality", "toxic")]:
+        m = tasks.filter((F.col("seed") == seed) & (F.col("class") == cls))
+        best, (_, transform), scores = C.select_binary(m)
+        m = transform(m, "p", "_fit").withColumn("p", P.clip(F.col("_fit"), 0.0, 1.0))
+        out.append(C.errors(C.reliability(m, ["seed", "class"]), ["seed", "class"]).withColumn("method", F.lit(best)).withColumn("nll", F.lit(scores[best])))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @R.add("a36_multiclass_calibrator")
 def a36m(spark, sf):
-    s = B.scored(spark, sf).filter("seed = 0")
-    best, params, scores = C.select_multiclass(s, PS)
-    q = P.multiclass([F.col(c) for c in PS], best, **params)
-    return C.per_true_class(s.withColumns(dict(zip(PS, q))), PS).withColumn("method", F.lit(best)).withColumn("nll", F.lit(scores[best]))
+    """One selection per seed."""
+    rows, out = B.scored(spark, sf), []
+    for seed in B.SEEDS:
+        s = rows.filter(F.col("seed") == seed)
+        best, params, scores = C.select_multiclass(s, PS)
+        q = P.multiclass([F.col(c) for c in PS], best, **params)
+        x = C.per_true_class(s.withColumns(dict(zip(PS, q))), PS)
+        out.append(x.withColumn("seed", F.lit(seed)).withColumn("method", F.lit(best)).withColumn("nll", F.lit(scores[best])))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 

@@ -444,3 +444,37 @@ def test_checks(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     assert Q.required_columns(df, ["a", "z"]).head()["status"] == "FAIL"
     assert Q.schema_compatible(df, ["a"], ["a"]).head()["status"] == "PASS"
+
+
+def test_isotonic_steps_equal_pooling_by_hand(spark, monkeypatch):
+    """Blocks of 16 scores and 7 cuts: every fitted value as pooled one by one; between steps a line, outside the end values."""
+    import random
+
+    from pulseframe.operators import calibration as C
+
+    monkeypatch.setattr(C, "BLOCK", 16)
+    r = random.Random(1)
+    rows = [(k, p, int(r.random() < p)) for k, d in (("a", 3), ("b", 2)) for p in (round(r.random() * 0.98 + 0.01, d) for _ in range(600))]
+    rows += [("c", 0.5, 1), ("a", None, 1)]
+    df = spark.createDataFrame(rows, "k string, p double, y int")
+    steps = C.isotonic_steps(df, ["k"], cuts=7)
+    asked = df.select("k", "p").unionByName(spark.createDataFrame([("a", 0.0), ("a", 1.0), ("c", 0.1), ("z", 0.5)], "k string, p double"))
+    got = {(x.k, x.p): x.calibrated for x in C.apply_isotonic(asked, steps, ["k"]).collect()}
+    for key in "abc":
+        mine = [(p, y) for k, p, y in rows if k == key and p is not None]
+        pools: list[list] = []
+        for x in sorted({p for p, _ in mine}):
+            ys = [y for p, y in mine if p == x]
+            pools.append([sum(ys), len(ys), [x]])
+            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+                s, n, xs = pools.pop()
+                pools[-1] = [pools[-1][0] + s, pools[-1][1] + n, pools[-1][2] + xs]
+        for s, n, xs in pools:
+            assert all(abs(got[key, x] - s / n) < 1e-9 for x in xs)
+        if key == "a":
+            assert abs(got["a", 0.0] - pools[0][0] / pools[0][1]) < 1e-9 and abs(got["a", 1.0] - pools[-1][0] / pools[-1][1]) < 1e-9
+    assert got["a", None] is None and got["z", 0.5] is None and got["c", 0.1] == 1.0
+    low, high = steps.filter("k = 'b' and x_up is not null and x_up > x_hi").orderBy("x_hi").select("x_hi", "x_up", "value", "value_up").head(2)
+    ask = spark.createDataFrame([("b", (s.x_hi * 3 + s.x_up) / 4) for s in (low, high)], "k string, p double")
+    got = sorted(x.calibrated for x in C.apply_isotonic(ask, steps, ["k"]).collect())
+    assert got == pytest.approx(sorted(s.value + (s.value_up - s.value) / 4 for s in (low, high)))
