@@ -99,12 +99,12 @@ def pairwise_disagreement(pred: DataFrame, sample: str, classes: int) -> DataFra
     return n.agg(F.avg(F.when(pairs > 0, F.lit(1.0) - same / pairs)).alias("pairwise_disagreement"))
 
 
-def gate_table(folds: DataFrame) -> DataFrame:
-    """Patient-wise, stability and calibration gates and whether everything may be published.
+def gate_table(folds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Patient-wise, stability and calibration gates per key and whether everything of it may be published.
 
     Fixed values: mean F1 limits S 0.55, V 0.70, F 0.50, macro 0.45.
     """
-    a = folds.agg(
+    a = folds.groupBy(*by).agg(
         F.avg("F1_S").alias("s"), F.avg("F1_V").alias("v"), F.avg("F1_F").alias("f"), F.avg("macro_F1").alias("macro"),
         F.stddev_pop("F1_F").alias("f_std"), F.min("F1_F").alias("f_min"), F.avg("log_loss").alias("ll"), F.avg("brier").alias("br"))
     rows = [
@@ -113,20 +113,20 @@ def gate_table(folds: DataFrame) -> DataFrame:
         ("calibration", F.lit(True), False, F.col("ll")),
         ("smoke", (F.col("s") >= 0.55) & (F.col("v") >= 0.70) & (F.col("f") >= 0.50) & (F.col("macro") >= 0.45), True, F.col("macro")),
     ]
-    g = a.select(F.inline(F.array(*[F.struct(F.lit(n).alias("gate"), ok.alias("passed"), F.lit(d).alias("diagnostic"), v.alias("value")) for n, ok, d, v in rows])))
-    pub = g.filter(~F.col("diagnostic")).agg(F.bool_and("passed").alias("can_publish"))
-    return g.join(F.broadcast(pub))  # one row
+    g = a.select(*by, F.inline(F.array(*[F.struct(F.lit(n).alias("gate"), ok.alias("passed"), F.lit(d).alias("diagnostic"), v.alias("value")) for n, ok, d, v in rows])))
+    # four rows a key
+    return g.withColumn("can_publish", F.bool_and(F.col("passed") | F.col("diagnostic")).over(W.partitionBy(*by)))
 
 
-def with_limits(folds: DataFrame, max_std: float | None, max_log_loss: float | None, max_brier: float | None) -> DataFrame:
+def with_limits(folds: DataFrame, max_std: float | None, max_log_loss: float | None, max_brier: float | None, by: Sequence[str] = ()) -> DataFrame:
     """Optional limits of the stability and calibration gates."""
-    a = folds.agg(F.stddev_pop("F1_F").alias("f_std"), F.avg("log_loss").alias("mean_log_loss"), F.avg("brier").alias("mean_brier"))
+    a = folds.groupBy(*by).agg(F.stddev_pop("F1_F").alias("f_std"), F.avg("log_loss").alias("mean_log_loss"), F.avg("brier").alias("mean_brier"))
     chk = lambda c, lim: F.lit(True) if lim is None else ~(F.col(c) > lim)
     return a.withColumn("stability", chk("f_std", max_std)).withColumn("calibration", chk("mean_log_loss", max_log_loss) & chk("mean_brier", max_brier))
 
 
-def best_fold(folds: DataFrame) -> DataFrame:
-    """Best macro F1 among passing folds, else the best penalized score.
+def best_fold(folds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Best macro F1 among passing folds of a key, else the best penalized score.
 
     Fixed values: F1 limits S 0.55, V 0.70, F 0.50 and macro 0.45; penalty weight 2.
     """
@@ -135,7 +135,7 @@ def best_fold(folds: DataFrame) -> DataFrame:
     pen = short("F1_S", 0.55) + short("F1_V", 0.70) + short("F1_F", 0.50)
     score = F.when(ok, F.col("macro_F1")).otherwise(F.col("macro_F1") - pen * 2.0)
     m = F.max(F.struct(ok.alias("passed"), F.round(score, 12).alias("score"), (-F.col("fold")).alias("nf"))).alias("m")
-    return folds.agg(m).select((-F.col("m.nf")).alias("fold"), "m.passed", "m.score")
+    return folds.groupBy(*by).agg(m).select(*by, (-F.col("m.nf")).alias("fold"), "m.passed", "m.score")
 
 
 def collapse_class(pred: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFrame:

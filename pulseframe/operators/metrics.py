@@ -397,16 +397,23 @@ def feature_statistics(df: DataFrame, by: Sequence[str], value: str = "value") -
     return a.join(q, list(by), "left").withColumn("iqr", F.col("q3") - F.col("q1"))
 
 
-def mutual_information(df: DataFrame, feature: str, value: str, y: str, bins: int = 20) -> DataFrame:
-    """Mutual information of a binned feature and a 0/1 target, natural log."""
-    lim = df.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+def mutual_information(df: DataFrame, feature: str, value: str, label: str, bins: int = 20) -> DataFrame:
+    """Mutual information of a binned feature with each label against the rest, natural log.
+
+    One count per feature, bin and label serves all labels; rows without label or value take no part.
+    """
+    x = df.filter(F.col(label).isNotNull() & F.col(value).isNotNull())
+    lim = x.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / float(bins)
     cell = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / width))).otherwise(0)
-    h = df.join(lim, feature).groupBy(feature, cell.alias("_b"), F.col(y).alias("_y")).agg(F.count("*").alias("_n"))
-    n = F.sum("_n").over(W.partitionBy(feature))
-    px, py = F.sum("_n").over(W.partitionBy(feature, "_b")), F.sum("_n").over(W.partitionBy(feature, "_y"))
-    x = h.select(feature, (F.col("_n") / n).alias("p"), (F.col("_n") * n / (px * py)).alias("r"))
-    return x.groupBy(feature).agg(F.sum(F.col("p") * F.log("r")).alias("mi"))
+    h = x.join(lim, feature).groupBy(feature, cell.alias("_b"), label).agg(F.count("*").alias("_n"))
+    cells = h.groupBy(feature, "_b").agg(F.sum("_n").alias("_px"), F.map_from_entries(F.collect_list(F.struct(label, "_n"))).alias("_in"))
+    totals = h.groupBy(feature, label).agg(F.sum("_n").alias("_py"))
+    t = F.sum("_py").over(W.partitionBy(feature))
+    y = cells.join(totals.withColumn("_t", t), feature).withColumn("_n", F.coalesce(F.try_element_at("_in", F.col(label)), F.lit(0)))
+    part = lambda n, py: F.when(n > 0, n / F.col("_t") * F.log(n * F.col("_t") / (F.col("_px") * py))).otherwise(0.0)
+    both = part(F.col("_n"), F.col("_py")) + part(F.col("_px") - F.col("_n"), F.col("_t") - F.col("_py"))
+    return y.groupBy(feature, label).agg(F.sum(both).alias("mi"))
 
 
 def guarded_corr(df: DataFrame, by: Sequence[str], a: str, b: str) -> DataFrame:

@@ -422,31 +422,31 @@ def a27p(spark, sf):
 
 FL_SQL = f"""{CELLS_SQL}, fl AS (SELECT fold, seed, -avg(ln(CASE y_true WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END)) AS log_loss,
  avg(((p0 - (y_true = 0)::INT) ** 2 + (p1 - (y_true = 1)::INT) ** 2 + (p2 - (y_true = 2)::INT) ** 2) / 3) AS brier FROM scored GROUP BY ALL),
- ff AS (SELECT cells.*, log_loss, brier FROM cells JOIN fl USING (fold, seed) WHERE seed = 0)"""
+ ff AS (SELECT cells.*, log_loss, brier FROM cells JOIN fl USING (fold, seed))"""
 
 
 def _folds(spark, sf):
-    s = B.scored(spark, sf).filter("seed = 0")
+    s = B.scored(spark, sf)
     return X.cell_metrics(s, CELL, PS, NAMES, 2).join(X.fold_losses(s, CELL, PS), CELL)
 
 
-@R.add("a40_gates", f"""{FL_SQL}, a AS (SELECT avg(F1_S) AS s, avg(F1_V) AS v, avg(F1_F) AS f, avg(macro_F1) AS m, stddev_pop(F1_F) AS sd, min(F1_F) AS mn, avg(log_loss) AS ll FROM ff),
- g AS (SELECT 'patientwise' AS gate, (f >= 0.5 AND mn >= 0 AND m >= 0.45 AND s >= 0.55 AND v >= 0.7) AS passed, false AS diagnostic, m AS value FROM a UNION ALL SELECT 'stability', true, false, sd FROM a
-  UNION ALL SELECT 'calibration', true, false, ll FROM a UNION ALL SELECT 'smoke', (s >= 0.55 AND v >= 0.7 AND f >= 0.5 AND m >= 0.45), true, m FROM a)
-SELECT gate, passed, diagnostic, round(value, 6) AS value, (SELECT bool_and(passed) FROM g WHERE NOT diagnostic) AS can_publish FROM g""")
+@R.add("a40_gates", f"""{FL_SQL}, a AS (SELECT seed, avg(F1_S) AS s, avg(F1_V) AS v, avg(F1_F) AS f, avg(macro_F1) AS m, stddev_pop(F1_F) AS sd, min(F1_F) AS mn, avg(log_loss) AS ll FROM ff GROUP BY seed),
+ g AS (SELECT seed, 'patientwise' AS gate, (f >= 0.5 AND mn >= 0 AND m >= 0.45 AND s >= 0.55 AND v >= 0.7) AS passed, false AS diagnostic, m AS value FROM a UNION ALL SELECT seed, 'stability', true, false, sd FROM a
+  UNION ALL SELECT seed, 'calibration', true, false, ll FROM a UNION ALL SELECT seed, 'smoke', (s >= 0.55 AND v >= 0.7 AND f >= 0.5 AND m >= 0.45), true, m FROM a)
+SELECT seed, gate, passed, diagnostic, round(value, 6) AS value, bool_and(passed OR diagnostic) OVER (PARTITION BY seed) AS can_publish FROM g""")
 def a40(spark, sf):
-    return rounded(X.gate_table(_folds(spark, sf)))
+    return rounded(X.gate_table(_folds(spark, sf), ["seed"]))
 
 
-@R.add("a40_limits", f"{FL_SQL} SELECT round(stddev_pop(F1_F), 6) AS f_std, round(avg(log_loss), 6) AS mean_log_loss, round(avg(brier), 6) AS mean_brier, stddev_pop(F1_F) <= 0.2 AS stability, (avg(log_loss) <= 2.0 AND avg(brier) <= 0.1) AS calibration FROM ff")
+@R.add("a40_limits", f"{FL_SQL} SELECT seed, round(stddev_pop(F1_F), 6) AS f_std, round(avg(log_loss), 6) AS mean_log_loss, round(avg(brier), 6) AS mean_brier, stddev_pop(F1_F) <= 0.2 AS stability, (avg(log_loss) <= 2.0 AND avg(brier) <= 0.1) AS calibration FROM ff GROUP BY seed")
 def a40b(spark, sf):
-    return rounded(X.with_limits(_folds(spark, sf), 0.2, 2.0, 0.1))
+    return rounded(X.with_limits(_folds(spark, sf), 0.2, 2.0, 0.1, ["seed"]))
 
 
-@R.add("a41_best_fold", f"""{FL_SQL}, k AS (SELECT fold, (F1_S >= 0.55 AND F1_V >= 0.7 AND F1_F >= 0.5 AND macro_F1 >= 0.45) AS ok, macro_F1, 2 * (greatest(0, 0.55 - F1_S) + greatest(0, 0.7 - F1_V) + greatest(0, 0.5 - F1_F)) AS pen FROM ff)
-SELECT fold, ok AS passed, round(CASE WHEN ok THEN macro_F1 ELSE macro_F1 - pen END, 6) AS score FROM k ORDER BY ok DESC, round(CASE WHEN ok THEN macro_F1 ELSE macro_F1 - pen END, 12) DESC, fold LIMIT 1""")
+@R.add("a41_best_fold", f"""{FL_SQL}, k AS (SELECT seed, fold, (F1_S >= 0.55 AND F1_V >= 0.7 AND F1_F >= 0.5 AND macro_F1 >= 0.45) AS ok, macro_F1, 2 * (greatest(0, 0.55 - F1_S) + greatest(0, 0.7 - F1_V) + greatest(0, 0.5 - F1_F)) AS pen FROM ff)
+SELECT seed, fold, ok AS passed, round(CASE WHEN ok THEN macro_F1 ELSE macro_F1 - pen END, 6) AS score FROM k QUALIFY row_number() OVER (PARTITION BY seed ORDER BY ok DESC, round(CASE WHEN ok THEN macro_F1 ELSE macro_F1 - pen END, 12) DESC, fold) = 1""")
 def a41(spark, sf):
-    return rounded(X.best_fold(_folds(spark, sf)))
+    return rounded(X.best_fold(_folds(spark, sf), ["seed"]))
 
 
 @R.add("a46_reconcile", f"""{CELLS_SQL}, n AS (SELECT 'F1_' || fold AS metric, F1_F AS v FROM cells WHERE seed = 0 AND fold < 4), o AS (SELECT 'F1_' || fold AS metric, round(F1_F, 3) AS v FROM cells WHERE seed = 0 AND fold > 0)
@@ -553,13 +553,13 @@ def a30b(spark, sf):
     return rounded(M.feature_statistics(B.features(spark, sf), ["dim", "label"]))
 
 
-@R.add("a31_mutual_information", f"""WITH {B.FEATURE_SQL}, r AS (SELECT dim, min(value) AS lo, max(value) AS hi FROM feature GROUP BY 1),
- h AS (SELECT f.dim, least(19, floor((value - lo) / ((hi - lo) / 20.0::DOUBLE))) AS b, (label = 2)::INT AS y, count(*) AS n FROM feature f JOIN r ON r.dim = f.dim GROUP BY ALL),
- w AS (SELECT *, sum(n) OVER (PARTITION BY dim) AS t, sum(n) OVER (PARTITION BY dim, b) AS px, sum(n) OVER (PARTITION BY dim, y) AS py FROM h)
-SELECT CAST(dim AS INTEGER) AS dim, round(sum(n::DOUBLE / t * ln(n::DOUBLE * t / (px * py))), 6) AS mi FROM w GROUP BY 1""")
+@R.add("a31_mutual_information", f"""WITH {B.FEATURE_SQL}, r AS (SELECT dim, min(value) AS lo, max(value) AS hi FROM feature WHERE label IS NOT NULL GROUP BY 1),
+ x AS (SELECT f.dim, least(19, floor((value - lo) / ((hi - lo) / 20.0::DOUBLE))) AS b, label FROM feature f JOIN r ON r.dim = f.dim WHERE label IS NOT NULL),
+ h AS (SELECT x.dim, b, c.label, (x.label = c.label)::INT AS y, count(*) AS n FROM x, (SELECT DISTINCT label FROM x) c GROUP BY ALL),
+ w AS (SELECT *, sum(n) OVER (PARTITION BY dim, label) AS t, sum(n) OVER (PARTITION BY dim, label, b) AS px, sum(n) OVER (PARTITION BY dim, label, y) AS py FROM h)
+SELECT CAST(dim AS INTEGER) AS dim, label, round(sum(n::DOUBLE / t * ln(n::DOUBLE * t / (px * py))), 6) AS mi FROM w GROUP BY dim, label""")
 def a31(spark, sf):
-    x = B.features(spark, sf).withColumn("y", F.when(F.col("label") == 2, 1).otherwise(0))
-    return rounded(M.mutual_information(x, "dim", "value", "y"))
+    return rounded(M.mutual_information(B.features(spark, sf), "dim", "value", "label"))
 
 
 @R.add("a32_correlation", """SELECT l_returnflag, CASE WHEN stddev_pop(l_quantity) > 1e-8 AND stddev_pop(l_extendedprice) > 1e-8 THEN round(corr(l_quantity, l_extendedprice), 6) END AS corr, count(*) AS n FROM lineitem GROUP BY 1""")
