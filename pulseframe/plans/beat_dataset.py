@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ontology as O
@@ -54,21 +57,26 @@ def manifest(beats: DataFrame) -> DataFrame:
     return beats.rollup("dataset").agg(F.count("*").alias("n_beats"), F.countDistinct("record_id").alias("n_records"), *one)
 
 
-def candidate_bundle(beats: DataFrame, folds: DataFrame, fold: int, group: str = "record_id", templates: dict[str, int] | None = None) -> DataFrame:
-    """Base features, causal intervals and templates fitted on the training groups of a fold."""
+def candidate_bundle(beats: DataFrame, folds: DataFrame, test_folds: Sequence[int], group: str = "record_id", templates: dict[str, int] | None = None) -> DataFrame:
+    """Base features, causal intervals and templates, one bundle of all beats per test fold.
+
+    The templates of a bundle are fitted on the groups outside its test fold; the rest is the same in all.
+    """
     from ..operators import templates as Tp
 
-    counts = templates or {"N": 2, "V": 2}
-    test = folds.filter(F.col("fold") == fold).select(group)
+    counts, keys = templates or {"N": 2, "V": 2}, [*KEYS, "ann_idx"]
     u = Tp.unit_window(beats, "waveform", 60, 90)
-    train = u.join(test, group, "left_anti")
-    leaked = Tp.check_sources(train.select(group), test, group)
-    if not leaked.isEmpty():
-        raise ValueError("held-out group reached template fitting")
-    proto = Tp.group_prototypes(train.filter(F.col("label").isin(list(counts))), group, "label", "_u", [*KEYS, "ann_idx"])
-    bank = Tp.fit_bank(proto, "label", counts)
-    keys = [*KEYS, "ann_idx"]
-    t = Tp.template_features(u, keys, "_u", bank)
+    parts = []
+    for fold in test_folds:
+        test = folds.filter(F.col("fold") == fold).select(group)
+        train = u.join(test, group, "left_anti")
+        leaked = Tp.check_sources(train.select(group), test, group)
+        if not leaked.isEmpty():
+            raise ValueError("held-out group reached template fitting")
+        proto = Tp.group_prototypes(train.filter(F.col("label").isin(list(counts))), group, "label", "_u", keys)
+        bank = Tp.fit_bank(proto, "label", counts)
+        parts.append(Tp.template_features(u, keys, "_u", bank).withColumn("test_fold", F.lit(fold)))
+    t = reduce(lambda a, b: a.unionByName(b), parts)
     rr = S.causal_features(beats.select(*keys, "peak"), KEYS, "peak", Wv.TARGET_FS, 500 * 1800, ["ann_idx"]).drop("peak", "idx")
     base = feature_vector(beats, [*keys, "label", "y"])
     return base.join(rr, keys).join(t, keys)

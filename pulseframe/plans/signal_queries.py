@@ -102,7 +102,7 @@ def g14(spark, sf):
 
     beats = pinned(_beats(spark, sf)[0])
     folds = beats.select("record_id").distinct().withColumn("fold", F.col("record_id") % 5)
-    return rounded(BD.candidate_bundle(beats, folds, 0))
+    return rounded(BD.candidate_bundle(beats, folds, range(5)))
 
 
 # ---- cleaning ---------------------------------------------------------------------------
