@@ -17,13 +17,26 @@ TARGET_FS = 500.0
 BLOCK = 50_000
 
 
+SLAB = 1 << 18  # samples that a step holds as matrices at a time
+
+
+def slabs(batches: Iterator[pd.DataFrame], samples: str, most: int = SLAB) -> Iterator[pd.DataFrame]:
+    """Arrow batches in runs of rows with about `most` samples (one row at least): what a task holds follows neither the batch nor the window length."""
+    for pdf in batches:
+        if len(pdf):
+            run = pdf[samples].map(lambda v: 0 if v is None else len(v)).cumsum().to_numpy() // most
+            ends = [*(np.flatnonzero(np.diff(run)) + 1), len(pdf)]
+            for a, b in zip([0, *ends], ends):
+                yield pdf.iloc[a:b]
+
+
 def _per_row(df: DataFrame, keep: Sequence[str], cols: Sequence[str], fn: Callable, out: str, multi: bool = False) -> DataFrame:
-    """Apply fn(*values) to each row of an Arrow batch; keep the key columns."""
+    """Apply fn(*values) to each row, a slab of rows (by the first of `cols`, arrays) at a time; keep the key columns."""
     types = dict(df.dtypes)
     names = [c.split()[0] for c in out.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slabs(batches, cols[0]):
             rows, src = [], []
             for i, vals in enumerate(zip(*[pdf[c] for c in cols])):
                 r = fn(*vals)
@@ -64,14 +77,13 @@ def _alike(pdf: pd.DataFrame, cols: Sequence[str]) -> Iterator[tuple[tuple, np.n
 
 
 def _map_pieces(pieces: DataFrame, keep: Sequence[str], fn: Callable[[pd.DataFrame], pd.DataFrame], out: str, n_keep: Sequence[str] = ("n_samples", "blk", "core_from", "core_to")) -> DataFrame:
-    """fn of every batch of pieces gives the new columns of its rows."""
+    """fn of every slab of pieces gives the new columns of its rows."""
     types = dict(pieces.dtypes)
     kept = [*keep, *n_keep]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                yield pd.concat([pdf[kept], fn(pdf)], axis=1)
+        for pdf in slabs(batches, "piece"):
+            yield pd.concat([pdf[kept], fn(pdf)], axis=1)
 
     return pieces.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in kept] + [out]))
 
@@ -395,14 +407,12 @@ def direct_morphology(df: DataFrame, samples: str, fs: float = TARGET_FS, centre
 
 
 def spectral(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
-    """Thirteen spectral features; a whole Arrow batch of equal windows is one matrix."""
+    """Thirteen spectral features; a slab of equal windows is one matrix."""
     pre, post = _ms(120.0, fs), _ms(180.0, fs)
     types = dict(df.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in slabs(batches, "_w"):
             w = np.vstack(pdf["_w"].to_numpy()).astype(np.float64)
             f = pd.DataFrame(K.spectral(w, fs), columns=K.SPECTRAL)
             yield pd.concat([pdf[list(keep)].reset_index(drop=True), f], axis=1)
@@ -441,7 +451,7 @@ def add_waveform_hash(df: DataFrame, samples: str, name: str = "waveform_sha256"
         return hashlib.sha256(prefix + struct.pack("<q", len(row)) + row.tobytes()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slabs(batches, samples):
             yield pdf.assign(**{name: pdf[samples].map(one)})
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))

@@ -143,3 +143,13 @@ def test_template_features_by_hand(spark):
         assert np.isclose(two[i].hybrid_residual_gain, min(dist["N"], dist["V"]) - near.min(), atol=1e-6) and np.isclose(two[i].hybrid_interiority, 1 - abs(2 * two[i].hybrid_alpha - 1))
         for part, name in ((slice(0, 4), "early"), (slice(4, 8), "mid"), (slice(8, 11), "late")):
             assert np.isclose(two[i][f"{name}_distance_delta"], np.linalg.norm((w - t["N"])[part]) - np.linalg.norm((w - t["V"])[part]))
+
+
+def test_steps_hold_bounded_slabs(spark):
+    """A batch of Arrow is up to 64 MB of samples; the filter pads each row several times over, so a step sees a slab of it."""
+    from pyspark.sql import functions as F
+
+    x = spark.range(0, 900, 1, 1).select("id", F.array_repeat(F.lit(1.0), 2560).alias("piece"))
+    fn = lambda pdf: pdf[["id"]].assign(held=int(pdf["piece"].map(len).sum()))[["held"]]
+    got = Wv._map_pieces(x, ["id"], fn, "held long", ()).collect()
+    assert sorted(r.id for r in got) == list(range(900)) and max(r.held for r in got) <= Wv.SLAB + 2560
