@@ -478,3 +478,13 @@ def test_isotonic_steps_equal_pooling_by_hand(spark, monkeypatch):
     ask = spark.createDataFrame([("b", (s.x_hi * 3 + s.x_up) / 4) for s in (low, high)], "k string, p double")
     got = sorted(x.calibrated for x in C.apply_isotonic(ask, steps, ["k"]).collect())
     assert got == pytest.approx(sorted(s.value + (s.value_up - s.value) / 4 for s in (low, high)))
+
+
+def test_seed_average_ties_do_not_hang_on_the_last_digit(spark):
+    """Three seeds whose exact means of p0 and p2 are equal (58, 104 and 78 parts); as doubles p2 is larger by one unit in the last place."""
+    from pulseframe.operators import matrix as X
+
+    rows = [(1, "a", 0, 0.3620689655172414, 0.02586206896551724, 0.6120689655172413), (1, "a", 0, 0.7019230769230769, 0.19230769230769232, 0.10576923076923077), (1, "a", 0, 0.08974358974358974, 0.47435897435897434, 0.4358974358974359)]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        df = spark.createDataFrame([rows[i] for i in order], "sample_id long, patient_id string, y_true int, p0 double, p1 double, p2 double").coalesce(1)
+        assert [r.y_pred for r in X.seed_average(df, "sample_id", ["p0", "p1", "p2"], 3)[0].collect()] == [0]
