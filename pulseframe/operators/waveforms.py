@@ -501,8 +501,8 @@ def augment(df: DataFrame, keep: Sequence[str], samples: str, kind: str, strengt
         return np.roll(x, int(rng.integers(-int(strength * n), int(strength * n) + 1)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [one(np.asarray(x, dtype=np.float64), np.random.default_rng([seed, int(s)])).tolist() for x, s in zip(pdf[samples], pdf["_seed"])]
+        for pdf in slabs(batches, samples):
+            rows = [one(np.asarray(x, dtype=np.float64), np.random.default_rng([seed, int(s)])) for x, s in zip(pdf[samples], pdf["_seed"])]
             yield pdf[list(keep)].assign(**{samples: rows})
 
     from .ordering import hash_int, stable_hash

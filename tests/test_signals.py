@@ -1,6 +1,7 @@
 """Signals in blocks against the same steps on whole records."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pulseframe.functions import signal as K
@@ -153,3 +154,14 @@ def test_steps_hold_bounded_slabs(spark):
     fn = lambda pdf: pdf[["id"]].assign(held=int(pdf["piece"].map(len).sum()))[["held"]]
     got = Wv._map_pieces(x, ["id"], fn, "held long", ()).collect()
     assert sorted(r.id for r in got) == list(range(900)) and max(r.held for r in got) <= Wv.SLAB + 2560
+
+
+def test_augmentation_returns_bounded_slabs(spark):
+    from pyspark.sql import functions as F
+
+    x = spark.range(0, 3000, 1, 1).select("id", F.array_repeat(F.lit(1.0), 500).alias("w"))
+    got = Wv.augment(x, ["id"], "w", "noise", 0.05, 42)
+    assert got.count() == 3000 and got.filter(F.size("w") == 500).count() == 3000
+    pdf = pd.DataFrame({"w": [np.zeros(500)] * 3000 + [None]})
+    parts = list(Wv.slabs(iter([pdf]), "w"))
+    assert sum(map(len, parts)) == 3001 and max(len(p) for p in parts) * 500 <= Wv.SLAB + 500
