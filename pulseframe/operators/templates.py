@@ -23,18 +23,20 @@ def unit_window(df: DataFrame, samples: str, pre: int, post: int, base: int = 20
     return x.withColumn(name, A.let(norm, lambda n: F.transform("_w", lambda v: F.when(n > eps, v / n).otherwise(0.0)))).drop("_w")
 
 
-def group_prototypes(df: DataFrame, group: str, label: str, vec: str, ident: Sequence[str], k: int = MAX_BEATS_PER_GROUP) -> DataFrame:
-    """Mean unit window per (class, group) of at most k evenly spaced beats, unit length again.
+def group_prototypes(df: DataFrame, group: str, label: str, vec: str, ident: Sequence[str], k: int | None = MAX_BEATS_PER_GROUP) -> DataFrame:
+    """Mean unit window per (class, group) of at most k evenly spaced beats (None: of all beats), unit length again.
 
     Means are built by partial vector sums on the map side.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    h = stable_hash(*ident)
-    x = numbered(df.withColumn("_h", h), [label, group], hash_bucket(F.col("_h")), [F.col("_h")], "_rn")
-    n = df.groupBy(label, group).agg(F.count("*").alias("_c"))
-    x = x.join(n, [label, group]).filter(is_even_position(F.col("_rn") - 1, F.col("_c"), k, rounded=True))
+    x = df
+    if k is not None:
+        h = stable_hash(*ident)
+        x = numbered(df.withColumn("_h", h), [label, group], hash_bucket(F.col("_h")), [F.col("_h")], "_rn")
+        n = df.groupBy(label, group).agg(F.count("*").alias("_c"))
+        x = x.join(n, [label, group]).filter(is_even_position(F.col("_rn") - 1, F.col("_c"), k, rounded=True))
     m = x.groupBy(label, group).agg(Summarizer.mean(array_to_vector(F.col(vec))).alias("_m"), F.count("*").alias("n_beats"))
     m = m.withColumn("_p", vector_to_array("_m"))
     size = F.greatest(F.lit(1e-8), F.sqrt(A.dot("_p", "_p")))

@@ -165,3 +165,11 @@ def test_augmentation_returns_bounded_slabs(spark):
     pdf = pd.DataFrame({"w": [np.zeros(500)] * 3000 + [None]})
     parts = list(Wv.slabs(iter([pdf]), "w"))
     assert sum(map(len, parts)) == 3001 and max(len(p) for p in parts) * 500 <= Wv.SLAB + 500
+
+
+def test_prototypes_of_all_beats(spark):
+    """300 beats of a group: without a bound the mean is that of every beat, as in the SQL of a33; with one, of 256."""
+    df = spark.createDataFrame([(i, "N", 0, [1.0, float(i == 0)]) for i in range(300)], "id long, cls string, grp int, u array<double>")
+    r = Tp.group_prototypes(df, "grp", "cls", "u", ["id"], k=None).collect()[0]
+    assert r.n_beats == 300 and abs(r.prototype[1] / r.prototype[0] - 1 / 300) < 1e-12
+    assert Tp.group_prototypes(df, "grp", "cls", "u", ["id"]).collect()[0].n_beats == 256
