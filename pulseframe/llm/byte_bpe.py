@@ -32,6 +32,9 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+FIRST = {1 << k: k for k in range(64)}  # find-first-set of a word with one bit
+
+
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: re.Pattern) -> None:
         self.ranks, self.pattern = ranks, pattern
@@ -41,9 +44,10 @@ class ByteBPE:
             if len(k) == 2:
                 self._pairs[k[0] << 8 | k[1]] = v
         n = max(ranks.values(), default=0) + 1
+        self._byte_ids = [ranks.get(bytes([b])) for b in range(256)]
         # The bitmap: a bit of `low` per rank, of `mid` per word of `low`, of `top` per word of `mid`.
         self._low, self._mid = [0] * (n // 64 + 1), [0] * (n // 4096 + 1)
-        self._bucket: dict[int, list[int]] = {}
+        self._buckets: list[list[int]] = [[] for _ in range(n)]  # all empty between two pre-tokens
         self._texts = TextEncoder(self._encode_words, self._encode_text, pattern)
 
     def merge(self, token: bytes) -> list[int]:
@@ -53,33 +57,32 @@ class ByteBPE:
         if whole is not None:
             return [whole]
         n = len(token)
-        pairs, low, mid, bucket, rank_of = self._pairs, self._low, self._mid, self._bucket, ranks.get
+        pairs, low, mid, buckets, rank_of, first = self._pairs, self._low, self._mid, self._buckets, ranks.get, FIRST
         top = 0
-        end = list(range(1, n + 1))  # a part runs from its position to end[position]; 0 means merged away
+        ids = [*map(self._byte_ids.__getitem__, token)]  # id of the part that starts here, -1 where it is merged away
+        end = list(range(1, n + 1))  # a part runs from its position to end[position]
         before = list(range(-1, n - 1))
         now = [pairs[a << 8 | b] for a, b in zip(token, token[1:])]  # rank of the pair that starts here
         for i, r in enumerate(now):
             if r >= 0:
-                if r in bucket:
-                    bucket[r].append(i)
-                else:
-                    bucket[r] = [i]
+                b = buckets[r]
+                if not b:
                     w = r >> 6
                     low[w] |= 1 << (r & 63)
                     mid[r >> 12] |= 1 << (w & 63)
                     top |= 1 << (r >> 12)
+                b.append(i)
         now.append(-1)
         while top:
             # Find-first-set on three levels.
             m = (top & -top).bit_length() - 1
             x = mid[m]
-            w = m << 6 | (x & -x).bit_length() - 1
+            w = m << 6 | first[x & -x]
             x = low[w]
-            rank = w << 6 | (x & -x).bit_length() - 1
-            b = bucket[rank]
+            rank = w << 6 | first[x & -x]
+            b = buckets[rank]
             i = heappop(b)
             if not b:
-                del bucket[rank]
                 low[w] = x = x & (x - 1)
                 if not x:
                     mid[m] = x = mid[m] & (mid[m] - 1)
@@ -89,32 +92,39 @@ class ByteBPE:
                 continue
             j = end[i]
             k = end[i] = end[j]
-            now[j] = -1
-            p = before[i]
+            now[j] = ids[j] = -1
+            ids[i] = rank
             if k < n:
                 before[k] = i
-                r = rank_of(token[i : end[k]], -1)
+                now[i] = r = rank_of(token[i : end[k]], -1)
+                if r >= 0:
+                    b = buckets[r]
+                    if b:
+                        heappush(b, i)
+                    else:
+                        b.append(i)
+                        w = r >> 6
+                        low[w] |= 1 << (r & 63)
+                        mid[r >> 12] |= 1 << (w & 63)
+                        top |= 1 << (r >> 12)
             else:
-                r = -1
-            now[i] = r
-            todo = ((i, r),) if p < 0 else ((i, r), (p, rank_of(token[p:k], -1)))
-            for i, r in todo:
-                now[i] = r
+                now[i] = -1
+            i = before[i]
+            if i >= 0:
+                now[i] = r = rank_of(token[i:k], -1)
                 if r >= 0:
-                    if r in bucket:
-                        heappush(bucket[r], i)
+                    b = buckets[r]
+                    if b:
+                        heappush(b, i)
                     else:
-                        bucket[r] = [i]
+                        b.append(i)
                         w = r >> 6
                         low[w] |= 1 << (r & 63)
                         mid[r >> 12] |= 1 << (w & 63)
                         top |= 1 << (r >> 12)
-        out, i = [], 0
-        while i < n:
-            k = end[i]
-            out.append(ranks[token[i:k]])
-            i = k
-        return out
+        if None in ids:
+            raise KeyError("a byte of the text is not in the vocabulary")
+        return [v for v in ids if v != -1]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (self.merge(w.encode("utf-8", "surrogatepass")) for w in words)]

@@ -128,6 +128,23 @@ def test_regular_white_space():
     assert not any(map(regular, ["a  b", " a", "a\n", "a\n\nb", "a \nb", "a\tb", "a\xa0b", "a\0b", "a\u2003b"]))
 
 
+def test_bitmap_merge_equals_lowest_rank_first():
+    """Random and repetitive tokens against a plain scan for the lowest rank; the buckets are kept for the next token and must be empty between two."""
+    import random
+
+    enc, r = byte_bpe.encoder(MULTI, P.PATTERN), random.Random(5)
+    for _ in range(400):
+        token = r.choice([bytes(r.randrange(256) for _ in range(r.randrange(40))), bytes(r.choice(b"ab e") for _ in range(r.randrange(80))), b"a" * r.randrange(60)])
+        parts = [token[i : i + 1] for i in range(len(token))] if token not in enc.ranks else [token]
+        while len(parts) > 1:
+            rank, i = min((enc.ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == 1 << 40:
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert enc.merge(token) == [enc.ranks[x] for x in parts]
+        assert not any(enc._buckets) and not any(enc._low) and not any(enc._mid)
+
+
 def test_byte_bpe_operator(spark):
     tk = tiktoken_encoding()
     rows = [(1, "some text\nhere"), (1, "some text\nhere"), (None, "x"), (2, None), (3, ""), (4, "w" * 70_000)]
