@@ -23,7 +23,7 @@ from heapq import heappop, heappush
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_batches, slices
+from .common import map_batches, slices, worker_cache
 from .pretokens import WHITE, TextEncoder
 
 
@@ -171,7 +171,7 @@ def compile_pattern(pattern: str) -> re.Pattern:
     return re.compile(p.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
 
 
-@lru_cache(maxsize=2)
+@worker_cache("byte_bpe")
 def encoder(path: str, pattern: str) -> ByteBPE:
     """One per Python worker."""
     return ByteBPE(load_ranks(path), compile_pattern(pattern))
@@ -205,5 +205,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             yield pa.RecordBatch.from_pydict(rows, schema=out_schema)
 
     schema = "id long, n_tokens long, " + ("ids array<int>, " if ids else "") + "ids_sha256 string, decoded_sha256 string, exact boolean"
-    out = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema)
+    out = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), run, schema, keeps="byte_bpe")
     return out.withColumnRenamed("id", id_col)

@@ -54,9 +54,30 @@ def tidy() -> None:
         _libc().malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow that leaves no free memory behind in the worker."""
+_CACHES: dict[str, Callable[[], None]] = {}  # of this Python worker: name of a step and what drops its cache
+
+
+def worker_cache(name: str):
+    """One value per worker, kept between the tasks of the step `name`; tasks of other steps drop it."""
+    def deco(make):
+        cached = lru_cache(maxsize=1)(make)
+        _CACHES[name] = cached.cache_clear
+        return cached
+
+    return deco
+
+
+def release(keeps: str = "") -> None:
+    """Drop what other steps keep in this worker."""
+    for name, drop in _CACHES.items():
+        if name != keeps:
+            drop()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keeps: str = "") -> DataFrame:
+    """mapInArrow that leaves no free memory behind in the worker, nor a cache but that of the step `keeps`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(keeps)
         yield from fn(batches)
         tidy()
 

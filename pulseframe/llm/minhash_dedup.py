@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import BROADCAST_IDS, clean_name, components, map_batches, pinned, slices, without
+from .common import BROADCAST_IDS, clean_name, components, map_batches, pinned, slices, without, release
 
 DENSE = 32  # members from which sub-regions are used as well
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -148,6 +148,7 @@ def _cross(least: int, depth: int, num: int, den: int):
     differ and enough minima are equal, and confirmed on the full sets.
     """
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         sig = np.frombuffer(b"".join(rows["sig"]), "<u4").reshape(len(rows), -1)
         sets = [np.frombuffer(v, np.uint64) for v in rows["set"]]
         ids, comp, side = (rows[c].to_numpy() for c in ("id", "comp", "side"))

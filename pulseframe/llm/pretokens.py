@@ -29,50 +29,82 @@ class TextEncoder:
     `encode_words` does the same for a list of words, `encode_text` for one text with any white space.
     Words are split off only where all characters are below `plain`, so that no two versions of
     Unicode can disagree about their classes; other pieces go to `encode_text`.
+
+    In the cache a piece or word that starts with a space goes without it, a piece that starts with a line feed
+    as it is, anything else behind a NUL; so one split of a text gives the keys of its pieces, each looked up once.
+    Texts are taken `at_once` characters at a time, which bounds the pieces held.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 700_000, longest: int = 100) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 700_000, longest: int = 100, at_once: int = 1 << 20) -> None:
         self._words_of, self._text, self._split, self._plain = encode_words, encode_text, pattern.findall, plain
-        self._most, self._longest = entries, longest
+        self._most, self._longest, self._at_once = entries, longest, at_once
         self._seen: dict[str, bytes] = {}  # pieces and words
 
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of pieces not seen before; long ones are returned and not kept."""
+        """Ids of pieces not seen before, by their keys; long ones are returned and not kept."""
         once: dict[str, bytes] = {}
-        new: list[str] = []
+        new: dict[str, str] = {}
         cut: list[tuple[str, list[str]]] = []
-        for p in unknown:
-            if len(p) > self._longest or max(p) >= self._plain:
-                once[p] = self._text(p)
-            elif (p[1:] if p[0] == " " else p).isalpha():  # letters only: a word as it is
-                new.append(p)
+        for k in unknown:
+            if len(k) > self._longest or not (k.isascii() or max(k) < self._plain):
+                once[k] = self._text(_piece(k))
+            elif k.isalpha():  # a space and letters: a word as it is
+                new[k] = " " + k
             else:
-                cut.append((p, self._split(p)))
+                cut.append((k, [_key(w) for w in self._split(_piece(k))]))
         seen = self._seen
-        new += set().union(*(w for _, w in cut)).difference(seen, new)
-        seen.update(zip(new, self._words_of(new)))
+        for w in set().union(*(w for _, w in cut)).difference(seen, new):
+            new[w] = w[1:] if w[0] == "\0" else " " + w
+        seen.update(zip(new, self._words_of(list(new.values()))))
         get = seen.__getitem__
-        for p, w in cut:
-            seen[p] = b"".join(map(get, w))
+        for k, w in cut:
+            seen[k] = b"".join(map(get, w))
         return once
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= self._at_once:
+                out += self._encode_group(group)
+                group, size = [], 0
+        return out + self._encode_group(group)
+
+    def _encode_group(self, texts: list[str]) -> list[bytes]:
         seen = self._seen
         if len(seen) > self._most:
             seen.clear()
         out: list[bytes] = [b""] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        open_: list[tuple[int, list, list[tuple[int, str]]]] = []
+        unknown: set[str] = set()
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if regular(t):  # a piece starts with its space or its line feed; the first has neither
-                cut.append((i, t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")))
-            else:
+            if not regular(t):
                 out[i] = self._text(t)
-        once = self._learn(set().union(*(p for _, p in cut)).difference(seen))
-        for i, pieces in cut:
-            if once:
-                out[i] = b"".join([seen[p] if p in seen else once[p] for p in pieces])
+                continue
+            keys = ("\0" + t).replace("\n", " \n").split(" ")
+            got = list(map(seen.get, keys))
+            holes = [(j, keys[j]) for j, v in enumerate(got) if v is None]
+            if holes:
+                unknown.update(k for _, k in holes)
+                open_.append((i, got, holes))
             else:
-                out[i] = b"".join(map(seen.__getitem__, pieces))
+                out[i] = b"".join(got)
+        once = self._learn(unknown) if unknown else {}
+        for i, got, holes in open_:
+            for j, k in holes:
+                got[j] = once[k] if k in once else seen[k]
+            out[i] = b"".join(got)
         return out
+
+
+def _piece(key: str) -> str:
+    return key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key
+
+
+def _key(word: str) -> str:
+    return word[1:] if word[0] == " " and len(word) > 1 else "\0" + word

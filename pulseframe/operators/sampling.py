@@ -149,34 +149,14 @@ def gaussian(x: Column, h: Column, sigma: float) -> Column:
     return let(h, lambda k: F.transform(x, lambda v, i: noisy(v, i, k)))
 
 
-def neighbour_pairs(df: DataFrame, ident: str, vec: str, k: int, where: Column | None = None) -> DataFrame:
-    """The k nearest rows of every row by Euclidean distance (qid, id, rank), self excluded.
-
-    Blocks of queries meet blocks of rows, one matrix product each; only each block's nearest rows
-    leave it. Ties go to the smaller id.
-    """
+def neighbour_pairs(df: DataFrame, ident: str, vec: str, k: int, where: Column | None = None, queries: Column | None = None) -> DataFrame:
+    """The k nearest rows of every row, or of those in `queries`, by Euclidean distance (qid, id, dist, rank), self excluded. Ties go to the smaller id."""
+    from .neighbours import nearest_rows
     from .ordering import top_k
-    from .search import block_pairs
-
-    src = (df if where is None else df.filter(where)).select(F.col(ident).alias("id"), F.col(vec).alias("v"))
-    t = dict(src.dtypes)["id"]
-    hits = block_pairs(src.withColumnRenamed("id", "qid"), src).applyInPandas(_nearest(k), f"qid {t}, id {t}, dist double")
-    return top_k(hits, ["qid"], [F.col("dist"), F.col("id")], k, "id")
-
-
-def _nearest(k: int):
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"qid": q["qid"][:0], "id": c["id"][:0], "dist": np.zeros(0)})
-        c = c.sort_values("id", kind="stable")  # so that a stable sort breaks ties by id
-        m, v = (np.vstack(x["v"].to_numpy()).astype(np.float64) for x in (q, c))
-        d = np.sqrt(np.maximum(0.0, (m * m).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * m @ v.T)).round(9)
-        d[q["qid"].to_numpy()[:, None] == c["id"].to_numpy()[None, :]] = np.inf  # not its own neighbour
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), best.shape[1]), "id": c["id"].to_numpy()[best.ravel()], "dist": np.take_along_axis(d, best, 1).ravel()})
-        return out[np.isfinite(out["dist"])]
 
-    return run
+    rows = lambda to, c: (df if c is None else df.filter(c)).select(F.col(ident).alias(to), F.col(vec).alias("v"))
+    hits = nearest_rows(rows("qid", where if queries is None else queries), rows("id", where), k, euclidean=True)
+    return top_k(hits.select("qid", "id", F.abs("score").alias("dist")), ["qid"], [F.col("dist"), F.col("id")], k, "id")
 
 
 def smote(df: DataFrame, cls: str, ident: str, vec: str, value, n_new: int, k: int = 5, seed: int = 42) -> DataFrame:
@@ -196,7 +176,7 @@ def smote(df: DataFrame, cls: str, ident: str, vec: str, value, n_new: int, k: i
 def adasyn_quota(df: DataFrame, cls: str, ident: str, vec: str, value, n_new: int, k: int = 5) -> DataFrame:
     """H13 (ADASYN): new rows per minority row, in proportion to its neighbours of other classes."""
     lab = df.select(F.col(ident).alias("id"), F.col(cls).alias("_l"))
-    nn = neighbour_pairs(df, ident, vec, k).join(lab, "id")
+    nn = neighbour_pairs(df, ident, vec, k, queries=F.col(cls) == F.lit(value)).join(lab, "id")
     hard = nn.groupBy("qid").agg(F.avg(F.when(F.col("_l") == F.lit(value), 0.0).otherwise(1.0)).alias("r"))
     own = df.filter(F.col(cls) == F.lit(value)).select(F.col(ident).alias("qid"))
     h = own.join(hard, "qid")

@@ -100,19 +100,6 @@ def bm25(index: DataFrame, queries: DataFrame, qid: str, text: str, n: int, stem
 
 # ---- vector search ----------------------------------------------------------------------
 
-QUERY_BLOCK, CHUNK_BLOCK = 1024, 4096
-
-
-def block_pairs(q: DataFrame, src: DataFrame):
-    """Every block of queries (qid, v) grouped with every block of vectors (id, v), by an equi join on block numbers."""
-    nq, nc = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-src.count() // CHUNK_BLOCK))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = q.select(part("qid", nq).alias("qb"), every(nc).alias("cb"), "qid", F.col("v").alias("v")).groupBy("qb", "cb")
-    right = src.select(every(nq).alias("qb"), part("id", nc).alias("cb"), "id", F.col("v").alias("v")).groupBy("qb", "cb")
-    return left.cogroup(right)
-
-
 def knn(chunks: DataFrame, queries: DataFrame, fetch_k: int, id_: str = "id", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding", where: Column | None = None) -> DataFrame:
     """Cosine top `fetch_k` chunks per query, ties by id.
 

@@ -570,3 +570,28 @@ def test_pipeline_stages(spark):
         if name == "minhash_dedup":
             assert set(after) == {r[0] for r in near_by_hand(list(before.items()), 5, 4, 5) if r[3]}
         docs = out
+
+
+def test_cached_pieces_are_bounded_and_words_in_one_call_equal_single_ones(monkeypatch):
+    """op10: the packer's encoder against the library; no more than `at_once` characters are held."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from pulseframe.llm import common, packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = packing.text_encoder(path, public_tokenizers.PATTERN)
+    monkeypatch.setattr(packing, "JOINT", 3)
+    monkeypatch.setattr(tok, "_at_once", 40)
+    held = []
+    monkeypatch.setattr(tok, "_encode_group", lambda g, f=tok._encode_group: held.append(sum(map(len, g))) or f(g))
+    lib = Tokenizer.from_file(path)
+    lib.encode_special_tokens = True
+    texts = ["word anything été's 1st", "a\nb c don't\n\nx", "", "naïve Straße, Ɐ wörter", "\nlead", "x y z w v u t s", "plain words of one space and letters only", "words words\nwords"]
+    assert [[*memoryview(b).cast("I")] for b in tok.encode_many(texts * 3)] == [e.ids for e in lib.encode_batch(texts * 3, add_special_tokens=False)]
+    assert max(held) < 40 + max(map(len, texts))
+    # pipeline: a worker drops the cache of the step before when it starts on another
+    common.release("packing")
+    assert packing.text_encoder.cache_info().currsize == 1
+    common.release("other")
+    assert packing.text_encoder.cache_info().currsize == 0
