@@ -8,27 +8,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-# Vectors in one block; a task holds a block of queries and one block of rows at a time.
-QUERY_BLOCK, CHUNK_BLOCK = 16384, 8192
 SLAB = 512  # queries in one matrix product
 MANY = 200_000  # candidate pairs that are scored at once
 
 
-def nearest_rows(q: DataFrame, src: DataFrame, k: int, euclidean: bool = False) -> DataFrame:
+def nearest_rows(q: DataFrame, src: DataFrame, k: int, sizes: tuple[int, int], euclidean: bool = False) -> DataFrame:
     """Some rows (qid, id, score) of every query (qid, v) that hold its k best of `src` (id, v): cosine, or the negative distance to others than itself.
 
-    A block is one row with all its vectors. Blocks of rows are dealt to every block of queries, whose task goes
+    A block is one row with all its vectors, of queries and of rows at most about `sizes`. Blocks of rows are dealt to every block of queries, whose task goes
     through them one by one and keeps the k best so far. Scores are rounded to 9 digits, ties go to the smaller id.
     """
     cores = q.sparkSession.sparkContext.defaultParallelism
     n = q.count()
-    nq = max(1, -(-n // QUERY_BLOCK), min(cores, n // 64))
-    nc = max(1, -(-src.count() // CHUNK_BLOCK))
+    nq = max(1, -(-n // sizes[0]), min(3 * cores, n // 256))
+    nc = max(1, -(-src.count() // sizes[1]))
     block = lambda df, key, of, name: df.groupBy(F.pmod(F.xxhash64(key), F.lit(of)).cast("int").alias("_" + name)).agg(F.collect_list(F.struct(key, "v")).alias(name))
     left = block(q, "qid", nq, "q").withColumnRenamed("_q", "qb")
     right = block(src, "id", nc, "c").select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), "c")
     kinds = f"qid {dict(q.dtypes)['qid']}, id {dict(src.dtypes)['id']}, score double"
-    return left.join(right, "qb").select("qb", "q", "c").mapInArrow(_scan(k, euclidean), kinds)
+    # sorted by block, so that a block of queries is read once
+    return left.join(right.hint("merge"), "qb").select("qb", "q", "c").mapInArrow(_scan(k, euclidean), kinds)
 
 
 def _unpacked(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
@@ -79,7 +78,7 @@ class Best:
             if self.euclidean:
                 key -= half.astype(np.float32)
             bound = np.maximum(least[s : s + SLAB], self._lower(key)) - margin[s : s + SLAB]
-            r, j = np.nonzero(key >= bound[:, None].astype(np.float32))
+            r, j = np.divmod(np.flatnonzero(key >= bound[:, None].astype(np.float32)), len(c))
             for t in range(0, len(r), MANY):
                 rr, jj = r[t : t + MANY] + s, j[t : t + MANY]
                 own = np.zeros(len(rr), bool)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -153,9 +153,10 @@ def neighbour_pairs(df: DataFrame, ident: str, vec: str, k: int, where: Column |
     """The k nearest rows of every row, or of those in `queries`, by Euclidean distance (qid, id, dist, rank), self excluded. Ties go to the smaller id."""
     from .neighbours import nearest_rows
     from .ordering import top_k
+    from .search import CHUNK_BLOCK, QUERY_BLOCK
 
     rows = lambda to, c: (df if c is None else df.filter(c)).select(F.col(ident).alias(to), F.col(vec).alias("v"))
-    hits = nearest_rows(rows("qid", where if queries is None else queries), rows("id", where), k, euclidean=True)
+    hits = nearest_rows(rows("qid", where if queries is None else queries), rows("id", where), k, (QUERY_BLOCK, CHUNK_BLOCK), euclidean=True)
     return top_k(hits.select("qid", "id", F.abs("score").alias("dist")), ["qid"], [F.col("dist"), F.col("id")], k, "id")
 
 

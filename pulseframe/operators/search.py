@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as TX
+from .neighbours import nearest_rows
 from .ordering import top_k
 
 # ---- index ------------------------------------------------------------------------------
@@ -100,35 +99,15 @@ def bm25(index: DataFrame, queries: DataFrame, qid: str, text: str, n: int, stem
 
 # ---- vector search ----------------------------------------------------------------------
 
-def knn(chunks: DataFrame, queries: DataFrame, fetch_k: int, id_: str = "id", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding", where: Column | None = None) -> DataFrame:
-    """Cosine top `fetch_k` chunks per query, ties by id.
+# Vectors in one block; a task holds a block of queries and one block of rows at a time.
+QUERY_BLOCK, CHUNK_BLOCK = 16384, 8192
 
-    Queries and chunks are hashed into blocks of bounded size; every block of queries meets every
-    block of chunks in a group of its own, one matrix product each, and keeps its best fetch_k per
-    query. One plan, nothing passes through the driver but two counts.
-    """
+
+def knn(chunks: DataFrame, queries: DataFrame, fetch_k: int, id_: str = "id", vec: str = "embedding", qid: str = "qid", qvec: str = "embedding", where: Column | None = None) -> DataFrame:
+    """Cosine top `fetch_k` chunks per query, ties by id."""
     src = (chunks if where is None else chunks.filter(where)).select(F.col(id_).alias("id"), F.col(vec).alias("v"))
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("v"))
-    hits = block_pairs(q, src).applyInPandas(_block_topk(fetch_k), f"qid {dict(q.dtypes)['qid']}, id {dict(src.dtypes)['id']}, score double")
-    return top_k(hits, ["qid"], [F.desc("score"), F.col("id")], fetch_k, "id")
-
-
-def _unit(m: np.ndarray) -> np.ndarray:
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-
-def _block_topk(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"qid": q["qid"][:0], "id": c["id"][:0], "score": np.zeros(0)})
-        c = c.sort_values("id", kind="stable")  # so that a stable sort breaks ties by id
-        matrix = lambda x: _unit(np.vstack(x.to_numpy()).astype(np.float64))
-        sim = np.round(matrix(q["v"]) @ matrix(c["v"]).T, 9)
-        best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"qid": np.repeat(q["qid"].to_numpy(), best.shape[1]), "id": c["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(sim, best, 1).ravel()})
-
-    return run
+    return top_k(nearest_rows(q, src, fetch_k, (QUERY_BLOCK, CHUNK_BLOCK)), ["qid"], [F.desc("score"), F.col("id")], fetch_k, "id")
 
 
 def filter_tags(hits: DataFrame, chunks: DataFrame, tags: Sequence[str], k: int, id_: str = "id") -> DataFrame:
