@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as TX
+from ..session import pinned
 from .neighbours import nearest_rows
 from .ordering import top_k
 
@@ -46,13 +47,15 @@ def build_index(
     cols = [*first, *[c for c in clean.columns if c not in (*first, "chunk_id")]]
     g = clean.groupBy("chunk_id").agg(F.min(F.struct(*cols)).alias("_f"), F.count("*").alias("_n"))
     kept = g.select("chunk_id", "_f.*").select(*clean.columns)
-    copies = g.filter("_n > 1").select("chunk_id", F.col("_f.source").alias("source"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("_n"))).alias("_c"))
     if embed is not None:
         kept = kept.withColumn("embedding", embed(F.col("content")))
-    rejects = x.filter(F.size("matches") > 0).select(
-        F.lit("PII_DETECTED").alias("reason"), F.col(source).alias("source"), TX.chunk_id(F.col(source), F.col("content")).alias("chunk_id"), F.size("matches").alias("n_matches"))
-    dup = copies.select(F.lit("DUPLICATE_CHUNK_ID").alias("reason"), "source", "chunk_id", F.lit(0).alias("n_matches"))
-    return kept, rejects.unionByName(dup)
+    # texts are chunked once for both reasons: equal ids hold equally many matches, so a count tells how many rows to give
+    r = x.select(F.col(source).alias("source"), TX.chunk_id(F.col(source), F.col("content")).alias("chunk_id"), F.size("matches").alias("n_matches"))
+    r = r.groupBy("chunk_id", "source", "n_matches").agg(F.count("*").alias("_n"))
+    r = r.withColumn("_n", F.when(F.col("n_matches") > 0, F.col("_n")).otherwise(F.col("_n") - 1)).filter("_n > 0")
+    reason = F.when(F.col("n_matches") > 0, "PII_DETECTED").otherwise("DUPLICATE_CHUNK_ID")
+    rejects = r.select(reason.alias("reason"), "source", "chunk_id", "n_matches", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_c")).drop("_c")
+    return kept, rejects
 
 
 def index_lineage(chunks: DataFrame) -> DataFrame:
@@ -65,9 +68,13 @@ def index_lineage(chunks: DataFrame) -> DataFrame:
 
 # ---- keyword search ---------------------------------------------------------------------
 
+# Words of queries are broadcast up to this many, joined by a shuffle beyond.
+BROADCAST_TERMS = 200_000
+
+
 def postings(docs: DataFrame, id_: str, text: str, stemmed: bool = False) -> DataFrame:
-    """Inverted index: (id, term, tf), counted map-side before the shuffle."""
-    t = docs.select(F.col(id_).alias("id"), F.explode(TX.words(F.col(text))).alias("term"))
+    """Inverted index: (id, term, tf). Texts are dealt by id, so that their words, which take more room, are counted where they are."""
+    t = docs.select(F.col(id_).alias("id"), F.col(text).alias("_t")).repartition("id").select("id", F.explode(TX.words(F.col("_t"))).alias("term"))
     n = t.groupBy("id", "term").agg(F.count("*").alias("tf"))
     if not stemmed:
         return n
@@ -77,15 +84,19 @@ def postings(docs: DataFrame, id_: str, text: str, stemmed: bool = False) -> Dat
 def bm25(index: DataFrame, queries: DataFrame, qid: str, text: str, n: int, stemmed: bool = False, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 top n per query; a document must hold every term of the query.
 
-    Candidates come from the rarest term of each query only; the other terms are looked up
-    by (id, term), so common words never expand to their full posting lists.
+    Only postings of words in queries are joined; the rest of the index counts for lengths alone. Candidates come from
+    the rarest term of each query only; the other terms are looked up by (id, term), so common words never expand to
+    their full posting lists.
     """
     q = queries.select(F.col(qid).alias("qid"), F.explode(TX.words(F.col(text))).alias("term"))
     if stemmed:
         q = q.withColumn("term", TX.stem("term"))
-    q = q.groupBy("qid", "term").agg(F.count("*").alias("qf"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    q = pinned(q.groupBy("qid", "term").agg(F.count("*").alias("qf")))
+    asked = q.select("term").distinct()
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
     length = index.groupBy("id").agg(F.sum("tf").alias("len"))
+    index = pinned(index.join(asked, "term", "left_semi"))
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
     stats = length.agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
     qt = q.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     rare = qt.groupBy("qid").agg(F.min(F.struct("df", "term")).alias("m"), F.count("*").alias("n_terms")).filter("m.df > 0")

@@ -265,7 +265,8 @@ def j11(spark, sf):
 def x5(spark, sf):
     d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", F.lit("GENERAL").alias("layer"), F.lit("unversioned").alias("version"),
                                                F.array(F.col("lang"), F.lit("doc")).alias("tags"), F.col("text").alias("content"))
-    return S.context_block(_hybrid(spark, sf)[1].join(d, "id"))
+    hits = pinned(_hybrid(spark, sf)[1])  # five per query; the texts stay where they are
+    return S.context_block((F.broadcast(hits) if hits.count() <= S.BROADCAST_TERMS else hits).join(d, "id"))
 
 
 @R.add("a42_retrieval_quality", KNN_SQL.format(where="WHERE a.vec_id <> b.vec_id", k=5) + """, p AS (SELECT qid, min(CASE WHEN l = ql THEN rank END) AS f, count(*) FILTER (l = ql) AS h, count(*) AS n FROM k GROUP BY 1), x AS (SELECT a.vec_id AS qid, (SELECT count(*) FROM e b WHERE b.label = a.label) - 1 AS ne FROM e a)
