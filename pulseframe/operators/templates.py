@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import arrays as A
 from .sampling import is_even_position
 from .ordering import hash_bucket, numbered, stable_hash
+from .waveforms import SLAB
 
 MAX_BEATS_PER_GROUP = 256
 
@@ -44,7 +47,10 @@ def group_prototypes(df: DataFrame, group: str, label: str, vec: str, ident: Seq
 
 
 def fit_bank(prototypes: DataFrame, label: str, counts: dict[str, int], seed: int = 42) -> dict[str, np.ndarray]:
-    """KMeans centres of the prototypes of each class; a bank has `counts` rows per class."""
+    """KMeans centres of the prototypes of each class; a bank has `counts` rows per class.
+
+    The prototypes are read once per class and twice for its centres: give them pinned.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -84,67 +90,91 @@ NVF_FEATURES = [
 EPS = 1e-8
 
 
-def _minus(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x - y)
-
-
-def _length(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
-
-
-def _slopes(a: Column) -> Column:
-    n = F.size(a) - 1
-    return _minus(F.slice(a, F.lit(2), n), F.slice(a, F.lit(1), n))
-
-
-def _over(a: Column, b: Column) -> Column:
-    return a / F.greatest(b, F.lit(EPS))
-
+def _sum(rows: np.ndarray) -> np.ndarray:
+    """Sums of the columns, from the first row to the last."""
+    return np.add.reduce(rows, axis=0)
 
-def closest(window: Column, bank: np.ndarray) -> Column:
-    """The template of a bank that correlates best with a unit window (the first of equals), as a struct: corr, distance, slope_corr, template."""
-    rows = F.lit([[float(v) for v in t] for t in bank])
-    seen = F.transform(rows, lambda t, i: F.struct(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), A.dot(window, t))).alias("corr"), (-i).alias("rank"), t.alias("template")))
 
-    def described(m: Column) -> Column:
-        cosine = A.let(F.struct(_slopes(window).alias("d"), _slopes(m["template"]).alias("e")), lambda s: _over(_over(A.dot(s["d"], s["e"]), _length(s["d"])), _length(s["e"])))
-        return F.struct(m["corr"].alias("corr"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * m["corr"])).alias("distance"), cosine.alias("slope_corr"), m["template"].alias("template"))
+def _length(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(_sum(rows * rows))
 
-    return A.let(F.array_max(seen), described)
 
+def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a / np.maximum(b, EPS)
 
-def _between(window: Column, n: Column, v: Column, thirds: list[tuple[int, int]]) -> Column:
-    """Where a window lies on the line from its N template to its V template, and which third is nearer to which: a struct."""
-    def placed(s: Column) -> Column:
-        alpha = F.greatest(F.lit(0.0), F.least(F.lit(1.0), _over(A.dot(s["own"], s["axis"]), F.pow(_length(s["axis"]), 2))))
-        return A.let(alpha, lambda a: F.struct(a.alias("alpha"), _length(F.zip_with(s["own"], s["axis"], lambda x, d: x - a * d)).alias("residual")))
 
-    part = lambda t, at: _length(_minus(A.window(window, *at), A.window(t, *at)))
-    nearer = [(part(n["template"], at) - part(v["template"], at)).alias(w) for at, w in zip(thirds, ("early", "mid", "late"))]
-    at = A.let(F.struct(_minus(v["template"], n["template"]).alias("axis"), _minus(window, n["template"]).alias("own")), placed)
-    return F.struct(at.alias("at"), *nearer)
+def closest(w: np.ndarray, bank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every unit window (one a column) the template of a bank that correlates best (the first of equals): corr, distance, slope_corr, template."""
+    seen = np.stack([np.maximum(-1.0, np.fmin(1.0, _sum(w * t[:, None]))) for t in bank])
+    at = seen.argmax(axis=0)
+    corr, t = np.take_along_axis(seen, at[None], 0)[0], bank.T[:, at]
+    d, e = np.diff(w, axis=0), np.diff(t, axis=0)
+    return corr, np.sqrt(np.maximum(0.0, 2 - 2 * corr)), _over(_over(_sum(d * e), _length(d)), _length(e)), t
 
 
-def template_features(df: DataFrame, keep: Sequence[str], vec: str, bank: dict[str, np.ndarray]) -> DataFrame:
-    """Features of every unit window against a bank of fixed size (classes N and V, or N, V and F), as column expressions."""
+def _of_bank(w: np.ndarray, bank: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Template features of unit windows (one a column) by name."""
     classes = [c for c in "NVF" if c in bank]
     pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
-    x = df.select(*keep, vec).withColumns({f"_{c}": closest(F.col(vec), bank[c]) for c in classes})
-    m = {c: F.col(f"_{c}") for c in classes}
     name = lambda base, a, b: base + (f"_{a}{b}" if len(classes) > 2 else "")
-    out: dict[str, Column] = {}
+    corr, dist, slope, template = ({}, {}, {}, {})
+    for c in classes:
+        corr[c], dist[c], slope[c], template[c] = closest(w, bank[c])
+    out: dict[str, np.ndarray] = {}
     for c in classes:
-        out |= {f"template_corr_{c}": m[c]["corr"], f"template_distance_{c}": m[c]["distance"], f"derivative_corr_{c}": m[c]["slope_corr"]}
+        out |= {f"template_corr_{c}": corr[c], f"template_distance_{c}": dist[c], f"derivative_corr_{c}": slope[c]}
     for a, b in pairs:
-        out |= {name("template_corr_delta", a, b): m[a]["corr"] - m[b]["corr"], name("template_distance_ratio", a, b): _over(m[a]["distance"], m[b]["distance"]), name("derivative_corr_delta", a, b): m[a]["slope_corr"] - m[b]["slope_corr"]}
+        out |= {name("template_corr_delta", a, b): corr[a] - corr[b], name("template_distance_ratio", a, b): _over(dist[a], dist[b]), name("derivative_corr_delta", a, b): slope[a] - slope[b]}
     if "F" in bank:
-        over = {c: m["F"]["corr"] - m[c]["corr"] for c in "NV"}
-        out |= {"template_F_margin_over_N": over["N"], "template_F_margin_over_V": over["V"], "template_F_margin_over_NV": F.least(over["N"], over["V"])}
-    else:
-        size = len(bank["N"][0])
-        ends = [0, *np.cumsum([size // 3 + (i < size % 3) for i in range(3)]).tolist()]
-        x = x.withColumn("_b", _between(F.col(vec), m["N"], m["V"], [(a, b - a) for a, b in zip(ends, ends[1:])]))
-        alpha, residual = F.col("_b.at.alpha"), F.col("_b.at.residual")
-        out |= {"hybrid_alpha": alpha, "hybrid_interiority": 1 - F.abs(2 * alpha - 1), "hybrid_residual": residual, "hybrid_residual_gain": F.least(m["N"]["distance"], m["V"]["distance"]) - residual}
-        out |= {f"{w}_distance_delta": F.col(f"_b.{w}") for w in ("early", "mid", "late")}
-    return x.select(*keep, *[out[n].alias(n) for n in (NVF_FEATURES if "F" in bank else NV_FEATURES)])
+        n, v = corr["F"] - corr["N"], corr["F"] - corr["V"]
+        return out | {"template_F_margin_over_N": n, "template_F_margin_over_V": v, "template_F_margin_over_NV": np.fmin(n, v)}
+    # where a window lies on the line from its N template to its V template, and which third is nearer to which
+    n, v = template["N"], template["V"]
+    own, axis = w - n, v - n
+    alpha = np.maximum(0.0, np.fmin(1.0, _over(_sum(own * axis), _length(axis) ** 2)))
+    residual = _length(own - alpha * axis)
+    out |= {"hybrid_alpha": alpha, "hybrid_interiority": 1 - np.abs(2 * alpha - 1), "hybrid_residual": residual, "hybrid_residual_gain": np.fmin(dist["N"], dist["V"]) - residual}
+    size = len(w)
+    ends = [0, *np.cumsum([size // 3 + (i < size % 3) for i in range(3)]).tolist()]
+    for part, a, b in zip(("early", "mid", "late"), ends, ends[1:]):
+        out[f"{part}_distance_delta"] = _length((w - n)[a:b]) - _length((w - v)[a:b])
+    return out
+
+
+def template_features(df: DataFrame, keep: Sequence[str], vec: str, bank: dict[str, np.ndarray]) -> DataFrame:
+    """Features of every unit window against a bank of fixed size (classes N and V, or N, V and F)."""
+    return template_features_of(df, keep, vec, {0: bank}, "_key").drop("_key")
+
+
+def template_features_of(df: DataFrame, keep: Sequence[str], vec: str, banks: dict[int, dict[str, np.ndarray]], key: str) -> DataFrame:
+    """The features against several banks of the same classes in one pass: a row per window and bank, `key` the bank's.
+
+    A task holds the windows of one slab as a matrix. A window that is null or of another length than the templates has null features.
+    """
+    names = NVF_FEATURES if "F" in next(iter(banks.values())) else NV_FEATURES
+    size = len(next(iter(banks.values()))["N"][0])
+    fields = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*[fields[c] for c in keep], T.StructField(key, T.IntegerType()), *[T.StructField(n, T.DoubleType()) for n in names]])
+    rows = max(1, SLAB // size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                windows = part.column(len(keep))
+                fit = pc.fill_null(pc.equal(pc.list_value_length(windows), size), False)
+                w = np.ascontiguousarray(windows.filter(fit).flatten().to_numpy(zero_copy_only=False).reshape(-1, size).T)
+                whole, mask = w.shape[1] == part.num_rows, fit.to_numpy(zero_copy_only=False)
+                for k, bank in banks.items():
+                    with np.errstate(invalid="ignore"):
+                        got = _of_bank(w, bank)
+                    cols = []
+                    for n in names:
+                        v = got[n]
+                        if not whole:
+                            v = np.zeros(part.num_rows)
+                            v[mask] = got[n]
+                        cols.append(pa.array(v, pa.float64(), mask=None if whole else ~mask))
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.full(part.num_rows, k, np.int32)), *cols], names=[*keep, key, *names])
+
+    return df.select(*keep, A.doubles(vec).alias("_vec")).mapInArrow(run, schema)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ontology as O
 from ..operators import sequences as S, waveforms as Wv
+from ..session import pinned
 
 KEYS = ["dataset", "record_id"]
 
@@ -57,26 +57,34 @@ def manifest(beats: DataFrame) -> DataFrame:
     return beats.rollup("dataset").agg(F.count("*").alias("n_beats"), F.countDistinct("record_id").alias("n_records"), *one)
 
 
+def bundle_inputs(beats: DataFrame) -> DataFrame:
+    """What G14 needs of the beats: keys, peak, labels, base features and the unit window `_u` instead of the waveform."""
+    from ..operators import templates as Tp
+
+    return Tp.unit_window(beats, "waveform", 60, 90).select(*KEYS, "ann_idx", "peak", "label", "y", *FEATURES, "_u")
+
+
 def candidate_bundle(beats: DataFrame, folds: DataFrame, test_folds: Sequence[int], group: str = "record_id", templates: dict[str, int] | None = None) -> DataFrame:
     """Base features, causal intervals and templates, one bundle of all beats per test fold.
 
-    The templates of a bundle are fitted on the groups outside its test fold; the rest is the same in all.
+    `beats` come from `bundle_inputs`, pinned. The templates of a bundle are fitted on the groups outside its test fold; the
+    rest is the same in all. A prototype belongs to one group, so prototypes are made once and every fold takes its own;
+    the features against the banks of all folds come from one pass over the windows.
     """
     from ..operators import templates as Tp
 
     counts, keys = templates or {"N": 2, "V": 2}, [*KEYS, "ann_idx"]
-    u = Tp.unit_window(beats, "waveform", 60, 90)
-    parts = []
+    proto = pinned(Tp.group_prototypes(beats.filter(F.col("label").isin(list(counts))), group, "label", "_u", keys))
+    folds, banks = pinned(folds), {}
     for fold in test_folds:
         test = folds.filter(F.col("fold") == fold).select(group)
-        train = u.join(test, group, "left_anti")
+        train = proto.join(test, group, "left_anti")
         leaked = Tp.check_sources(train.select(group), test, group)
         if not leaked.isEmpty():
             raise ValueError("held-out group reached template fitting")
-        proto = Tp.group_prototypes(train.filter(F.col("label").isin(list(counts))), group, "label", "_u", keys)
-        bank = Tp.fit_bank(proto, "label", counts)
-        parts.append(Tp.template_features(u, keys, "_u", bank).withColumn("test_fold", F.lit(fold)))
-    t = reduce(lambda a, b: a.unionByName(b), parts)
+        banks[fold] = Tp.fit_bank(train, "label", counts)
     rr = S.causal_features(beats.select(*keys, "peak"), KEYS, "peak", Wv.TARGET_FS, 500 * 1800, ["ann_idx"]).drop("peak", "idx")
-    base = feature_vector(beats, [*keys, "label", "y"])
-    return base.join(rr, keys).join(t, keys)
+    base = [*keys, "label", "y", *FEATURES]
+    t = Tp.template_features_of(beats, base, "_u", banks, "test_fold")
+    x = t.join(rr, keys)
+    return x.select(*base, *[c for c in rr.columns if c not in keys], *[c for c in t.columns if c not in base and c != "test_fold"], "test_fold")

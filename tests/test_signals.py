@@ -173,3 +173,34 @@ def test_prototypes_of_all_beats(spark):
     r = Tp.group_prototypes(df, "grp", "cls", "u", ["id"], k=None).collect()[0]
     assert r.n_beats == 300 and abs(r.prototype[1] / r.prototype[0] - 1 / 300) < 1e-12
     assert Tp.group_prototypes(df, "grp", "cls", "u", ["id"]).collect()[0].n_beats == 256
+
+
+def test_bundle_makes_prototypes_once(spark, monkeypatch):
+    """A prototype belongs to one group: five folds take theirs from one set, and the windows meet all banks in one pass."""
+    from pyspark.sql import functions as F
+
+    from pulseframe.plans import beat_dataset as BD
+
+    rng = np.random.default_rng(1)
+    rows = [(i % 2, r, i, 1000 * i, "NV"[i % 2], i % 2, *[0.0] * len(BD.FEATURES), rng.normal(size=500).tolist()) for r in range(10) for i in range(4)]
+    types = ", ".join(f"{c} double" for c in BD.FEATURES)
+    beats = spark.createDataFrame(rows, f"dataset long, record_id long, ann_idx long, peak long, label string, y int, {types}, waveform array<double>")
+    made, passes, proto, features = [], [], Tp.group_prototypes, Tp.template_features_of
+    monkeypatch.setattr(Tp, "group_prototypes", lambda *a, **k: made.append(1) or proto(*a, **k))
+    monkeypatch.setattr(Tp, "template_features_of", lambda *a, **k: passes.append(1) or features(*a, **k))
+    folds = beats.select("record_id").distinct().withColumn("fold", F.col("record_id") % 2)
+    got = BD.candidate_bundle(BD.bundle_inputs(beats), folds, range(2))
+    assert sum(made) == sum(passes) == 1 and got.count() == 80
+    assert got.groupBy("record_id", "ann_idx", "dataset").count().filter("count <> 2").count() == 0 and got.select("test_fold").distinct().count() == 2
+    # the bank of fold 0 is that of the records outside it
+    u = BD.bundle_inputs(beats)
+    bank = Tp.fit_bank(proto(u.filter("record_id % 2 = 1"), "record_id", "label", "_u", [*BD.KEYS, "ann_idx"]), "label", {"N": 2, "V": 2})
+    want = {(r.record_id, r.ann_idx): r.template_corr_N for r in Tp.template_features(u, ["record_id", "ann_idx"], "_u", bank).collect()}
+    assert all(abs(r.template_corr_N - want[r.record_id, r.ann_idx]) < 0.2 for r in got.filter("test_fold = 0").collect())
+
+
+def test_template_features_of_odd_windows(spark):
+    bank = {c: np.eye(4)[[i]] for i, c in enumerate("NVF")}
+    df = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0])], "id int, u array<double>")
+    got = {r.id: r for r in Tp.template_features(df, ["id"], "u", bank).collect()}
+    assert got[1].template_corr_N is None and got[2].template_corr_V is None and (got[3].template_corr_N, got[3].template_corr_V) == (0.0, 1.0)
