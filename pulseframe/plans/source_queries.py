@@ -176,14 +176,14 @@ def _beat_stream(spark, sf):
 
 @R.add("st5_causal_stream", "SELECT record_id, event_id, rr_prev_1, rr_prev_4, rr_prev_median_4, rr_pnn50_4, tachycardia_flag, false AS late FROM (" + SEQ.sql["w2_causal_rr"] + ")")
 def st5(spark, sf):
-    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0, "at", f"{SLICE_DAYS} days")
+    x = J.causal_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 1000.0, "at", f"{SLICE_DAYS} days", None)
     y = J.run_to_table(x, _work(spark))
     return y.select("record_id", "event_id", "rr_prev_1", "rr_prev_4", "rr_prev_median_4", F.round("rr_pnn50_4", 6).alias("rr_pnn50_4"), "tachycardia_flag", "late")
 
 
 @R.add("st2_stability_stream", "SELECT record_id, event_id, skip, false AS late FROM (" + SEQ.sql["st2_stability_batch"] + ")")
 def st2(spark, sf):
-    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9, event_time="at", delay=f"{SLICE_DAYS} days")
+    x = J.stability_stream(_beat_stream(spark, sf), "record_id", "event_id", "peak", 40_000_000.0, 0.9, event_time="at", delay=f"{SLICE_DAYS} days", ttl_ms=None)
     first = _beat_stream_first(spark, sf)
     return J.run_to_table(x, _work(spark)).join(first, "event_id", "left_anti")
 

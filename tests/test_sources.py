@@ -138,3 +138,21 @@ def test_state_of_a_sliced_stream_stays_small(spark, tmp_path):
         state = spark.read.format("statestore").option("batchId", batch).load(str(tmp_path / "work" / "state"))
         most = max([most, *[len(r.w) for r in state.select(F.col("value.groupState.wait_peak").alias("w")).collect()]])
     assert 0 < most <= 3 * per_slice  # two slices and one batch
+
+
+def test_stream_state_is_held_by_bucket_and_outlives_a_gap(spark, tmp_path):
+    """400 records need no more states than buckets, and a record silent for five slices still knows its last beat."""
+    import datetime as dt
+
+    from pulseframe.plans.source_queries import sliced_stream
+
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    at = lambda s: start + dt.timedelta(seconds=s)
+    beats = [(r, 10 * r + i, s, at(s)) for r in range(400) for i, s in enumerate((r, 86_400 + 2 * r))] + [(7, 5000, 7 * 86_400, at(7 * 86_400))] + [(8, 5001 + d, d * 86_400, at(d * 86_400)) for d in range(2, 7)]
+    df = spark.createDataFrame(beats, "record long, id long, peak long, at timestamp")
+    x = J.causal_stream(sliced_stream(df, "at", 1), "record", "id", "peak", 1000.0, "at", "1 day", None)
+    got = {r.id: r for r in J.run_to_table(x, str(tmp_path / "work")).collect()}
+    assert len(got) == len(beats) and not any(r.late for r in got.values())
+    assert got[5000].rr_prev_1 == 7 * 86_400 - (86_400 + 14) and all(got[10 * r + 1].rr_prev_1 == 86_400 + r for r in range(400))
+    state = spark.read.format("statestore").load(str(tmp_path / "work" / "state"))
+    assert 0 < state.count() <= J.BUCKETS < 400
