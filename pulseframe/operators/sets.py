@@ -42,12 +42,18 @@ def ids_in_many(df: DataFrame, ident: str, owner: str) -> DataFrame:
 
 
 def coverage(catalog: DataFrame, lineage: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Catalog records without lineage or file, and lineage or files without a catalog record."""
-    def anti(a: DataFrame, b: DataFrame, what: str) -> DataFrame:
-        return a.select(*keys).distinct().join(b.select(*keys), list(keys), "left_anti").withColumn("problem", F.lit(what))
-
-    return union_all([
-        anti(catalog, lineage, "missing_lineage"), anti(catalog, files, "missing_file"), anti(lineage, catalog, "orphan_lineage"), anti(files, catalog, "orphan_file")])
+    """Catalog records without lineage or file, and lineage or files without a catalog record.
+
+    A key and the sides it was seen on are one row from the scan on: one shuffle, no sort and no join. A key with a null is equal to none.
+    """
+    bits = {"catalog": 1, "lineage": 2, "files": 4}
+    sides = union_all([t.select(*keys, F.lit(bits[n]).alias("_side")) for n, t in (("catalog", catalog), ("lineage", lineage), ("files", files))])
+    seen = sides.groupBy(*keys).agg(F.bit_or("_side").alias("_seen"))
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    on = lambda n: F.col("_seen").bitwiseAND(bits[n]) != 0
+    lone = lambda have, lack, what: F.when(on(have) & (null | ~on(lack)), F.lit(what))
+    problems = F.array(lone("catalog", "lineage", "missing_lineage"), lone("catalog", "files", "missing_file"), lone("lineage", "catalog", "orphan_lineage"), lone("files", "catalog", "orphan_file"))
+    return seen.select(*keys, F.explode(F.array_compact(problems)).alias("problem"))
 
 
 def table_mismatch(expected: DataFrame, actual: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

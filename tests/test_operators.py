@@ -524,3 +524,17 @@ def test_rejects_chunk_the_texts_once(spark):
     assert sorted((r.reason, r.n_matches) for r in rejects.collect()) == [("DUPLICATE_CHUNK_ID", 0)] * 2 + [("PII_DETECTED", 1)] * 2
     plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString().count("posexplode")
     assert plan(rejects) <= plan(kept)
+
+
+def test_coverage_is_one_shuffle(spark):
+    """Same rows as four anti joins, nulls and repeated keys included, from one exchange and no sort."""
+    from pulseframe.operators import sets as U
+
+    mk = lambda v: spark.createDataFrame([(a, b) for a, b in v], "a int, b string")
+    c, l, f = mk([(1, "x"), (2, "x"), (2, "x"), (None, "x"), (5, None)]), mk([(2, "x"), (3, "x"), (3, "x"), (None, "x")]), mk([(1, "x"), (4, "x"), (5, None)])
+    got = U.coverage(c, l, f, ["a", "b"])
+    anti = lambda p, q, w: [(*r, w) for r in p.distinct().join(q, ["a", "b"], "left_anti").collect()]
+    want = anti(c, l, "missing_lineage") + anti(c, f, "missing_file") + anti(l, c, "orphan_lineage") + anti(f, c, "orphan_file")
+    assert sorted(map(str, [tuple(r) for r in got.collect()])) == sorted(map(str, want)) and len(want) == 10
+    plan = U.coverage(c, l, f, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
