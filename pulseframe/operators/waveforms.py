@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import arrays as A, signal as K
@@ -325,19 +327,59 @@ def segmentation_counts(beats: DataFrame, kept: DataFrame, keys: Sequence[str],
 
 # ---- features ---------------------------------------------------------------------------
 
-def morphology(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
-    """Ten morphology features per window, a matrix per batch; null where the detection failed or the window is null or empty."""
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.full((len(pdf), len(K.MORPHOLOGY)), np.nan)
-        some = pdf.assign(piece=pdf["piece"].map(lambda v: v if v is not None else []))
-        for _, at, windows in _alike(some.assign(one=0), ["one"]):
-            if windows.shape[1]:
-                out[at] = K.morphology(windows, fs)
-        return pd.DataFrame(out, columns=K.MORPHOLOGY, index=pdf.index)
-
-    x = _map_pieces(df.select(*keep, F.col(samples).alias("piece")), keep, fn, ", ".join(f"{n} double" for n in K.MORPHOLOGY), ())
+def _morphology_of(windows: pa.Array, fs: float) -> np.ndarray:
+    """The features of some windows as a matrix; NaN where the detection failed or the window is null or empty."""
+    out = np.full((len(windows), len(K.MORPHOLOGY)), np.nan)
+    size = pc.fill_null(pc.list_value_length(windows), 0).to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == n)
+        rows = windows if len(at) == len(windows) else windows.take(pa.array(at))
+        out[at] = K.morphology(rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n), fs)
+    return out
+
+
+def _with_columns(df: DataFrame, keep: Sequence[str], samples: str, fn: Callable[[pa.Array], list[pa.Array]], out: list[T.StructField]) -> DataFrame:
+    """Columns `keep` and those that fn makes of the array column, a slab of windows at a time.
+
+    The kept columns, the windows among them, go through as Arrow: what a task holds beyond its batch is one slab.
+    """
+    kept = [*keep, *([] if samples in keep else [samples])]
+    fields = {f.name: f for f in df.schema.fields}
+    names = [*keep, *[f.name for f in out]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(kept.index(samples))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            while at < b.num_rows:
+                done = ends[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, done + SLAB, "right")))
+                part = b.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*[part.column(kept.index(c)) for c in keep], *fn(part.column(kept.index(samples)))], names=names)
+                at = to
+
+    return df.select(*kept).mapInArrow(run, T.StructType([*[fields[c] for c in keep], *out]))
+
+
+MORPHOLOGY_FIELDS = [T.StructField(n, T.DoubleType()) for n in K.MORPHOLOGY]
+
+
+def _finished(df: DataFrame) -> DataFrame:
     null = F.lit(None).cast("double")
-    return x.withColumns({n: F.nanvl(n, null) for n in K.MORPHOLOGY}).withColumn("j_point", F.col("j_point").cast("int"))
+    return df.withColumns({n: F.nanvl(n, null) for n in K.MORPHOLOGY}).withColumn("j_point", F.col("j_point").cast("int"))
+
+
+def morphology(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
+    """Ten morphology features per window, a matrix per slab; null where the detection failed or the window is null or empty."""
+    return _finished(_with_columns(df, keep, samples, lambda w: [pa.array(c) for c in _morphology_of(w, fs).T.copy()], MORPHOLOGY_FIELDS))
+
+
+def morphology_and_hash(df: DataFrame, samples: str, name: str = "waveform_sha256", domain: str = "waveform/v1", fs: float = TARGET_FS) -> DataFrame:
+    """G6 and P7 of every window in one pass; all columns stay."""
+    def fn(w: pa.Array) -> list[pa.Array]:
+        return [*[pa.array(c) for c in _morphology_of(w, fs).T.copy()], pa.array([_digest(v, domain) for v in w], pa.string())]
+
+    return _finished(_with_columns(df, df.columns, samples, fn, [*MORPHOLOGY_FIELDS, T.StructField(name, T.StringType())]))
 
 
 # Sentinel of each morphology feature in the published table.
@@ -442,19 +484,14 @@ def sampled_qrs(df: DataFrame, samples: str, fs: float = TARGET_FS, step_ms: flo
         A.let(F.greatest(gtop, F.lit(eps)), lambda t: F.transform(pick(F.col("_g")), lambda v: v / t)).alias("qrs_diff_norm"))
 
 
-def add_waveform_hash(df: DataFrame, samples: str, name: str = "waveform_sha256", domain: str = "waveform/v1") -> DataFrame:
-    """Digest of a domain prefix, the shape and the float32 bytes of each row."""
-    prefix = domain.encode() + b"\x00"
-
-    def one(x) -> str:
-        row = np.ascontiguousarray(x, dtype="<f4")
-        return hashlib.sha256(prefix + struct.pack("<q", len(row)) + row.tobytes()).hexdigest()
+def _digest(window: pa.ListScalar, domain: str) -> str:
+    row = np.ascontiguousarray(np.nan if window.values is None else window.values.to_numpy(zero_copy_only=False), dtype="<f4")
+    return hashlib.sha256(domain.encode() + b"\x00" + struct.pack("<q", len(row)) + row.tobytes()).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slabs(batches, samples):
-            yield pdf.assign(**{name: pdf[samples].map(one)})
 
-    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
+def add_waveform_hash(df: DataFrame, samples: str, name: str = "waveform_sha256", domain: str = "waveform/v1") -> DataFrame:
+    """Digest of a domain prefix, the shape and the float32 bytes of each row."""
+    return _with_columns(df, df.columns, samples, lambda w: [pa.array([_digest(v, domain) for v in w], pa.string())], [T.StructField(name, T.StringType())])
 
 
 def json_hash(cols: dict[str, Column], domain: str) -> Column:

@@ -31,13 +31,12 @@ def build_beats(annotations: DataFrame, signals: DataFrame, bucket_width: float
     t = t.withColumn("rr_for_window", F.when(F.col("idx") == 1, first).otherwise(F.col("rr_prev")))
     w = Wv.segment_beats(t, signals, KEYS, "samples")
     # all columns ride along, so the windows are built once and not joined back
-    x = Wv.with_sentinels(Wv.morphology(w, w.columns, "waveform"))
-    x = x.select(
+    x = Wv.with_sentinels(Wv.morphology_and_hash(w, "waveform"))
+    return x.select(
         "*",
         F.concat_ws(":", F.col("dataset").cast("string"), F.col("record_id").cast("string"), F.lit("beat"), F.col("ann_idx").cast("string"), F.lit("target"), F.col("peak").cast("string")).alias("sample_id"),
         O.lookup(O.CLASS_CODE, "label").alias("y"),
-    ).drop("sig_len", "idx", "rr_for_window")
-    return Wv.add_waveform_hash(x, "waveform"), bad
+    ).drop("sig_len", "idx", "rr_for_window"), bad
 
 
 FEATURES = [

@@ -204,3 +204,24 @@ def test_template_features_of_odd_windows(spark):
     df = spark.createDataFrame([(1, None), (2, [1.0, 0.0]), (3, [0.0, 1.0, 0.0, 0.0])], "id int, u array<double>")
     got = {r.id: r for r in Tp.template_features(df, ["id"], "u", bank).collect()}
     assert got[1].template_corr_N is None and got[2].template_corr_V is None and (got[3].template_corr_N, got[3].template_corr_V) == (0.0, 1.0)
+
+
+def test_beats_pass_through_python_once(spark):
+    """Morphology and digest of a beat come from one pass over Arrow slabs, as from the two steps on their own; null and uneven windows too."""
+    from pulseframe.plans import signal_queries as Q
+
+    plan = Q._beats(spark, "/root/testdata/sf0.001")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "MapInPandas" not in plan
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i == 5 else rng.normal(size=500 if i % 7 else 40 + i).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id int, w array<double>").coalesce(1)
+    both = {r.id: r for r in Wv.morphology_and_hash(df, "w").collect()}
+    shape = {r.id: r for r in Wv.morphology(df, ["id"], "w").collect()}
+    digest = {r.id: r.waveform_sha256 for r in Wv.add_waveform_hash(df, "w").collect()}
+    assert len(both) == 1200 and all(both[i].waveform_sha256 == digest[i] and both[i].w == rows[i][1] for i in both)
+    assert all(both[i][c] == shape[i][c] for i in both for c in K.MORPHOLOGY) and both[5].r_amplitude is None
+    import hashlib
+    import struct
+
+    want = hashlib.sha256(b"waveform/v1\x00" + struct.pack("<q", 500) + np.array(rows[1][1], "<f4").tobytes()).hexdigest()
+    assert digest[1] == want
