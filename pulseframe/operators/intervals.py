@@ -94,6 +94,36 @@ def contained_episodes(
     )
 
 
+def contained_grid(
+    spans: DataFrame,
+    intervals: DataFrame,
+    keys: Sequence[str],
+    step: int,
+    first: str = "first",
+    last: str = "last",
+    start: str = "start",
+    end: str = "end",
+    label: str = "rhythm",
+) -> DataFrame:
+    """J4 on a regular grid: episodes of each record per label of the interval that fully contains them.
+
+    A record of `spans` has the episodes [i * step, (i + 1) * step) for i from `first` to `last`.
+    An interval contains a range of them, so its episodes are counted and never become rows;
+    those in no interval count under a null label. Intervals of a record must not overlap (see
+    `close_intervals`); an open one (null end) lasts to the last episode. Returns keys, label, n.
+    """
+    iv = intervals.select(*keys, F.col(label), (-time_bucket(-F.col(start), step)).alias("_lo"), (time_bucket(end, step) - 1).alias("_hi"))
+    iv = iv.filter("_lo is not null and (_hi is null or _lo <= _hi)")
+    all_ = spans.select(*keys, F.col(first).alias("_first"), F.col(last).alias("_last")).filter("_first <= _last")
+    n = F.least(F.coalesce("_hi", "_last"), "_last") - F.greatest("_lo", "_first") + 1
+    inside = iv.join(all_, list(keys)).withColumn("_n", n).filter("_n > 0")
+    # what lies in an interval is taken off the rest, so one aggregation gives both
+    none = F.lit(None).cast(dict(iv.dtypes)[label])
+    parts = F.array(F.struct(F.col(label).alias("l"), F.col("_n").alias("n")), F.struct(none.alias("l"), (-F.col("_n")).alias("n")))
+    x = inside.select(*keys, F.inline(parts)).union(all_.select(*keys, none, F.col("_last") - F.col("_first") + 1))
+    return x.groupBy(*keys, F.col("l").alias(label)).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def _greedy(tol: float):
     def match(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "is_truth", "rid"], kind="stable")

@@ -222,6 +222,34 @@ def test_open_interval_holds_to_the_end(spark):
     assert got == {("r", 0): "N", ("r", 40): None, ("r", 60): "AFIB", ("q", 20): "N", ("z", 0): None}
 
 
+def test_grid_episodes_equal_single_ones(spark):
+    rng = np.random.default_rng(5)
+    marks, span = [], [("z", -3, 4), (None, 0, 2), ("one", 7, 7), ("late", 3, 2)]
+    for rec in "abcdef":
+        t = np.sort(rng.choice(np.arange(-400, 1200), 40, replace=False)).tolist()
+        marks += [(rec, x, str(rng.choice(["N", "J", "AFIB"])) if rng.random() < 0.9 else None) for x in t]
+        span.append((rec, t[0] // 25 - 2, t[-1] // 25 + int(rng.integers(-3, 3))))
+    marks += [("one", 150, "N"), ("one", 150, "J"), ("one", None, "J"), (None, 0, "N"), ("late", 0, "N"), ("other", 0, "N")]
+    iv = I.close_intervals(spark.createDataFrame(marks, "rec string, start long, rhythm string").filter("start is not null"), ["rec"], "start", 100).unionByName(
+        spark.createDataFrame([("b", None, None, "N"), ("c", None, 500, "N")], "rec string, start long, `end` long, rhythm string")).localCheckpoint()
+    span = spark.createDataFrame(span, "rec string, first long, last long")
+    ep = span.filter("first <= last").select("rec", F.explode(F.sequence("first", "last")).alias("h")).selectExpr("rec", "h * 25 as start", "(h + 1) * 25 as `end`")
+    want = I.contained_episodes(ep, iv, ["rec"], 100).groupBy("rec", "rhythm").agg(F.count("*").alias("n"))
+    got = I.contained_grid(span, iv, ["rec"], 25)
+    a, b = ({(r.rec, r.rhythm): r.n for r in x.collect()} for x in (want, got))
+    assert a == b and len(a) > 15 and sum(b.values()) == ep.count()
+
+
+def test_episode_rhythm_makes_no_row_per_episode(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    last = 2_500_000_000 * 3_600_000  # more hours than fit into one array
+    x = spark.createDataFrame([(1, 7, 0, "view"), (2, 7, 10 * 3_600_000 + 1, "click"), (3, 7, last, "purchase")], "event_id long, user_id long, ms long, event_type string")
+    x.select("event_id", F.timestamp_millis("ms").alias("ts"), "user_id", "event_type", F.lit(1.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.rhythm: r.n for r in queries()["j4_episode_rhythm"](spark, str(tmp_path)).collect()}
+    assert got == {"SINUS": 10, "OTHER_RHYTHM": 2_500_000_000 - 11 + 1, "BOUNDARY": 1}
+
+
 def test_one_sided_cluster_is_an_error(spark):
     from pulseframe.operators import resampling as Rs
 
