@@ -27,6 +27,7 @@ from .pretokens import TextEncoder
 SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 JOINT = 2000  # words in one call of the tokenizer
+ENTRIES = 1_500_000  # pieces and words a worker remembers
 
 
 def cuts(n: int, capacity: int, slack: int) -> list[int]:
@@ -111,9 +112,11 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
         together = [i for i, j in enumerate(joint) if j]
         for at in range(0, len(together), JOINT):
             part = together[at : at + JOINT]
-            packed = np.array(t.encode_batch_fast(["".join([found[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+            text = "".join([found[i] for i in part])
+            packed = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.cumsum(sizes[packed])
-            last = np.cumsum([len(found[i].encode()) for i in part])
+            raw = np.frombuffer(text.encode(), np.uint8)
+            last = np.append(np.flatnonzero(raw == 32)[1:], len(raw))  # a word ends before the next space
             to = np.searchsorted(ends, last) + 1
             if to[-1] != len(packed) or (ends[to - 1] != last).any():
                 raise ValueError("the tokenizer joined words over a space")
@@ -123,7 +126,7 @@ def text_encoder(path: str, pattern: str) -> TextEncoder:
                 begin = stop
         return out
 
-    return TextEncoder(words, lambda s: each([s])[0], compile_pattern(pattern))
+    return TextEncoder(words, lambda s: each([s])[0], compile_pattern(pattern), entries=ENTRIES)
 
 
 def pack(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end_id: int = 1, slack: int = 32, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:

@@ -32,33 +32,40 @@ class TextEncoder:
 
     In the cache a piece or word that starts with a space goes without it, a piece that starts with a line feed
     as it is, anything else behind a NUL; so one split of a text gives the keys of its pieces, each looked up once.
-    Texts are taken `at_once` characters at a time, which bounds the pieces held.
+    Texts are taken `at_once` characters at a time, which bounds the pieces held. The cache is emptied when it has more than `entries`.
     """
 
     def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 700_000, longest: int = 100, at_once: int = 1 << 20) -> None:
         self._words_of, self._text, self._split, self._plain = encode_words, encode_text, pattern.findall, plain
+        self._wide = re.compile(f"[{re.escape(plain)}-\U0010ffff]")
+        self._marks = frozenset(m for m in ",.;:!?" if self._split(" a" + m) == [" a", m])  # words of their own behind letters
         self._most, self._longest, self._at_once = entries, longest, at_once
         self._seen: dict[str, bytes] = {}  # pieces and words
 
     def _learn(self, unknown: set[str]) -> dict[str, bytes]:
         """Ids of pieces not seen before, by their keys; long ones are returned and not kept."""
         once: dict[str, bytes] = {}
-        new: dict[str, str] = {}
+        if self._wide.search(" ".join(unknown)):
+            once.update((k, self._text(_piece(k))) for k in unknown if not (k.isascii() or max(k) < self._plain))
+        once.update((k, self._text(_piece(k))) for k in unknown if len(k) > self._longest and k not in once)
+        unknown = unknown.difference(once)
+        new = set(filter(str.isalpha, unknown))  # a space and letters: a word as it is
+        ended: list[tuple[str, str, str]] = []  # such a word and a mark
         cut: list[tuple[str, list[str]]] = []
-        for k in unknown:
-            if len(k) > self._longest or not (k.isascii() or max(k) < self._plain):
-                once[k] = self._text(_piece(k))
-            elif k.isalpha():  # a space and letters: a word as it is
-                new[k] = " " + k
+        for k in unknown.difference(new):
+            if k[-1] in self._marks and k[:-1].isalpha():
+                ended.append((k, k[:-1], "\0" + k[-1]))
             else:
                 cut.append((k, [_key(w) for w in self._split(_piece(k))]))
         seen = self._seen
-        for w in set().union(*(w for _, w in cut)).difference(seen, new):
-            new[w] = w[1:] if w[0] == "\0" else " " + w
-        seen.update(zip(new, self._words_of(list(new.values()))))
+        new |= {w for e in ended for w in e[1:] if w not in seen}
+        new |= {w for _, ws in cut for w in ws if w not in seen}
+        keys = list(new)
+        seen.update(zip(keys, self._words_of([w[1:] if w[0] == "\0" else " " + w for w in keys])))
         get = seen.__getitem__
-        for k, w in cut:
-            seen[k] = b"".join(map(get, w))
+        seen.update([(k, get(w) + get(m)) for k, w, m in ended])
+        for k, ws in cut:
+            seen[k] = b"".join(map(get, ws))
         return once
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
@@ -78,27 +85,19 @@ class TextEncoder:
         if len(seen) > self._most:
             seen.clear()
         out: list[bytes] = [b""] * len(texts)
-        open_: list[tuple[int, list, list[tuple[int, str]]]] = []
-        unknown: set[str] = set()
+        cut: list[tuple[int, list[str]]] = []
         for i, t in enumerate(texts):
-            if not t:
-                continue
-            if not regular(t):
+            if t and regular(t):
+                cut.append((i, ("\0" + t).replace("\n", " \n").split(" ")))
+            elif t:
                 out[i] = self._text(t)
-                continue
-            keys = ("\0" + t).replace("\n", " \n").split(" ")
-            got = list(map(seen.get, keys))
-            holes = [(j, keys[j]) for j, v in enumerate(got) if v is None]
-            if holes:
-                unknown.update(k for _, k in holes)
-                open_.append((i, got, holes))
-            else:
-                out[i] = b"".join(got)
+        unknown = set().union(*(keys for _, keys in cut)).difference(seen)
         once = self._learn(unknown) if unknown else {}
-        for i, got, holes in open_:
-            for j, k in holes:
-                got[j] = once[k] if k in once else seen[k]
-            out[i] = b"".join(got)
+        seen.update(once)
+        for i, keys in cut:
+            out[i] = b"".join(map(seen.__getitem__, keys))
+        for k in once:
+            del seen[k]
         return out
 
 
