@@ -35,7 +35,7 @@ class TextEncoder:
     Texts are taken `at_once` characters at a time, which bounds the pieces held. The cache is emptied when it has more than `entries`.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 700_000, longest: int = 100, at_once: int = 1 << 20) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], encode_text: Callable[[str], bytes], pattern: re.Pattern, plain: str = "ɐ", entries: int = 1_500_000, longest: int = 100, at_once: int = 1 << 20) -> None:
         self._words_of, self._text, self._split, self._plain = encode_words, encode_text, pattern.findall, plain
         self._wide = re.compile(f"[{re.escape(plain)}-\U0010ffff]")
         self._marks = frozenset(m for m in ",.;:!?" if self._split(" a" + m) == [" a", m])  # words of their own behind letters
