@@ -62,13 +62,20 @@ FILTER_BLOCK = 32_768
 SETTLE_S = 16.4  # seconds after which the slowest filter (0.5 Hz) has forgotten a sample, to 1e-8
 
 
-def pieces_of(df: DataFrame, keep: Sequence[str], samples: str, block: int = FILTER_BLOCK, halo: int = int(SETTLE_S * TARGET_FS)) -> DataFrame:
+def _records_of(x: DataFrame, one_block: bool | None) -> DataFrame:
+    """Blocks of records of one block (True), of longer ones (False), or of all (None)."""
+    same = F.col("core_to") - F.col("core_from") == F.col("n_samples")
+    return x if one_block is None else x.filter(same if one_block else ~same)
+
+
+def pieces_of(df: DataFrame, keep: Sequence[str], samples: str, block: int = FILTER_BLOCK, halo: int = int(SETTLE_S * TARGET_FS), one_block: bool | None = None) -> DataFrame:
     """Pieces of signals that are stored as one array a record. A null or empty signal has none."""
     n = F.size(samples)
     x = df.filter(n > 0).select(*keep, F.col(samples), n.cast("long").alias("n_samples"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("blk"))
     at, end = F.col("blk") * block, F.least(F.col("n_samples"), (F.col("blk") + 1) * block)
-    first, last = F.greatest(at - halo, F.lit(0).cast("long")), F.least(F.col("n_samples"), end + halo)
-    return x.select(*keep, "n_samples", "blk", at.alias("core_from"), end.alias("core_to"), first.alias("piece_from"), A.doubles(A.window(samples, first, last - first)).alias("piece"))
+    x = _records_of(x.withColumns({"core_from": at, "core_to": end}), one_block)
+    first, last = F.greatest(F.col("core_from") - halo, F.lit(0).cast("long")), F.least(F.col("n_samples"), F.col("core_to") + halo)
+    return x.select(*keep, "n_samples", "blk", "core_from", "core_to", first.alias("piece_from"), A.doubles(A.window(samples, first, last - first)).alias("piece"))
 
 
 def _alike(pdf: pd.DataFrame, cols: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray, np.ndarray]]:
@@ -90,7 +97,7 @@ def _map_pieces(pieces: DataFrame, keep: Sequence[str], fn: Callable[[pd.DataFra
     return pieces.mapInPandas(run, ", ".join([f"{c} {types[c]}" for c in kept] + [out]))
 
 
-def resampled_pieces(df: DataFrame, keep: Sequence[str], samples: str, fs: str, block: int = FILTER_BLOCK, halo: int = 0) -> DataFrame:
+def resampled_pieces(df: DataFrame, keep: Sequence[str], samples: str, fs: str, block: int = FILTER_BLOCK, halo: int = 0, one_block: bool | None = None) -> DataFrame:
     """G1: pieces at 500 Hz of signals with any whole-numbered rate, straight from the stored arrays, with `halo` samples around."""
     rate = F.round(fs).cast("long")
     shared = F.coalesce(*[F.when(rate % d == 0, F.lit(d)) for d in (500, 250, 125, 100, 50, 25, 20, 10, 5, 4, 2, 1)]).cast("long")
@@ -101,7 +108,8 @@ def resampled_pieces(df: DataFrame, keep: Sequence[str], samples: str, fs: str,
     x = x.withColumns({"n_samples": F.expr("(n_in * up + down - 1) div down"), "_u": whole(F.lit(block), F.col("up")), "_h": whole(F.lit(halo), F.col("up")),
                        "_reach": whole(F.least(F.greatest("up", "down"), F.lit(K.LONGEST)) * K.REACH, F.col("up")) + 1})
     x = x.withColumn("blk", F.explode(F.expr("sequence(0L, (n_samples - 1) div (_u * up))")))
-    x = x.withColumns({"core_from": F.expr("blk * _u * up"), "core_to": F.expr("least(n_samples, (blk + 1) * _u * up)"), "_from": F.expr("greatest(0L, blk * _u - _h)"), "_to": F.expr("(blk + 1) * _u + _h")})
+    x = _records_of(x.withColumns({"core_from": F.expr("blk * _u * up"), "core_to": F.expr("least(n_samples, (blk + 1) * _u * up)")}), one_block)
+    x = x.withColumns({"_from": F.expr("greatest(0L, blk * _u - _h)"), "_to": F.expr("(blk + 1) * _u + _h")})
     x = x.withColumns({"piece_from": F.expr("_from * up"), "count": F.expr("least(n_samples, _to * up) - _from * up"), "in_from": F.expr("greatest(0L, _from * down - _reach)"), "in_to": F.expr("least(n_in, _to * down + _reach + 1)")})
     x = x.select(*keep, "n_samples", "blk", "core_from", "core_to", "piece_from", "count", "up", "down", "n_in", "in_from", F.expr("_from * down - in_from").alias("lead"),
                  F.element_at(samples, 1).cast("double").alias("x0"), F.element_at(samples, -1).cast("double").alias("x1"), A.doubles(A.window(samples, F.col("in_from"), F.col("in_to") - F.col("in_from"))).alias("piece"))
@@ -122,35 +130,48 @@ def resampled_pieces(df: DataFrame, keep: Sequence[str], samples: str, fs: str,
     return _map_pieces(x, keep, fn, "piece array<double>", ("n_samples", "blk", "core_from", "core_to", "piece_from"))
 
 
-def filtered(pieces: DataFrame, keep: Sequence[str], fs: float = TARGET_FS) -> DataFrame:
-    """The zero-phase band-pass on pieces, cut to their core, and detrended over the whole record.
+def filtered(pieces: Callable[[bool], DataFrame], keep: Sequence[str], fs: float = TARGET_FS) -> tuple[DataFrame, DataFrame]:
+    """The zero-phase band-pass on pieces, cut to their core, and detrended over the whole record: (records of one block, longer ones).
 
-    Blocks: keep, n_samples, blk, core_from, core_to, samples. The trend comes from two sums per block; the join with the records'
-    trends may be split by adaptive execution where one record has very many blocks.
+    `pieces(True)` are those of records of one block, `pieces(False)` of longer ones. Blocks: keep, n_samples, blk, core_from, core_to, samples.
+    The trend comes from two sums per block. A record of one block knows them at once, so nothing of it is written or
+    shuffled; the blocks of longer records are written once and read back with the trend.
     """
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        end = pdf["piece_from"] + pdf["piece"].map(len) == pdf["n_samples"]
-        pdf = pdf.assign(left=pdf["piece_from"] == 0, right=end, skip=pdf["core_from"] - pdf["piece_from"], size=pdf["core_to"] - pdf["core_from"])
-        out, s0, s1 = np.empty(len(pdf), object), np.empty(len(pdf)), np.empty(len(pdf))
-        for (left, right, skip, size), at, piece in _alike(pdf, ["left", "right", "skip", "size"]):
-            y = K.zero_phase(piece, fs, 0.5, 40.0, 4, left, right)[:, skip : skip + size]
-            out[at] = list(y)
-            s0[at], s1[at] = y.sum(axis=1), y @ np.arange(size)
-        return pd.DataFrame({"_y": out, "_s0": s0, "_s1": s1}, index=pdf.index)
-
-    y = pinned(_map_pieces(pieces, keep, fn, "_y array<double>, _s0 double, _s1 double"))
+    def fn(one_block: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            end = pdf["piece_from"] + pdf["piece"].map(len) == pdf["n_samples"]
+            pdf = pdf.assign(left=pdf["piece_from"] == 0, right=end, skip=pdf["core_from"] - pdf["piece_from"], size=pdf["core_to"] - pdf["core_from"])
+            out, s0, s1 = np.empty(len(pdf), object), np.empty(len(pdf)), np.empty(len(pdf))
+            for (left, right, skip, size), at, piece in _alike(pdf, ["left", "right", "skip", "size"]):
+                y = K.zero_phase(piece, fs, 0.5, 40.0, 4, left, right)[:, skip : skip + size]
+                s0[at], s1[at] = y.sum(axis=1), y @ np.arange(size)
+                if one_block:
+                    slope = (s1[at] - (size - 1) / 2 * s0[at]) / (size * (float(size) * size - 1) / 12) if size > 1 else np.zeros(len(at))
+                    y = y - (s0[at] / size)[:, None] - slope[:, None] * (np.arange(size) - (size - 1) / 2)
+                out[at] = list(y)
+            return pd.DataFrame({"samples": out} if one_block else {"_y": out, "_s0": s0, "_s1": s1}, index=pdf.index)
+
+        return run
+
+    short = _map_pieces(pieces(True), keep, fn(True), "samples array<double>")
+    y = pinned(_map_pieces(pieces(False), keep, fn(False), "_y array<double>, _s0 double, _s1 double"))
     n, mid = F.max("n_samples"), (F.max("n_samples") - 1) / 2
     s0 = F.sum("_s0")
     slope = F.when(n > 1, (F.sum(F.col("_s1") + F.col("core_from") * F.col("_s0")) - mid * s0) / (n * (n.cast("double") * n - 1) / 12)).otherwise(0.0)
     trend = y.groupBy(*keep).agg((s0 / n).alias("_mean"), slope.alias("_slope"))
     t = _per_record(y, trend, keep)
     flat = F.transform("_y", lambda v, i: v - F.col("_mean") - F.col("_slope") * (F.col("core_from") + i - (F.col("n_samples") - 1) / 2))
-    return t.select(*keep, "n_samples", "blk", "core_from", "core_to", flat.alias("samples"))
+    return short, t.select(*keep, "n_samples", "blk", "core_from", "core_to", flat.alias("samples"))
+
+
+# Records (a few dozen bytes each) are broadcast to their blocks up to this many; beyond, the blocks are shuffled.
+BROADCAST_RECORDS = 250_000
 
 
 def _per_record(blocks: DataFrame, records: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Blocks with the columns of their record; null keys meet."""
-    own = records.select(*[F.col(k).alias(f"_k_{k}") for k in keep], *[c for c in records.columns if c not in keep])
+    """Blocks with the columns of their record; null keys meet. The records are counted first: few of them are broadcast."""
+    own = pinned(records.select(*[F.col(k).alias(f"_k_{k}") for k in keep], *[c for c in records.columns if c not in keep]))
+    own = F.broadcast(own) if own.count() <= BROADCAST_RECORDS else own
     cond = None
     for k in keep:
         same = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
@@ -158,16 +179,28 @@ def _per_record(blocks: DataFrame, records: DataFrame, keep: Sequence[str]) -> D
     return blocks.join(own, cond).drop(*[f"_k_{k}" for k in keep])
 
 
+def _assembled(samples: str) -> Column:
+    parts = F.sort_array(F.collect_list(F.struct("core_from", F.col("samples").alias("v"))))
+    return F.flatten(F.transform(parts, lambda p: p["v"])).alias(samples)
+
+
 def assembled(blocks: DataFrame, keep: Sequence[str], samples: str = "samples") -> DataFrame:
     """One array a record again; for users who need it so, since such a row grows with its record."""
-    parts = F.sort_array(F.collect_list(F.struct("core_from", F.col("samples").alias("v"))))
-    return blocks.groupBy(*keep).agg(F.flatten(F.transform(parts, lambda p: p["v"])).alias(samples))
+    return blocks.groupBy(*keep).agg(_assembled(samples))
+
+
+def _stats(n: Column, s: Column, q: Column) -> list[Column]:
+    """Samples, mean and population deviation from the number, sum and sum of squares."""
+    return [n.alias("n"), (s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std")]
+
+
+def _sums() -> list[Column]:
+    return [F.size("samples"), A.total("samples"), A.mean_square("samples") * F.size("samples")]
 
 
 def block_stats(blocks: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Samples, mean and population deviation of every record from its blocks."""
-    n, s, q = F.sum(F.size("samples")), F.sum(A.total("samples")), F.sum(A.mean_square("samples") * F.size("samples"))
-    return blocks.groupBy(*keep).agg(n.alias("n"), (s / n).alias("mean"), F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))).alias("std"))
+    return blocks.groupBy(*keep).agg(*_stats(*map(F.sum, _sums())))
 
 
 # ---- cleaning ---------------------------------------------------------------------------
@@ -179,36 +212,56 @@ def resample(df: DataFrame, keep: Sequence[str], samples: str, fs: str) -> DataF
 
 def band_pass(df: DataFrame, keep: Sequence[str], samples: str, fs: float = TARGET_FS) -> DataFrame:
     """Zero-phase 0.5-40 Hz band-pass of order 4, then linear detrend, as blocks."""
-    return filtered(pieces_of(df, keep, samples, halo=int(SETTLE_S * fs)), keep, fs)
+    short, long = filtered(lambda one_block: pieces_of(df, keep, samples, halo=int(SETTLE_S * fs), one_block=one_block), keep, fs)
+    return short.unionByName(long)
 
 
-def clean_blocks(df: DataFrame, keep: Sequence[str], samples: str, fs: str, stats: DataFrame | None = None, by: str | None = None, clip: float = 5.0, z_clip: float = 10.0) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Resample, filter, detrend, clip, z-score, clip, block by block: (blocks, one lineage row per record, rejected records).
-
-    `stats` (by, mean, std; `by` one of `keep`) gives global normalisation; without it each record uses its own.
-    """
+def _cleaned(df: DataFrame, keep: Sequence[str], samples: str, fs: str, stats: DataFrame | None = None, by: str | None = None, clip: float = 5.0, z_clip: float = 10.0) -> tuple[DataFrame, DataFrame]:
+    """Cleaned blocks with _mu, _sd, _clipped and _z_clipped, and rejected records."""
     v = F.col(samples)
     usable = F.coalesce((F.size(v) >= 16) & F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a.cast("double")) & (F.abs(a.cast("double")) < float("inf"))) & (F.round(fs) > 0), F.lit(False))
     bad = df.filter(~usable).select(*keep, F.lit("resample").alias("step"), F.lit("empty, short or non-finite signal").alias("error"))
-    x = filtered(resampled_pieces(df.filter(usable), keep, samples, fs, halo=int(SETTLE_S * TARGET_FS)), keep)
+    good = df.filter(usable)
+    parts = filtered(lambda one_block: resampled_pieces(good, keep, samples, fs, halo=int(SETTLE_S * TARGET_FS), one_block=one_block), keep)
     cut, n_cut = A.clip_counted("samples", F.lit(-clip), F.lit(clip))
-    x = pinned(x.withColumn("_clipped", n_cut).withColumn("samples", cut))
-    own = block_stats(x, keep)
+    short, long = (x.withColumn("_clipped", n_cut).withColumn("samples", cut) for x in parts)
     if stats is not None:
-        own = own.drop("mean", "std").join(stats.select(by, "mean", "std"), by)
-    x = _per_record(x, own.select(*keep, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), keep)
+        given = stats.filter(F.col(by).isNotNull()).select(by, F.col("mean").alias("_mu"), F.col("std").alias("_sd"))
+        x = _per_record(short.unionByName(long), given, [by])
+    else:
+        own = short.select("*", *[c.alias(k) for k, c in zip(("_n", "_s", "_q"), _sums())])
+        _, mean, std = _stats(F.col("_n"), F.col("_s"), F.col("_q"))
+        own = own.withColumns({"_mu": mean, "_sd": std}).drop("_n", "_s", "_q")
+        x = own.unionByName(_per_record(long, block_stats(long, keep).select(*keep, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), keep))
     z = x.withColumn("samples", A.zscore("samples", F.col("_mu"), F.col("_sd")))
     cut, n_z = A.clip_counted("samples", F.lit(-z_clip), F.lit(z_clip))
-    z = z.withColumn("_z_clipped", n_z).withColumn("samples", cut)
-    sums = z.groupBy(*keep).agg(F.max("_mu").alias("mean"), F.max("_sd").alias("std"), F.sum("_clipped").alias("n_clipped"), F.sum("_z_clipped").alias("n_z_clipped"))
-    lineage = sums.select(*keep, F.struct(F.lit(TARGET_FS).alias("fs"), F.lit("resample,band,detrend,clip,zscore,clip").alias("steps"), "mean", "std", "n_clipped", "n_z_clipped").alias("lineage"))
-    return z.select(*keep, "n_samples", "blk", "core_from", "core_to", "samples"), lineage, bad
+    return z.withColumn("_z_clipped", n_z).withColumn("samples", cut), bad
+
+
+def _lineage() -> Column:
+    return F.struct(F.lit(TARGET_FS).alias("fs"), F.lit("resample,band,detrend,clip,zscore,clip").alias("steps"), F.max("_mu").alias("mean"), F.max("_sd").alias("std"), F.sum("_clipped").alias("n_clipped"), F.sum("_z_clipped").alias("n_z_clipped")).alias("lineage")
+
+
+def clean_blocks(df: DataFrame, keep: Sequence[str], samples: str, fs: str, **settings) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Resample, filter, detrend, clip, z-score, clip, block by block: (blocks, one lineage row per record, rejected records).
+
+    `stats` (by, mean, std; `by` one of `keep`) gives global normalisation; without it each record uses its own. Records of one block are
+    never written, so a user of both the blocks and the lineage has them made twice; `clean` and `clean_stats` make them once.
+    """
+    z, bad = _cleaned(df, keep, samples, fs, **settings)
+    return z.select(*keep, "n_samples", "blk", "core_from", "core_to", "samples"), z.groupBy(*keep).agg(_lineage()), bad
+
+
+def clean_stats(df: DataFrame, keep: Sequence[str], samples: str, fs: str, **settings) -> tuple[DataFrame, DataFrame]:
+    """G3 without the samples: number, mean and deviation of the cleaned samples and the lineage of every record; rejected records."""
+    z, bad = _cleaned(df, keep, samples, fs, **settings)
+    return z.groupBy(*keep).agg(*_stats(*map(F.sum, _sums())), _lineage()), bad
 
 
 def clean(df: DataFrame, keep: Sequence[str], samples: str, fs: str, **settings) -> tuple[DataFrame, DataFrame]:
     """G3 with one array and the lineage per record; rejected records as rows with the step that failed."""
-    blocks, lineage, bad = clean_blocks(df, keep, samples, fs, **settings)
-    return _per_record(assembled(blocks, keep, samples), lineage, keep), bad
+    z, bad = _cleaned(df, keep, samples, fs, **settings)
+    return z.groupBy(*keep).agg(_assembled(samples), _lineage()), bad
 
 
 def pending(records: DataFrame, done: DataFrame, keys: Sequence[str] = ("dataset", "record_id", "config", "checksum")) -> DataFrame:
